@@ -19,13 +19,11 @@ from mdloom.functions.text import (
     after_front_matter,
     drop_trailing_blank_lines,
     front_matter,
-    front_matter_has_title,
     is_blank,
     is_fence,
     join_lines,
     let,
     lstrip,
-    normalize_newlines,
     rstrip,
     strip,
     trim_plain_line,
@@ -49,7 +47,7 @@ def map_lines(body: Column, use: Callable[[Column], Column]) -> Column:
 
 
 # --- headings ---------------------------------------------------------------------------------------
-def _setext_units(body: Column) -> Column:
+def setext_units(body: Column) -> Column:
     def convert(unit: Column) -> Column:
         h1 = F.regexp_replace(unit, rf"\A{p.W}*+([^\n]*?){p.H}*+\n {{0,3}}=++\z", "# $1")
         return F.regexp_replace(h1, rf"\A{p.W}*+([^\n]*?){p.H}*+\n {{0,3}}-++\z", "## $1")
@@ -60,34 +58,35 @@ def _setext_units(body: Column) -> Column:
     )
 
 
-def _demote_units(parts: Column, has_title: Column) -> Column:
-    def is_h1(unit: Column) -> Column:
-        return unit.rlike(r"\A" + p.ATX_H1)
+def last_kept_h1(parts: Column, has_title: Column) -> Column:
+    """1-based unit after which every H1 is demoted; 0 when the front matter names the title."""
+    first = F.array_position(F.transform(parts, _is_h1), F.lit(True))
+    return F.when(has_title, F.lit(0).cast("bigint")).otherwise(first)
+
+
+def _is_h1(unit: Column) -> Column:
+    return unit.rlike(r"\A" + p.ATX_H1)
 
-    def demote_after(lines: Column, kept: Column) -> Column:
-        return F.transform(
-            lines, lambda u, i: F.when((i + 1 > kept) & is_h1(u), inline.demote_h1(u)).otherwise(u)
-        )
 
+def demote_units(parts: Column, has_title: Column) -> Column:
+    # Bound with let(): a projected column used once may be inlined by the optimizer, here into the
+    # lambda, and would then be computed again for every line.
     return let(
-        parts,
-        lambda lines: let(
-            F.when(has_title, F.lit(0).cast("bigint")).otherwise(
-                F.array_position(F.transform(lines, is_h1), F.lit(True))
-            ),
-            lambda kept: demote_after(lines, kept),
+        last_kept_h1(parts, has_title),
+        lambda kept: F.transform(
+            parts, lambda u, i: F.when((i + 1 > kept) & _is_h1(u), inline.demote_h1(u)).otherwise(u)
         ),
     )
 
 
 def setext_to_atx(body: Column) -> Column:
     """Underlined headings become ``#`` / ``##``; other lines lose trailing blanks."""
-    return join_lines(_setext_units(body))
+    return join_lines(setext_units(body))
 
 
 def demote_repeated_h1(body: Column, has_title: Column) -> Column:
     """Keep the first ``#`` heading (none when the front matter has a title); the others become ``##``."""
-    return join_lines(_demote_units(units(body, LINES), has_title))
+    return let(units(body, LINES), lambda parts: join_lines(demote_units(parts, has_title)))
 
 
 # --- blocks -----------------------------------------------------------------------------------------
@@ -102,14 +101,11 @@ def _block_gap(parts: Column, unit: Column, i: Column) -> Column:
     return (i > 0) & ((opens & ~is_blank(before)) | (_is_heading(before) & ~is_blank(unit)))
 
 
-def _separate_trimmed_blocks(body: Column) -> Column:
-    def spaced(parts: Column) -> Column:
-        return F.transform(
-            parts,
-            lambda u, i: F.when(_block_gap(parts, u, i), F.concat(F.lit("\n"), u)).otherwise(u),
-        )
-
-    return drop_trailing_blank_lines(join_lines(let(units(body, BLOCK_UNITS), spaced)))
+def spaced_blocks(parts: Column) -> Column:
+    gaps = F.transform(
+        parts, lambda u, i: F.when(_block_gap(parts, u, i), F.concat(F.lit("\n"), u)).otherwise(u)
+    )
+    return drop_trailing_blank_lines(join_lines(gaps))
 
 
 def separate_blocks(body: Column) -> Column:
@@ -118,7 +114,7 @@ def separate_blocks(body: Column) -> Column:
     A list lasts to the next heading, fence or blank line, so lazy continuation lines stay inside its
     unit and never start a second list.
     """
-    return _separate_trimmed_blocks(map_lines(body, trim_plain_line))
+    return let(units(map_lines(body, trim_plain_line), BLOCK_UNITS), spaced_blocks)
 
 
 def pipe_count(row: Column) -> Column:
@@ -137,7 +133,7 @@ def rows_are_consistent(rows: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
-def _table_rows(block: Column) -> Column:
+def table_rows(block: Column) -> Column:
     return F.transform(F.split(block, "\n", -1), rstrip)
 
 
@@ -147,26 +143,26 @@ def _repaired_table(block: Column, width: int) -> Column:
         return F.concat(F.array(F.lit("```text")), wrapped, F.array(F.lit("```")))
 
     return let(
-        _table_rows(block),
+        table_rows(block),
         lambda rows: join_lines(F.when(rows_are_consistent(rows), rows).otherwise(as_text_block(rows))),
     )
 
 
-def repair_tables(body: Column, width: int = LINE_LENGTH) -> Column:
-    """Consistent pipe tables get blank lines around them; broken ones become ``text`` blocks."""
+def repaired_tables(parts: Column, width: int = LINE_LENGTH) -> Column:
+    def unit_or_table(unit: Column, i: Column) -> Column:
+        table = F.concat(_repaired_table(unit, width), F.lit("\n"))
+        gap = (i > 0) & ~is_blank(F.get(parts, i - 1))
+        return F.when(
+            unit.rlike(r"\A" + p.TABLE_LINE),
+            F.concat(F.when(gap, F.lit("\n")).otherwise(F.lit("")), table),
+        ).otherwise(unit)
 
-    def repaired(parts: Column) -> Column:
-        def unit_or_table(unit: Column, i: Column) -> Column:
-            table = F.concat(_repaired_table(unit, width), F.lit("\n"))
-            gap = (i > 0) & ~is_blank(F.get(parts, i - 1))
-            return F.when(
-                unit.rlike(r"\A" + p.TABLE_LINE),
-                F.when(gap, F.concat(F.lit("\n"), table)).otherwise(table),
-            ).otherwise(unit)
+    return drop_trailing_blank_lines(join_lines(F.transform(parts, unit_or_table)))
 
-        return F.transform(parts, unit_or_table)
 
-    return drop_trailing_blank_lines(join_lines(let(units(body, TABLE_UNITS), repaired)))
+def repair_tables(body: Column, width: int = LINE_LENGTH) -> Column:
+    """Consistent pipe tables get blank lines around them; broken ones become ``text`` blocks."""
+    return let(units(body, TABLE_UNITS), lambda parts: repaired_tables(parts, width))
 
 
 def collapse_blank_lines(body: Column) -> Column:
@@ -233,43 +229,21 @@ def reattach_front_matter(front: Column, body: Column) -> Column:
     return F.when(front == "", body).otherwise(F.concat(rstrip(front), F.lit("\n\n"), strip(body), F.lit("\n")))
 
 
-def mechanical_fix(markdown: Column) -> Column:
+def fix_body(body: Column) -> Column:
     """One blank after heading marks, no single trailing blank, exactly one line feed at the end."""
 
-    def fixed(body: Column) -> Column:
-        def fix_line(line: Column) -> Column:
-            marks = F.regexp_replace(line, r"\A( {0,3}#{1,6})[ \t]++(?=[^ \t])", "$1 ")
-            return F.when(line.endswith(" ") & ~line.endswith("  "), rstrip(marks)).otherwise(marks)
-
-        return F.concat(F.rtrim(map_lines(body, fix_line), F.lit("\n")), F.lit("\n"))
-
-    def keep_front(front: Column) -> Column:
-        body = after_front_matter(markdown, front)
-        return F.when(front == "", let(body, fixed)).otherwise(F.concat(front, F.lit("\n"), let(body, fixed)))
+    def fix_line(line: Column) -> Column:
+        marks = F.regexp_replace(line, r"\A( {0,3}#{1,6})[ \t]++(?=[^ \t])", "$1 ")
+        return F.when(line.endswith(" ") & ~line.endswith("  "), rstrip(marks)).otherwise(marks)
 
-    return F.when(is_blank(markdown), F.lit("")).otherwise(let(front_matter(markdown), keep_front))
+    return F.concat(F.rtrim(map_lines(body, fix_line), F.lit("\n")), F.lit("\n"))
 
 
-def prepare(markdown: Column, title: Column, width: int = LINE_LENGTH) -> Column:
-    """All repair passes in their fixed order."""
-
-    def repaired_body(body: Column, has_title: Column) -> Column:
-        lines = _demote_units(_setext_units(body), has_title)
-        lines = F.transform(lines, inline.autolink_bare_urls)
-        lines = F.transform(lines, inline.escape_reversed_links)
-        lines = F.transform(lines, inline.clean_heading_punctuation)
-        blocks = collapse_blank_lines(repair_tables(_separate_trimmed_blocks(join_lines(lines)), width))
-        return let(
-            wrap_paragraphs(blocks, width),
-            lambda b: F.when(has_title, b).otherwise(ensure_document_heading(b, title)),
-        )
+def mechanical_fix(markdown: Column) -> Column:
+    """``fix_body`` of what follows the front matter."""
 
-    def with_front(text: Column, front: Column) -> Column:
-        return let(
-            front_matter_has_title(front),
-            lambda has_title: reattach_front_matter(
-                front, repaired_body(after_front_matter(text, front), has_title)
-            ),
-        )
+    def fixed(front: Column) -> Column:
+        body = fix_body(after_front_matter(markdown, front))
+        return F.when(front == "", body).otherwise(F.concat(front, F.lit("\n"), body))
 
-    return let(normalize_newlines(markdown), lambda text: let(front_matter(text), lambda front: with_front(text, front)))
+    return F.when(is_blank(markdown), F.lit("")).otherwise(let(front_matter(markdown), fixed))

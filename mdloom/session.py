@@ -1,0 +1,19 @@
+"""Session defaults; a cluster's own settings win."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+# Files travel to Python whole, so a batch is bounded in bytes and rows.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    "spark.sql.sources.binaryFile.maxLength": str(50 * 1024 * 1024),
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) in (None, "", "10000", "2147483647"):
+            spark.conf.set(key, value)
+    return spark
