@@ -16,7 +16,8 @@ from mdloom.operators.repair import scan_documents
 
 def diagnostics_of(scanned: DataFrame) -> DataFrame:
     """The diagnostics column as rows: doc_id, line_no, col, rule, message."""
-    return scanned.select("doc_id", F.inline("diagnostics"))
+    # An expression, not the bare column: Spark adds a filter on a bare column it unnests.
+    return scanned.select("doc_id", F.inline(F.coalesce("diagnostics", F.array().cast(lint.DIAGNOSTICS_TYPE))))
 
 
 def run_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

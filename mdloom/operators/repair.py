@@ -8,6 +8,7 @@ step untouched; the attempt loop uses that to leave finished documents alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from mdloom.functions import inline, lint, repair
 from mdloom.functions import text as tx
 from mdloom.functions.fixed import LINE_LENGTH, MAX_ATTEMPTS, MAX_MARKDOWN_BYTES
 from mdloom.functions.lint import DIAGNOSTICS_TYPE, RULES, Rule
+from mdloom.operators.once import computed_once
+from mdloom.sources.staging import staging_folder
 
 TOO_LARGE = "markdown_too_large"
 
@@ -66,7 +69,7 @@ def prepare_steps(width: int = LINE_LENGTH, title: str = "title") -> Steps:
 
 def prepare_documents(docs: DataFrame, width: int = LINE_LENGTH, title: str = "title") -> DataFrame:
     """All repair passes in their fixed order, on the ``markdown`` column."""
-    return run_steps(docs, prepare_steps(width, title), drop=PREPARE_COLUMNS)
+    return computed_once(run_steps(docs, prepare_steps(width, title), drop=PREPARE_COLUMNS), "markdown")
 
 
 FIX_COLUMNS = ("front_matter", "body")
@@ -83,7 +86,7 @@ def fix_steps() -> Steps:
 
 def fix_documents(docs: DataFrame) -> DataFrame:
     """The mechanical fixes, on the ``markdown`` column."""
-    return run_steps(docs, fix_steps(), drop=FIX_COLUMNS)
+    return computed_once(run_steps(docs, fix_steps(), drop=FIX_COLUMNS), "markdown")
 
 
 SCAN_COLUMNS = ("_text", "front_matter", "body", "_tables", "_lines", "_facts")
@@ -106,7 +109,7 @@ def scan_steps(rules: Sequence[Rule] = RULES) -> Steps:
 
 def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """+diagnostics: every finding of every rule, as an array in the document's row."""
-    return run_steps(docs, scan_steps(rules), drop=SCAN_COLUMNS)
+    return computed_once(run_steps(docs, scan_steps(rules), drop=SCAN_COLUMNS), "diagnostics")
 
 
 def _finding(rule: str, message: str) -> Column:
@@ -123,50 +126,75 @@ def repair_until_clean(
     max_attempts: int = MAX_ATTEMPTS,
     width: int = LINE_LENGTH,
     max_bytes: int = MAX_MARKDOWN_BYTES,
+    stage: str | None = None,
 ) -> DataFrame:
     """``markdown`` repaired; +is_clean, +attempts, +diagnostics.
 
-    Each attempt fixes, prepares and scans the documents that are not clean yet. A document that an
-    attempt no longer changes is charged the remaining attempts at once: they would all give the same
-    text and the same findings. Blank input is clean without an attempt. The attempts are unrolled
-    into one narrow plan, so a corpus is read once and never exchanged or staged between rounds.
+    Each attempt fixes, prepares and scans the documents that are not clean yet. An attempt is one
+    narrow job from table to table: its result is written split into settled and open documents, the
+    next attempt reads the open part only, and the loop ends when there is none. The result is the
+    union of the settled parts, so whatever is done with it later never repairs a document again.
+
+    A document that an attempt no longer changes is charged the remaining attempts at once: they
+    would all give the same text and the same findings. Blank input is clean without an attempt.
     """
     if max_attempts < 1 or width < 1:
         raise ValueError("max_attempts and width must be positive")
+    spark = docs.sparkSession
+    stage = stage or staging_folder(spark, "repair")
+    settled = []
+    state = _first_state(docs, width)
+    for number in range(1, max_attempts + 1):
+        table = f"{stage}/attempt={number}"
+        attempted = _attempt(state, number, rules, max_attempts, width, max_bytes)
+        attempted.write.mode("errorifexists").partitionBy("open").parquet(table)
+        written = spark.read.schema(attempted.schema).parquet(table)
+        settled.append(written.filter("not open").drop("open"))
+        state = written.filter("open")
+        if state.isEmpty():
+            break
+    result = reduce(DataFrame.unionByName, settled)
+    columns = [*[c for c in docs.columns if c != "markdown"], "markdown", "attempts", "diagnostics"]
+    return result.select(*columns, (F.size("diagnostics") == 0).alias("is_clean"))
+
+
+def _first_state(docs: DataFrame, width: int) -> DataFrame:
+    """Documents prepared once; ``open`` is false for blank ones."""
+    markdown = F.col("markdown")
+    state = docs.withColumn("open", F.coalesce(~tx.is_blank(markdown), F.lit(False)))
+    state = state.withColumn("markdown", F.when(F.col("open"), markdown))
+    state = run_steps(state, prepare_steps(width), drop=PREPARE_COLUMNS)
+    return state.withColumns({"attempts": F.lit(0), "diagnostics": F.array().cast(DIAGNOSTICS_TYPE)})
+
+
+def _attempt(
+    state: DataFrame, number: int, rules: Sequence[Rule], max_attempts: int, width: int, max_bytes: int
+) -> DataFrame:
+    """One attempt. A null ``markdown`` passes the steps untouched, so nothing is done for closed rows."""
     too_large = _finding(TOO_LARGE, "Markdown exceeds the size limit")
-    new, kept = F.col("markdown"), F.col("_kept_markdown")
-    attempts, diagnostics, is_open, same, fits = (
-        F.col(c) for c in ("attempts", "diagnostics", "_open", "_same", "_fits")
+    new, old, same, fits = F.col("markdown"), F.col("_old"), F.col("_same"), F.col("_fits")
+    is_open, diagnostics = F.col("open"), F.col("diagnostics")
+    state = state.withColumn("_old", new).withColumn(
+        "markdown", F.when(is_open & tx.within_output_limit(new, max_bytes), new)
     )
-    none = F.array().cast(DIAGNOSTICS_TYPE)
-    prepare, fix, scan = prepare_steps(width), fix_steps(), scan_steps(rules)
-
-    state = docs.withColumn("_open", ~tx.is_blank(new)).withColumn("markdown", F.when(is_open, new))
-    state = run_steps(state, prepare, drop=PREPARE_COLUMNS).withColumns(
-        {"_kept_markdown": F.coalesce(new, F.lit("")), "attempts": F.lit(0), "diagnostics": none}
-    )
-    for number in range(1, max_attempts + 1):
-        state = state.withColumn("markdown", F.when(is_open & tx.within_output_limit(kept, max_bytes), kept))
-        state = run_steps(state, fix + prepare, drop=PREPARE_COLUMNS)
-        state = state.withColumns(
-            {
-                "_same": F.lit(number > 1) & new.eqNullSafe(kept),
-                "_fits": F.coalesce(tx.within_output_limit(new, max_bytes), F.lit(False)),
-                "_before": diagnostics,
-                "_kept_markdown": F.coalesce(new, kept),
-            }
-        ).withColumn("markdown", F.when(fits & ~same, new))
-        state = run_steps(state, scan, drop=SCAN_COLUMNS)
-        state = state.withColumns(
-            {
-                "diagnostics": F.when(~is_open | same, F.col("_before")).when(~fits, too_large).otherwise(diagnostics),
-                "attempts": F.when(~is_open, attempts)
-                .when(same | ~fits, F.lit(max_attempts))
-                .otherwise(F.lit(number)),
-            }
-        ).withColumn("_open", is_open & (F.size(diagnostics) > 0) & (attempts < max_attempts))
-    return (
-        state.withColumn("markdown", kept)
-        .withColumn("is_clean", F.size(diagnostics) == 0)
-        .drop("_kept_markdown", "_open", "_same", "_fits", "_before")
+    state = run_steps(state, fix_steps() + prepare_steps(width), drop=PREPARE_COLUMNS)
+    state = state.withColumns(
+        {
+            "_same": F.lit(number > 1) & new.eqNullSafe(old),
+            "_fits": F.coalesce(tx.within_output_limit(new, max_bytes), F.lit(False)),
+            "_before": diagnostics,
+            "_old": F.coalesce(new, old, F.lit("")),
+        }
+    ).withColumn("markdown", F.when(fits & ~same, new))
+    state = run_steps(state, scan_steps(rules), drop=SCAN_COLUMNS)
+    state = state.withColumns(
+        {
+            "markdown": old,
+            "diagnostics": F.when(~is_open | same, F.col("_before")).when(~fits, too_large).otherwise(diagnostics),
+            "attempts": F.when(~is_open, F.col("attempts"))
+            .when(same | ~fits, F.lit(max_attempts))
+            .otherwise(F.lit(number)),
+        }
     )
+    still_open = is_open & (F.size(diagnostics) > 0) & (F.col("attempts") < max_attempts)
+    return state.withColumn("open", still_open).drop("_old", "_same", "_fits", "_before")

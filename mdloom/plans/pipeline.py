@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdloom.functions import fixed
 from mdloom.functions import text as tx
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.html import html_to_markdown
-from mdloom.functions.lint import DIAGNOSTICS_TYPE, RULES, Rule
+from mdloom.functions.lint import RULES, Rule
 from mdloom.operators import admission, archive, publish
 from mdloom.operators.repair import repair_until_clean
 from mdloom.sources import files as fs
 
-RESULT_COLUMNS = ("name", "markdown", "reason", "is_clean", "attempts", "diagnostics", "outcome")
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -45,15 +43,15 @@ def convert_documents(docs: DataFrame) -> DataFrame:
     return converted.withColumn("reason", reason)
 
 
-def process_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Documents (name, title, format, body) to outcomes. Narrow from end to end."""
-    return process_markdown(convert_documents(docs).drop("format", "body"), settings)
+def process_documents(docs: DataFrame, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
+    """Documents (name, title, format, body) to outcomes, without any exchange."""
+    return process_markdown(convert_documents(docs).drop("format", "body"), settings, stage)
 
 
-def process_markdown(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def process_markdown(docs: DataFrame, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
     """Repair what has no refusal yet; +is_clean, +attempts, +diagnostics, +outcome."""
     pending = docs.withColumn("markdown", F.when(F.col("reason").isNull(), F.col("markdown")))
-    repaired = repair_until_clean(pending, settings.rules, settings.max_attempts, settings.line_length)
+    repaired = repair_until_clean(pending, settings.rules, settings.max_attempts, settings.line_length, stage=stage)
     return publish.route_outcome(repaired)
 
 
@@ -86,7 +84,7 @@ def _audited(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain, judged
 
 
-def process_files(files: DataFrame, root: str, settings: Settings = Settings()) -> DataFrame:
+def process_files(files: DataFrame, root: str, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
     """A file listing with content to outcomes, one row per file that is not hidden."""
     verdicts = _gate(files, root, settings)
     plain, judged = _audited(verdicts.filter("reason is null"))
@@ -111,23 +109,22 @@ def process_files(files: DataFrame, root: str, settings: Settings = Settings())
     refused = verdicts.filter("reason is not null").withColumn("markdown", F.lit(None).cast("string"))
     columns = ["path", "name", F.col("stem").alias("title"), "markdown", "reason"]
     return process_markdown(
-        single.select(*columns).unionByName(bundles.select(*columns)).unionByName(refused.select(*columns)), settings
+        single.select(*columns).unionByName(bundles.select(*columns)).unionByName(refused.select(*columns)),
+        settings,
+        stage,
     )
 
 
-def write_run(results: DataFrame, folder: str, version: int) -> None:
-    """Stage a run once, split by outcome, so that every report and sink reads only its part."""
-    staged = results.select(*RESULT_COLUMNS).withColumn("diagnostics", F.col("diagnostics").cast(DIAGNOSTICS_TYPE))
-    staged.write.mode("errorifexists").partitionBy("outcome").parquet(f"{folder.rstrip('/')}/version={version}")
-
+def publish_run(results: DataFrame, folder: str, version: int, previous: int | None = None) -> None:
+    """Merge the valid documents of a run into the published set and write its quarantine.
 
-def publish_run(spark: SparkSession, folder: str, version: int, previous: int | None = None) -> None:
-    """Merge a staged run into the published set and fill the quarantine."""
-    staged = spark.read.parquet(f"{folder.rstrip('/')}/runs/version={version}")
-    clean = staged.filter("outcome = 'published'").select(publish.output_name(F.col("name")).alias("name"), "markdown")
-    merged = clean
+    ``results`` reads the staged tables of the repair loop, so neither write repairs anything again.
+    """
+    spark, root = results.sparkSession, folder.rstrip("/")
+    named = results.withColumn("name", publish.output_name(F.col("name")))
+    clean = named.filter("outcome = 'published'").select("name", "markdown")
     if previous is not None:
-        merged = publish.merge_latest_valid(fs.read_version(spark, f"{folder}/published", previous), clean)
-    fs.publish_sink(merged, f"{folder}/published", version)
-    dirty = staged.filter("outcome = 'quarantined'").withColumn("name", publish.output_name(F.col("name")))
-    fs.quarantine_sink(publish.quarantine_rows(dirty), f"{folder}/quarantine", version)
+        clean = publish.merge_latest_valid(fs.read_version(spark, f"{root}/published", previous), clean)
+    fs.publish_sink(clean, f"{root}/published", version)
+    quarantined = publish.quarantine_rows(named.filter("outcome = 'quarantined'"))
+    fs.quarantine_sink(quarantined, f"{root}/quarantine", version)
