@@ -20,7 +20,7 @@ from mdloom.sources import tables as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "file:/corpus/in"
-NOW = datetime(2024, 1, 20, tzinfo=timezone.utc)
+NOW = datetime(2024, 1, 29, tzinfo=timezone.utc)
 BURST_GAP_SECONDS = 6 * 3600
 REPORT_LIMIT = 400
 

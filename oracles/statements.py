@@ -262,7 +262,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "debounce": _DEBOUNCE,
     "retry_ledger": _LEDGER,
-    "due_jobs": f"select * from ({_LEDGER}) where next_due <= timestamp '2024-01-20'",
+    "due_jobs": f"select * from ({_LEDGER}) where next_due <= timestamp '2024-01-29'",
     "process_pages": o.statement(
         PAGES + repaired(rounds=3) + [("counts", "select doc_id, count(*) as n from s3 where doc_id in (select doc_id from q3) group by doc_id")],
         """select d.doc_id, p.name, d.md as markdown, d.attempts, case when d.is_clean then 'published' else 'quarantined' end as outcome,
