@@ -8,9 +8,9 @@ step untouched; the attempt loop uses that to leave finished documents alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce, wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.functions import inline, lint, repair
@@ -34,6 +34,8 @@ Steps = list[dict[str, Column]]
 
 
 def run_steps(docs: DataFrame, steps: Steps, *, drop: Sequence[str]) -> DataFrame:
+    """Project step by step. The input is fenced off: projections would move into each branch of a union."""
+    docs = computed_once(docs, "markdown")
     for step in steps:
         docs = docs.withColumns(step)
     return docs.drop(*drop)
@@ -49,6 +51,18 @@ def _split_steps(column: str) -> Steps:
 PREPARE_COLUMNS = ("front_matter", "body", "_has_title", "_parts")
 
 
+def once_per_application(build):
+    """Keep built steps: columns are only names and functions, and building them costs many JVM calls."""
+    kept = lru_cache(maxsize=16)(lambda application, *args: build(*args))
+
+    @wraps(build)
+    def steps(*args):
+        return kept(SparkSession.active().sparkContext.applicationId, *args)
+
+    return steps
+
+
+@once_per_application
 def prepare_steps(width: int = LINE_LENGTH, title: str = "title") -> Steps:
     body, front, has_title, parts = F.col("body"), F.col("front_matter"), F.col("_has_title"), F.col("_parts")
     lines = repair.demote_units(parts, has_title)
@@ -75,6 +89,7 @@ def prepare_documents(docs: DataFrame, width: int = LINE_LENGTH, title: str = "t
 FIX_COLUMNS = ("front_matter", "body")
 
 
+@once_per_application
 def fix_steps() -> Steps:
     front, fixed = F.col("front_matter"), repair.fix_body(F.col("body"))
     with_front = F.when(front == "", fixed).otherwise(F.concat(front, F.lit("\n"), fixed))
@@ -92,6 +107,7 @@ def fix_documents(docs: DataFrame) -> DataFrame:
 SCAN_COLUMNS = ("_text", "front_matter", "body", "_tables", "_lines", "_facts")
 
 
+@once_per_application
 def scan_steps(rules: Sequence[Rule] = RULES) -> Steps:
     text, body, lines = F.col("_text"), F.col("body"), F.col("_lines")
     none = F.array().cast(DIAGNOSTICS_TYPE)
@@ -109,7 +125,7 @@ def scan_steps(rules: Sequence[Rule] = RULES) -> Steps:
 
 def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """+diagnostics: every finding of every rule, as an array in the document's row."""
-    return computed_once(run_steps(docs, scan_steps(rules), drop=SCAN_COLUMNS), "diagnostics")
+    return computed_once(run_steps(docs, scan_steps(tuple(rules)), drop=SCAN_COLUMNS), "diagnostics")
 
 
 def _finding(rule: str, message: str) -> Column:
@@ -186,7 +202,7 @@ def _attempt(
             "_old": F.coalesce(new, old, F.lit("")),
         }
     ).withColumn("markdown", F.when(fits & ~same, new))
-    state = run_steps(state, scan_steps(rules), drop=SCAN_COLUMNS)
+    state = run_steps(state, scan_steps(tuple(rules)), drop=SCAN_COLUMNS)
     state = state.withColumns(
         {
             "markdown": old,

@@ -17,6 +17,7 @@ from mdloom.operators import repair as repair_ops
 from mdloom.plans import corpus
 from mdloom.plans.pipeline import process_documents
 from mdloom.sources import tables as st
+from mdloom.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "file:/corpus/in"
@@ -30,7 +31,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _documents(spark, folder):
-    return _table(spark, folder, "documents")
+    return spread(_table(spark, folder, "documents"))
+
+
+def _pages(spark, folder):
+    return spread(_table(spark, folder, "pages"))
 
 
 def _defects(spark, folder):
@@ -77,7 +82,7 @@ def _findings(spark, folder):
 
 
 def file_parts(spark, folder):
-    urls = _table(spark, folder, "pages").withColumnRenamed("url", "path")
+    urls = _pages(spark, folder).withColumnRenamed("url", "path")
     return admission.file_parts(urls).select("page_id", "name", "stem", "suffix")
 
 
@@ -153,7 +158,7 @@ def prepare_documents(spark, folder):
 
 def process_pages(spark, folder):
     """The flagship: pages to Markdown, repaired, checked and routed."""
-    done = process_documents(st.docs_from_pages(_table(spark, folder, "pages")))
+    done = process_documents(st.docs_from_pages(_pages(spark, folder)))
     return done.select("doc_id", "name", "markdown", "attempts", "outcome", F.size("diagnostics").alias("findings"))
 
 
@@ -187,7 +192,7 @@ def due_jobs(spark, folder):
 
 
 def _entities(spark, folder):
-    return _table(spark, folder, "pages").select("page_id", html.decode_entities(F.col("html")).alias("text"))
+    return _pages(spark, folder).select("page_id", html.decode_entities(F.col("html")).alias("text"))
 
 
 QUERIES: dict[str, Query] = {
@@ -196,7 +201,7 @@ QUERIES: dict[str, Query] = {
     "drop_hidden": lambda s, d: admission.drop_hidden(_files(s, d)).select("path", "name"),
     "route_format": lambda s, d: admission.route_format(_files(s, d)).select("path", "format"),
     "decode_text": decode_text,
-    "docs_from_pages": lambda s, d: st.docs_from_pages(_table(s, d, "pages")),
+    "docs_from_pages": lambda s, d: st.docs_from_pages(_pages(s, d)),
     "docs_from_documents": lambda s, d: st.docs_from_documents(_documents(s, d)),
     # admission
     "is_blocked_media_suffix": _file_flag("blocked", lambda: fa.is_blocked_media_suffix(F.col("suffix"))),
@@ -212,13 +217,13 @@ QUERIES: dict[str, Query] = {
     "archive_totals": lambda s, d: archive.archive_totals(corpus.manifest(_documents(s, d))),
     "archive_verdict": lambda s, d: archive.archive_verdict(corpus.manifest(_documents(s, d))),
     # conversion
-    "html_to_markdown": lambda s, d: _table(s, d, "pages").select("page_id", html.html_to_markdown(F.col("html")).alias("markdown")),
-    "html_title": lambda s, d: _table(s, d, "pages").select("page_id", html.html_title(F.col("html"), F.col("url")).alias("title")),
+    "html_to_markdown": lambda s, d: _pages(s, d).select("page_id", html.html_to_markdown(F.col("html")).alias("markdown")),
+    "html_title": lambda s, d: _pages(s, d).select("page_id", html.html_title(F.col("html"), F.col("url")).alias("title")),
     "text_to_markdown": lambda s, d: _documents(s, d).select("doc_id", tx.text_to_markdown(F.col("text")).alias("markdown")),
     "table_to_markdown": table_to_markdown,
     "orders_to_markdown": orders_to_markdown,
     "decode_entities": _entities,
-    "converted_size_guard": lambda s, d: _table(s, d, "pages").select("page_id", tx.converted_size_guard(html.html_to_markdown(F.col("html"))).alias("fits")),
+    "converted_size_guard": lambda s, d: _pages(s, d).select("page_id", tx.converted_size_guard(html.html_to_markdown(F.col("html"))).alias("fits")),
     # lines
     "normalize_newlines": lambda s, d: _defects(s, d).select("doc_id", tx.normalize_newlines(F.col("markdown")).alias("markdown")),
     "split_front_matter": front_matter_parts,
