@@ -109,7 +109,7 @@ def line_classes(line: Column) -> dict[str, Column]:
 
 
 def annotated_lines(lines: Column, tables: Column) -> Column:
-    """Marked lines with their classes; ``open`` means outside fences."""
+    """Marked lines with their classes; ``open`` means outside fences. Null ``tables``: there are none."""
 
     def one(x: Column, i: Column) -> Column:
         line, table = x["line"], F.get(tables, i)
@@ -118,9 +118,9 @@ def annotated_lines(lines: Column, tables: Column) -> Column:
             line.alias("line"),
             outside.alias("open"),
             x["opens_list"].alias("opens_list"),
-            table["in_table"].alias("in_table"),
-            table["opens_table"].alias("opens_table"),
-            table["table_ok"].alias("table_ok"),
+            F.coalesce(table["in_table"], F.lit(False)).alias("in_table"),
+            F.coalesce(table["opens_table"], F.lit(False)).alias("opens_table"),
+            F.coalesce(table["table_ok"], F.lit(True)).alias("table_ok"),
             is_blank(line).alias("blank"),
             is_indented(line).alias("indented"),
             (outside & line.rlike(r"\A" + p.ATX)).alias("heading"),

@@ -8,6 +8,8 @@ read: no exchange, no sort, no window.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ BLOCK_UNITS = p.units_of(p.ATX + p.REST, p.LIST_RUN)
 TABLE_UNITS = p.units_of(p.TABLE_RUN)
 BLANK_UNITS = p.units_of(p.BLANK_RUN)
 PARAGRAPH_UNITS = p.units_of(p.PARAGRAPH)
+TEXT_UNITS = p.units_of(p.PARAGRAPH, p.BLANK_RUN)
 
 
 def map_lines(body: Column, use: Callable[[Column], Column]) -> Column:
@@ -189,17 +192,35 @@ def _keeps_breaks(paragraph: Column) -> Column:
     )
 
 
-def wrap_paragraphs(body: Column, width: int = LINE_LENGTH) -> Column:
-    """Join and rewrap every paragraph that has no hard break and no link."""
+def _wrapped(paragraph: Column, width: int) -> Column:
+    one_line = F.array_join(F.transform(F.split(paragraph, "\n", -1), strip), " ")
+    return join_lines(let(one_line, lambda text: wrapped_lines(text, width)))
+
+
+def _is_free_paragraph(unit: Column) -> Column:
+    return unit.rlike(p.PARAGRAPH_START) & ~_keeps_breaks(unit)
 
-    def wrapped(paragraph: Column) -> Column:
-        one_line = F.array_join(F.transform(F.split(paragraph, "\n", -1), strip), " ")
-        return join_lines(let(one_line, lambda text: wrapped_lines(text, width)))
 
+def wrap_paragraphs(body: Column, width: int = LINE_LENGTH) -> Column:
+    """Join and rewrap every paragraph that has no hard break and no link."""
     return join_lines(
         F.transform(
             units(body, PARAGRAPH_UNITS),
-            lambda u: F.when(u.rlike(p.PARAGRAPH_START) & ~_keeps_breaks(u), wrapped(u)).otherwise(u),
+            lambda u: F.when(_is_free_paragraph(u), _wrapped(u, width)).otherwise(u),
+        )
+    )
+
+
+def collapse_and_wrap(body: Column, width: int = LINE_LENGTH) -> Column:
+    """``collapse_blank_lines`` and ``wrap_paragraphs`` in one walk: their units never overlap."""
+    return drop_trailing_blank_lines(
+        join_lines(
+            F.transform(
+                units(body, TEXT_UNITS),
+                lambda u: F.when(is_blank(u), F.substring_index(u, "\n", 1))
+                .when(_is_free_paragraph(u), _wrapped(u, width))
+                .otherwise(u),
+            )
         )
     )
 
@@ -236,7 +257,10 @@ def fix_body(body: Column) -> Column:
         marks = F.regexp_replace(line, r"\A( {0,3}#{1,6})[ \t]++(?=[^ \t])", "$1 ")
         return F.when(line.endswith(" ") & ~line.endswith("  "), rstrip(marks)).otherwise(marks)
 
-    return F.concat(F.rtrim(map_lines(body, fix_line), F.lit("\n")), F.lit("\n"))
+    # Plain substring tests show that most repaired documents have no line to fix.
+    marks_of_work = [body.contains(s) for s in (" \n", "#  ", "#\t", "# \t")]
+    lines = F.when(reduce(or_, marks_of_work) | body.endswith(" "), map_lines(body, fix_line)).otherwise(body)
+    return F.concat(F.rtrim(lines, F.lit("\n")), F.lit("\n"))
 
 
 def mechanical_fix(markdown: Column) -> Column:

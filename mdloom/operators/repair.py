@@ -68,14 +68,14 @@ def prepare_steps(width: int = LINE_LENGTH, title: str = "title") -> Steps:
     lines = repair.demote_units(parts, has_title)
     for line_pass in (inline.autolink_bare_urls, inline.escape_reversed_links, inline.clean_heading_punctuation):
         lines = F.transform(lines, line_pass)
-    tables_done = repair.collapse_blank_lines(repair.repaired_tables(parts, width))
     return [
         {"markdown": tx.normalize_newlines(F.col("markdown"))},
         *_split_steps("markdown"),
         {"_has_title": tx.front_matter_has_title(front), "_parts": repair.setext_units(body)},
         {"_parts": tx.units(tx.join_lines(lines), repair.BLOCK_UNITS)},
-        {"_parts": tx.units(repair.spaced_blocks(parts), repair.TABLE_UNITS)},
-        {"body": repair.wrap_paragraphs(tables_done, width)},
+        {"body": repair.spaced_blocks(parts)},
+        {"body": F.when(body.contains("|"), repair.repair_tables(body, width)).otherwise(body)},
+        {"body": repair.collapse_and_wrap(body, width)},
         {"body": F.when(has_title, body).otherwise(repair.ensure_document_heading(body, F.col(title)))},
         {"markdown": repair.reattach_front_matter(front, body)},
     ]
@@ -116,7 +116,7 @@ def scan_steps(rules: Sequence[Rule] = RULES) -> Steps:
         {"_text": tx.normalize_newlines(F.col("markdown"))},
         *_split_steps("_text"),
         {"body": F.regexp_replace(body, r"\n\z", "")},
-        {"_tables": lint.table_marks(body), "_lines": lint.marked_lines(body)},
+        {"_tables": F.when(body.contains("|"), lint.table_marks(body)), "_lines": lint.marked_lines(body)},
         {"_lines": lint.annotated_lines(lines, F.col("_tables"))},
         {"_facts": lint.document_facts(lines, text, F.col("front_matter"))},
         {"diagnostics": F.when(tx.is_blank(text), none).otherwise(found)},
