@@ -51,14 +51,28 @@ def strip(text: Column) -> Column:
     return rstrip(lstrip(text))
 
 
+_UTF16_LE = r"\A(?:..(?:[^D].|D[0-7])|..D[89AB]..D[C-F])*+\z"
+_UTF16_BE = r"\A(?:(?:[^D].|D[0-7])..|D[89AB]..D[C-F]..)*+\z"
+
+
 def decode_text(content: Column) -> Column:
-    """Bytes to text: UTF-16 when a byte-order mark says so, else UTF-8."""
+    """Bytes to text: UTF-16 when a byte-order mark says so, else UTF-8, else Latin-1.
+
+    Broken UTF-16 gives null: one bad file must not fail the job that reads it.
+    """
     mark = F.hex(F.substring(content, 1, 2))
     utf16 = F.substring(content, 3, MAX_INPUT_BYTES)
+    utf8 = content.cast("string")
+
+    def sound(pattern: str) -> Column:
+        return F.hex(utf16).rlike(pattern)
+
     return (
-        F.when(mark == "FFFE", F.decode(utf16, "UTF-16LE"))
-        .when(mark == "FEFF", F.decode(utf16, "UTF-16BE"))
-        .otherwise(F.decode(content, "UTF-8"))
+        F.when((mark == "FFFE") & sound(_UTF16_LE), F.decode(utf16, "UTF-16LE"))
+        .when((mark == "FEFF") & sound(_UTF16_BE), F.decode(utf16, "UTF-16BE"))
+        .when(mark.isin("FFFE", "FEFF"), F.lit(None).cast("string"))
+        .when(F.is_valid_utf8(utf8), utf8)
+        .otherwise(F.decode(content, "ISO-8859-1"))
     )
 
 

@@ -20,7 +20,7 @@ from mdloom.functions import fixed
 
 MEMBERS_SCHEMA = (
     "path string, is_zip_file boolean, entry_no bigint, entry_name string, is_dir boolean, "
-    "file_size bigint, compress_size bigint, head binary, is_zip boolean"
+    "file_size bigint, compress_size bigint, head binary, is_zip boolean, unreadable boolean"
 )
 PARTS_SCHEMA = "path string, entry_no bigint, entry_name string, content binary"
 
@@ -32,32 +32,32 @@ def _open(content: bytes) -> zipfile.ZipFile | None:
         return None
 
 
-def _holds_zip(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> bool:
-    with archive.open(entry) as member:
-        try:
-            zipfile.ZipFile(member).close()
-        except zipfile.BadZipFile:
-            return False
-        return True
+def _peek(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, bool, bool]:
+    """First bytes, "is itself a ZIP", and "cannot be read" (encrypted, damaged, unknown method)."""
+    try:
+        with archive.open(entry) as member:
+            head = member.read(16)
+        with archive.open(entry) as member:
+            return head, zipfile.is_zipfile(member), False
+    except Exception:  # whatever a hostile archive provokes concerns this archive only
+        return None, False, True
 
 
 def _member_rows(path: str, content: bytes) -> list[tuple]:
     archive = _open(content)
     if archive is None:
-        return [(path, False, None, None, None, None, None, None, None)]
+        return [(path, False, *[None] * 8)]
     with archive:
         entries = archive.infolist()
-        rows = [(path, True, None, None, None, None, None, None, None)] if not entries else []
+        if not entries:
+            return [(path, True, *[None] * 8)]
         # Archives with too many entries are refused by count alone: their members stay unread.
         read = len(entries) <= fixed.MAX_ARCHIVE_ENTRIES
+        rows = []
         for number, entry in enumerate(entries):
-            head, nested = None, False
-            if read and not entry.is_dir():
-                with archive.open(entry) as member:
-                    head = member.read(16)
-                nested = _holds_zip(archive, entry)
+            peeked = _peek(archive, entry) if read and not entry.is_dir() else (None, False, False)
             rows.append(
-                (path, True, number, entry.filename, entry.is_dir(), entry.file_size, entry.compress_size, head, nested)
+                (path, True, number, entry.filename, entry.is_dir(), entry.file_size, entry.compress_size, *peeked)
             )
         return rows
 
@@ -98,6 +98,7 @@ def member_reason() -> Column:
         .when(is_zip_suffix(suffix), "nested_archive")
         .when(a.is_blocked_media_suffix(suffix), "blocked_media")
         .when(~allowed, "unsupported_member")
+        .when(F.col("unreadable"), "unreadable_member")
         .when(a.has_media_signature(F.col("head")), "blocked_media")
         .when(F.col("is_zip"), "nested_archive")
     )
@@ -167,20 +168,20 @@ def expand_bundle(files: DataFrame) -> DataFrame:
     """The convertible members of admitted bundles as documents; their number and size are bounded."""
     suffixes = fixed.FORMAT_SUFFIXES["text"] + fixed.FORMAT_SUFFIXES["html"] + fixed.FORMAT_SUFFIXES["csv"]
 
+    def content_of(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> bytes | None:
+        try:
+            return archive.read(entry)
+        except Exception:  # found damaged only when read to its end
+            return None
+
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for number, entry in enumerate(archive.infolist()):
                         if not entry.is_dir() and entry.filename.lower().endswith(suffixes):
-                            yield pd.DataFrame(
-                                {
-                                    "path": [path],
-                                    "entry_no": [number],
-                                    "entry_name": [entry.filename],
-                                    "content": [archive.read(entry)],
-                                }
-                            )
+                            row = (path, number, entry.filename, content_of(archive, entry))
+                            yield pd.DataFrame([row], columns=["path", "entry_no", "entry_name", "content"])
 
     members = files.select("path", "content").mapInPandas(parts, PARTS_SCHEMA)
     return members.withColumn("name", F.concat("path", F.lit("!"), "entry_name")).withColumn(
@@ -189,12 +190,12 @@ def expand_bundle(files: DataFrame) -> DataFrame:
 
 
 def join_bundle(members: DataFrame) -> DataFrame:
-    """The members' Markdown under one heading each, in archive order.
+    """path, markdown: the members' Markdown under one heading each, in archive order; null when one has none.
 
     An admitted archive has a bounded number of entries and bytes, so one group is bounded too.
     """
     section = F.concat(F.lit("## "), "entry_name", F.lit("\n\n"), "markdown")
     ordered = F.sort_array(F.collect_list(F.struct("entry_no", section.alias("section"))))
-    return members.groupBy("path").agg(
-        F.array_join(F.transform(ordered, lambda part: part["section"]), "\n\n").alias("markdown")
-    )
+    text = F.array_join(F.transform(ordered, lambda part: part["section"]), "\n\n")
+    complete = F.bool_and(F.col("markdown").isNotNull())
+    return members.groupBy("path").agg(F.when(complete, text).alias("markdown"), F.lit(True).alias("has_members"))

@@ -76,7 +76,7 @@ def prepare_steps(width: int = LINE_LENGTH, title: str = "title") -> Steps:
         {"body": repair.spaced_blocks(parts)},
         {"body": F.when(body.contains("|"), repair.repair_tables(body, width)).otherwise(body)},
         {"body": repair.collapse_and_wrap(body, width)},
-        {"body": F.when(has_title, body).otherwise(repair.ensure_document_heading(body, F.col(title)))},
+        {"body": F.when(has_title, body).otherwise(repair.ensure_document_heading(body, F.coalesce(title, F.lit(""))))},
         {"markdown": repair.reattach_front_matter(front, body)},
     ]
 

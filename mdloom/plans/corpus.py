@@ -45,6 +45,7 @@ MANIFEST_COLUMNS = {
     "file_size": "n_chars * 100",
     "compress_size": "cast(1 + floor(n_chars / (1.0 + doc_id % 3)) as bigint)",
     "is_zip": "doc_id % 229 = 11",
+    "unreadable": "doc_id % 227 = 13",
 }
 # First bytes of a member: its own text, behind a media mark for some.
 MEDIA_MARK_HEX = "case when doc_id % 233 = 3 then '494433' else '' end"

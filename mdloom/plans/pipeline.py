@@ -94,8 +94,9 @@ def process_files(files: DataFrame, root: str, settings: Settings = Settings(),
         "reason",
         F.coalesce(F.col("reason"), F.when(F.col("format") == "no_converter", "no_converter")),
     )
-    readable = F.when(F.col("reason").isNull(), tx.decode_text(F.col("content")))
-    single = loose.withColumn("body", readable).withColumnRenamed("reason", "refused")
+    single = loose.withColumn("body", F.when(F.col("reason").isNull(), tx.decode_text(F.col("content"))))
+    undecodable = F.when(F.col("reason").isNull() & F.col("body").isNull(), "undecodable_text")
+    single = single.withColumn("refused", F.coalesce("reason", undecodable)).drop("reason")
     single = convert_documents(single).withColumn("reason", F.coalesce("refused", "reason"))
 
     members = admission.route_format(archive.expand_bundle(judged.filter(bundle)))
@@ -103,8 +104,13 @@ def process_files(files: DataFrame, root: str, settings: Settings = Settings(),
     bundles = archive.join_bundle(texts)
     # A bundle without a convertible member is an empty document, not a missing one.
     bundles = admission.file_parts(judged.filter(bundle).select("path")).join(bundles, "path", "left")
-    bundles = bundles.withColumn("markdown", F.coalesce("markdown", F.lit(""))).withColumn(
-        "reason", F.when(~tx.converted_size_guard(F.col("markdown")), "converted_too_large")
+    bundles = bundles.withColumn(
+        "markdown", F.when(F.col("has_members").isNull(), F.lit("")).otherwise(F.col("markdown"))
+    ).withColumn(
+        "reason",
+        F.when(F.col("markdown").isNull(), "unreadable_member").when(
+            ~tx.converted_size_guard(F.col("markdown")), "converted_too_large"
+        ),
     )
     refused = verdicts.filter("reason is not null").withColumn("markdown", F.lit(None).cast("string"))
     columns = ["path", "name", F.col("stem").alias("title"), "markdown", "reason"]

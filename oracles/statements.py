@@ -58,7 +58,7 @@ _MEMBER_PARTS = """select *, regexp_extract(entry_name, '([^/]+)$', 1) as name,
 _MEMBER_REASON = f"""case when is_dir then null when suffix in {_in(fixed.ZIP_SUFFIXES)} then 'nested_archive'
   when suffix in {_in(fixed.BLOCKED_MEDIA_SUFFIXES)} then 'blocked_media'
   when name not in {_in(fixed.ARCHIVE_PLUMBING_NAMES)} and suffix not in {_in(fixed.SUPPORTED_SUFFIXES)} and suffix <> '.rels' then 'unsupported_member'
-  when {media('head')} then 'blocked_media' when is_zip then 'nested_archive' end"""
+  when unreadable then 'unreadable_member' when {media('head')} then 'blocked_media' when is_zip then 'nested_archive' end"""
 MEMBERS: o.Ctes = [
     ("members", _MEMBERS),
     ("parts", _MEMBER_PARTS),

@@ -50,6 +50,10 @@ FILES = {
     "many.zip": zipped({f"{i}.txt": b"" for i in range(1001)}),
     "book.epub": zipped({"mimetype": b"application/epub+zip", "a.xhtml": b"<p>x</p>"}),
     "bundle.zip": zipped({"b/two.html": b"<h1>Two</h1>", "a.txt": b"one", "_rels/.rels": b"x", "pic.png": b"p"}),
+    "latin.txt": "# Grüße".encode("latin-1"),
+    "broken16.txt": b"\xff\xfe\x00\xd8x\x00",
+    "locked.zip": zipped({"a.txt": b"secret"}).replace(b"PK\x01\x02\x14\x03\x14\x00\x00\x00", b"PK\x01\x02\x14\x03\x14\x00\x01\x00"),
+    "crc.zip": zipped({"a.txt": b"abc" * 99}, zipfile.ZIP_STORED).replace(b"abcabcabc", b"abcabcabX", 1),
     ".secret.txt": b"x",
     "~$lock.txt": b"x",
 }
@@ -58,6 +62,7 @@ REASONS = {
     "scan.pdf": "no_converter", "damaged.zip": "damaged_archive", "hidden.bmp": "archive_in_disguise",
     "prefixed.rtf": "archive_in_disguise", "nested.zip": "nested_archive", "nestedname.zip": "nested_archive",
     "media.zip": "blocked_media", "bomb.zip": "unsafe_ratio", "many.zip": "too_many_entries", "book.epub": "unsupported_member",
+    "broken16.txt": "undecodable_text", "locked.zip": "unreadable_member", "crc.zip": "unreadable_member",
 }
 
 
@@ -77,6 +82,7 @@ def test_files_to_outcomes(spark, folder, tmp_path):
     assert {n: r["reason"] for n, r in rows.items() if r["reason"]} == REASONS
     assert rows["plain.txt"]["markdown"] == "# Heading\n\ntext\n"
     assert rows["utf16.txt"]["markdown"] == "# Grüße\n\nhallo\n"
+    assert rows["latin.txt"]["markdown"] == "# Grüße\n"
     assert rows["empty.txt"]["markdown"] == "" and rows["empty.txt"]["attempts"] == 0
     assert rows["page.html"]["markdown"] == "# Hi\n\nx & y\n\n- a\n- b\n"
     assert rows["table.csv"]["markdown"] == "# table\n\n| a | b |\n| --- | --- |\n| 1 | x, y |\n| 2 |  |\n| 3 | 4 |\n"
@@ -84,7 +90,7 @@ def test_files_to_outcomes(spark, folder, tmp_path):
     assert "## a.txt\n\none" in rows["bundle.zip"]["markdown"]
     assert rows["span.txt"]["outcome"] == "quarantined" and rows["span.txt"]["attempts"] == 2
     report = {r["outcome"]: r["n"] for r in publish.run_report(results).collect()}
-    assert report == {"published": 6, "quarantined": 1, "rejected": len(REASONS)}
+    assert report == {"published": 7, "quarantined": 1, "rejected": len(REASONS)}
 
     old = spark.createDataFrame([("span.txt.md", "old span"), ("plain.txt.md", "old plain")], "name string, markdown string")
     fs.publish_sink(old, f"{tmp_path}/out/published", 1)
@@ -213,6 +219,12 @@ HTML = {
 }
 
 
+def test_missing_values_are_blank_documents(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, None, "text")], "doc_id long, title string, markdown string")
+    rows = {r["doc_id"]: (r["markdown"], r["is_clean"]) for r in repair_ops.repair_until_clean(docs).collect()}
+    assert rows == {1: ("", True), 2: ("# Document\n\ntext\n", True)}
+
+
 def test_html(spark):
     frame = spark.createDataFrame(list(HTML.items()), "given string, wanted string")
     rows = frame.withColumn("got", html.html_to_markdown(F.col("given"))).filter("got != wanted").collect()
