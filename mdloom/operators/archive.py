@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mdloom.functions import admission as a
 from mdloom.functions import fixed
@@ -32,13 +33,21 @@ def _open(content: bytes) -> zipfile.ZipFile | None:
         return None
 
 
+def _is_zip(member) -> bool:
+    try:
+        zipfile.ZipFile(member).close()
+    except zipfile.BadZipFile:
+        return False
+    return True
+
+
 def _peek(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, bool, bool]:
     """First bytes, "is itself a ZIP", and "cannot be read" (encrypted, damaged, unknown method)."""
     try:
         with archive.open(entry) as member:
             head = member.read(16)
         with archive.open(entry) as member:
-            return head, zipfile.is_zipfile(member), False
+            return head, _is_zip(member), False
     except Exception:  # whatever a hostile archive provokes concerns this archive only
         return None, False, True
 
@@ -75,6 +84,44 @@ def archive_members(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(members, MEMBERS_SCHEMA)
 
 
+_MEMBER_TYPE = (
+    T.StructType()
+    .add("entry_name", T.StringType())
+    .add("is_dir", T.BooleanType())
+    .add("head", T.BinaryType())
+    .add("is_zip", T.BooleanType())
+    .add("unreadable", T.BooleanType())
+)
+_ARCHIVE_TYPE = (
+    T.StructType()
+    .add("is_zip_file", T.BooleanType())
+    .add("entries", T.LongType())
+    .add("expanded", T.LongType())
+    .add("compressed", T.LongType())
+    .add("members", T.ArrayType(_MEMBER_TYPE))
+)
+
+
+@F.pandas_udf(_ARCHIVE_TYPE)
+def inspect_archive(content: pd.Series) -> pd.DataFrame:
+    """The listing of ``archive_members`` folded into the file's own row; null content is no archive."""
+    rows = []
+    for data in content:
+        listing = _member_rows("", data) if data is not None else [("", False, *[None] * 8)]
+        found = [row for row in listing if row[2] is not None]
+        members = [dict(zip(("entry_name", "is_dir", "head", "is_zip", "unreadable"), (r[3], r[4], *r[7:]))) for r in found]
+        rows.append(
+            {
+                "is_zip_file": listing[0][1],
+                "entries": len(found),
+                "expanded": sum(r[5] for r in found),
+                "compressed": sum(r[6] for r in found),
+                "members": members if len(found) <= fixed.MAX_ARCHIVE_ENTRIES else [],
+            }
+        )
+    return pd.DataFrame(rows)
+
+
 def is_zip_suffix(suffix: Column) -> Column:
     return suffix.isin(*fixed.ZIP_SUFFIXES)
 
@@ -86,21 +133,23 @@ def archive_type_mismatch(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", reason)
 
 
-def member_reason() -> Column:
-    name, suffix = a.base_name(F.col("entry_name")), a.suffix_of(a.base_name(F.col("entry_name")))
+def member_reason(member: Callable[[str], Column] = F.col) -> Column:
+    """Why a member is refused, null when it is not. ``member`` gives its fields by name."""
+    name = a.base_name(member("entry_name"))
+    suffix = a.suffix_of(name)
     allowed = (
         name.isin(*fixed.ARCHIVE_PLUMBING_NAMES)
         | a.is_supported_suffix(suffix)
         | (suffix == fixed.ARCHIVE_PLUMBING_SUFFIX)
     )
     return (
-        F.when(F.col("is_dir"), F.lit(None).cast("string"))
+        F.when(member("is_dir"), F.lit(None).cast("string"))
         .when(is_zip_suffix(suffix), "nested_archive")
         .when(a.is_blocked_media_suffix(suffix), "blocked_media")
         .when(~allowed, "unsupported_member")
-        .when(F.col("unreadable"), "unreadable_member")
-        .when(a.has_media_signature(F.col("head")), "blocked_media")
-        .when(F.col("is_zip"), "nested_archive")
+        .when(member("unreadable"), "unreadable_member")
+        .when(a.has_media_signature(member("head")), "blocked_media")
+        .when(member("is_zip"), "nested_archive")
     )
 
 
@@ -118,50 +167,41 @@ def _totals() -> dict[str, Column]:
     }
 
 
-def _too_many() -> Column:
-    return F.col("entries") > fixed.MAX_ARCHIVE_ENTRIES
-
-
-def _too_big() -> Column:
-    return F.col("expanded") > fixed.MAX_EXPANDED_BYTES
-
-
-def _too_dense() -> Column:
-    return (F.col("compressed") > 0) & (
-        F.col("expanded") / F.nullif(F.col("compressed"), F.lit(0)) > fixed.MAX_COMPRESSION_RATIO
+def limit_reason(fact: Callable[[str], Column] = F.col, member: Column | None = None) -> Column:
+    """Entry count, then the first refused member, then size and ratio."""
+    dense = fact("expanded") / F.nullif(fact("compressed"), F.lit(0)) > fixed.MAX_COMPRESSION_RATIO
+    return (
+        F.when(fact("entries") > fixed.MAX_ARCHIVE_ENTRIES, F.lit("too_many_entries"))
+        .when(F.lit(False) if member is None else member.isNotNull(), F.lit(None) if member is None else member)
+        .when(fact("expanded") > fixed.MAX_EXPANDED_BYTES, "expands_too_far")
+        .when((fact("compressed") > 0) & dense, "unsafe_ratio")
     )
 
 
 def archive_totals(members: DataFrame) -> DataFrame:
     """Entries and sizes per archive, with the limit they break; directories count too."""
     totals = members.groupBy("path").agg(*[total.alias(name) for name, total in _totals().items()])
-    reason = (
-        F.when(_too_many(), "too_many_entries")
-        .when(_too_big(), "expands_too_far")
-        .when(_too_dense(), "unsafe_ratio")
-    )
-    return totals.withColumn("reason", reason)
+    return totals.withColumn("reason", limit_reason())
+
+
+def inspected_reason(archive: Column) -> Column:
+    """The verdict on one file from its ``inspect_archive`` struct."""
+    reasons = F.transform(archive["members"], lambda m: member_reason(lambda field: m[field]))
+    first = F.get(F.filter(reasons, lambda reason: reason.isNotNull()), F.lit(0))
+    return F.when(archive["is_zip_file"], limit_reason(lambda field: archive[field], first))
 
 
 def archive_verdict(members: DataFrame) -> DataFrame:
     """One reason per archive, null when it may be opened.
 
-    Entry count first, then the first refused member, then size and ratio. Members are judged and
-    summed in the same aggregation: one exchange of partial sums.
+    Members are judged and summed in the same aggregation: one exchange of partial sums.
     """
     judged = members.withColumn("member_reason", member_reason())
     first = F.min_by("member_reason", F.when(F.col("member_reason").isNotNull(), F.col("entry_no")))
     facts = judged.groupBy("path").agg(
         first.alias("member_reason"), *[total.alias(name) for name, total in _totals().items()]
     )
-    return facts.select(
-        "path",
-        F.when(_too_many(), F.lit("too_many_entries"))
-        .when(F.col("member_reason").isNotNull(), F.col("member_reason"))
-        .when(_too_big(), "expands_too_far")
-        .when(_too_dense(), "unsafe_ratio")
-        .alias("reason"),
-    )
+    return facts.select("path", limit_reason(member=F.col("member_reason")).alias("reason"))
 
 
 def expand_bundle(files: DataFrame) -> DataFrame:

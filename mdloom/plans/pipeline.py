@@ -14,8 +14,10 @@ from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.html import html_to_markdown
 from mdloom.functions.lint import RULES, Rule
 from mdloom.operators import admission, archive, publish
+from mdloom.operators.once import computed_once
 from mdloom.operators.repair import repair_until_clean
 from mdloom.sources import files as fs
+from mdloom.sources.staging import staging_folder
 
 
 @dataclass(frozen=True)
@@ -59,66 +61,72 @@ def _gate(files: DataFrame, root: str, settings: Settings) -> DataFrame:
     """Verdicts over a listing. The content of files over the size limit is never read."""
     fits = F.col("length") <= settings.max_input_bytes
     large = files.filter(~fits).withColumn("content", F.lit(None).cast("binary"))
-    parts = admission.drop_hidden(admission.file_parts(files.filter(fits).unionByName(large)))
+    parts = admission.drop_hidden(admission.file_parts(computed_once(files.filter(fits).unionByName(large), "content")))
     return admission.route_format(admission.admission_verdict(parts, root, settings.max_input_bytes))
 
 
-def _audited(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split admitted files into plain ones and possible archives; the latter get the audit's reason.
+def _judged(files: DataFrame, root: str, settings: Settings) -> DataFrame:
+    """Gate and archive audit in the file's own row.
 
     Every ZIP ends with a directory record, so only files that hold its mark, or have a ZIP name,
-    need to be opened.
+    are handed to Python.
     """
     mark = F.contains(F.col("content"), F.unhex(F.lit("504B0506")))
-    candidate = archive.is_zip_suffix(F.col("suffix")) | mark
-    plain, candidates = admitted.filter(~candidate), admitted.filter(candidate)
-    members = archive.archive_members(candidates)
-    facts = members.groupBy("path").agg(F.bool_or("is_zip_file").alias("is_zip_file"))
-    verdict = (
-        facts.join(archive.archive_verdict(members).withColumnRenamed("reason", "inside"), "path", "left")
+    candidate = F.col("reason").isNull() & (archive.is_zip_suffix(F.col("suffix")) | mark)
+    verdicts = _gate(files, root, settings).withColumn("candidate", candidate)
+    inspected = verdicts.withColumn("archive", archive.inspect_archive(F.when(F.col("candidate"), F.col("content"))))
+    wrong_type = archive.archive_type_mismatch(
+        inspected.withColumnRenamed("reason", "refused").withColumn("is_zip_file", F.col("archive.is_zip_file"))
     )
-    judged = archive.archive_type_mismatch(candidates.drop("reason").join(verdict, "path"))
-    judged = judged.withColumn(
-        "reason", F.coalesce(F.col("reason"), F.when(F.col("is_zip_file"), F.col("inside")))
-    ).drop("inside")
-    return plain, judged
+    audit = F.when(F.col("candidate"), F.coalesce(F.col("reason"), archive.inspected_reason(F.col("archive"))))
+    no_converter = F.when(F.col("format") == "no_converter", "no_converter")
+    return wrong_type.withColumn("reason", F.coalesce("refused", audit, no_converter)).drop("refused", "archive", "is_zip_file")
+
+
+def _intake(files: DataFrame, root: str, settings: Settings) -> DataFrame:
+    """Every file judged and, unless it is a bundle, converted; bundles keep their bytes."""
+    judged = _judged(files, root, settings)
+    admitted, bundle = F.col("reason").isNull(), F.col("format") == "bundle"
+    read = judged.withColumn("body", F.when(admitted & ~bundle, tx.decode_text(F.col("content"))))
+    undecodable = F.when(admitted & ~bundle & F.col("body").isNull(), "undecodable_text")
+    refused = read.withColumn("refused", F.coalesce("reason", undecodable))
+    converted = convert_documents(refused.drop("reason")).withColumn("reason", F.coalesce("refused", "reason"))
+    kind = F.when(admitted & bundle, "bundle").otherwise("single")
+    return converted.select(
+        "path", "name", F.col("stem").alias("title"), "markdown", "reason",
+        F.when(admitted & bundle, F.col("content")).alias("content"), kind.alias("kind"),
+    )
+
+
+def _bundles(bundles: DataFrame) -> DataFrame:
+    """Members become documents of their own, are converted, and are joined again per bundle."""
+    members = admission.route_format(archive.expand_bundle(bundles))
+    texts = archive.join_bundle(convert_documents(members.withColumn("body", tx.decode_text(F.col("content")))))
+    joined = bundles.select("path", "name", "title").join(texts, "path", "left")
+    # A bundle without a convertible member is an empty document, not a missing one.
+    markdown = F.when(F.col("has_members").isNull(), F.lit("")).otherwise(F.col("markdown"))
+    reason = F.when(F.col("markdown").isNull(), "unreadable_member").when(
+        ~tx.converted_size_guard(F.col("markdown")), "converted_too_large"
+    )
+    return joined.withColumn("markdown", markdown).withColumn("reason", reason)
 
 
 def process_files(files: DataFrame, root: str, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
-    """A file listing with content to outcomes, one row per file that is not hidden."""
-    verdicts = _gate(files, root, settings)
-    plain, judged = _audited(verdicts.filter("reason is null"))
-    bundle = (F.col("format") == "bundle") & F.col("reason").isNull()
-    loose = plain.unionByName(judged.filter(~bundle).drop("is_zip_file"))
-    loose = loose.withColumn(
-        "reason",
-        F.coalesce(F.col("reason"), F.when(F.col("format") == "no_converter", "no_converter")),
-    )
-    single = loose.withColumn("body", F.when(F.col("reason").isNull(), tx.decode_text(F.col("content"))))
-    undecodable = F.when(F.col("reason").isNull() & F.col("body").isNull(), "undecodable_text")
-    single = single.withColumn("refused", F.coalesce("reason", undecodable)).drop("reason")
-    single = convert_documents(single).withColumn("reason", F.coalesce("refused", "reason"))
-
-    members = admission.route_format(archive.expand_bundle(judged.filter(bundle)))
-    texts = convert_documents(members.withColumn("body", tx.decode_text(F.col("content"))))
-    bundles = archive.join_bundle(texts)
-    # A bundle without a convertible member is an empty document, not a missing one.
-    bundles = admission.file_parts(judged.filter(bundle).select("path")).join(bundles, "path", "left")
-    bundles = bundles.withColumn(
-        "markdown", F.when(F.col("has_members").isNull(), F.lit("")).otherwise(F.col("markdown"))
-    ).withColumn(
-        "reason",
-        F.when(F.col("markdown").isNull(), "unreadable_member").when(
-            ~tx.converted_size_guard(F.col("markdown")), "converted_too_large"
-        ),
-    )
-    refused = verdicts.filter("reason is not null").withColumn("markdown", F.lit(None).cast("string"))
-    columns = ["path", "name", F.col("stem").alias("title"), "markdown", "reason"]
-    return process_markdown(
-        single.select(*columns).unionByName(bundles.select(*columns)).unionByName(refused.select(*columns)),
-        settings,
-        stage,
-    )
+    """A file listing with content to outcomes, one row per file that is not hidden.
+
+    The files are read once: judged and converted rows are staged, bundles apart with their bytes.
+    """
+    spark = files.sparkSession
+    stage = stage or staging_folder(spark, "files")
+    taken = _intake(files, root, settings)
+    taken.write.mode("errorifexists").partitionBy("kind").parquet(f"{stage}/intake")
+    staged = spark.read.schema(taken.schema).parquet(f"{stage}/intake")
+    columns = ["path", "name", "title", "markdown", "reason"]
+    docs = staged.filter("kind = 'single'").select(*columns)
+    bundles = staged.filter("kind = 'bundle'")
+    if not bundles.isEmpty():
+        docs = docs.unionByName(_bundles(bundles).select(*columns))
+    return process_markdown(docs, settings, stage)
 
 
 def publish_run(results: DataFrame, folder: str, version: int, previous: int | None = None) -> None:
