@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.functions import fixed
@@ -13,11 +13,12 @@ from mdloom.functions import text as tx
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.html import html_to_markdown
 from mdloom.functions.lint import RULES, Rule
-from mdloom.operators import admission, archive, publish
+from mdloom.operators import admission, archive, intake, publish
 from mdloom.operators.once import computed_once
 from mdloom.operators.repair import repair_until_clean
 from mdloom.sources import files as fs
 from mdloom.sources.staging import staging_folder
+from mdloom.streaming.intake import distinct_paths
 
 
 @dataclass(frozen=True)
@@ -142,3 +143,27 @@ def publish_run(results: DataFrame, folder: str, version: int, previous: int | N
     fs.publish_sink(clean, f"{root}/published", version)
     quarantined = publish.quarantine_rows(named.filter("outcome = 'quarantined'"))
     fs.quarantine_sink(quarantined, f"{root}/quarantine", version)
+
+
+def refresh_folder(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    version: int,
+    previous: int | None = None,
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Process what is new or changed since ``previous``, publish it, and write the next ledger."""
+    distinct_paths(folder, out)
+    ledger = f"{out.rstrip('/')}/ledger"
+    listing = fs.scan_files(spark, folder).select("path", "length", "modificationTime")
+    known = listing.limit(0) if previous is None else fs.read_version(spark, ledger, previous)
+    # Staged, so that the ledger holds exactly what this run has looked at.
+    seen = staging_folder(spark, "listing")
+    listing.write.parquet(seen)
+    listing = spark.read.parquet(seen)
+    files = fs.load_changed(spark, folder, intake.changed_files(listing, known))
+    results = process_files(files, fs.root_of(folder), settings)
+    publish_run(results, out, version, previous)
+    listing.write.mode("errorifexists").parquet(f"{ledger}/version={version}")
+    return results

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,25 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder)
 
 
+def root_of(folder: str) -> str:
+    """The folder as the file source writes it into ``path``."""
+    return folder if "://" in folder or folder.startswith("file:") else "file:" + os.path.abspath(folder)
+
+
+def load_changed(spark: SparkSession, folder: str, changed: DataFrame, few: int = 10_000) -> DataFrame:
+    """The files of a metadata-only listing with their content.
+
+    The file source cannot skip the content of files that a join drops. So a short list of paths is
+    loaded by name; a long one is joined to the whole folder.
+    """
+    paths = [row["path"] for row in changed.select("path").limit(few + 1).collect()]
+    if not paths:
+        return scan_files(spark, folder).filter("false")
+    if len(paths) <= few:
+        return spark.read.format("binaryFile").load(paths)
+    return scan_files(spark, folder).join(changed.select("path"), "path", "left_semi")
+
+
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(FILES_SCHEMA).load(folder)
 

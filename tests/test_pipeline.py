@@ -15,7 +15,7 @@ from mdloom.functions.fixed import TRUNCATION_LINE
 from mdloom.operators import intake, publish
 from mdloom.operators import lint as lint_ops
 from mdloom.operators import repair as repair_ops
-from mdloom.plans.pipeline import Settings, process_files, publish_run
+from mdloom.plans.pipeline import Settings, process_files, publish_run, refresh_folder
 from mdloom.sources import files as fs
 from mdloom.streaming import intake as streams
 
@@ -118,6 +118,27 @@ def test_sinks_keep_versions_and_limits(spark, tmp_path):
     assert not (tmp_path / "p" / "version=2" / "_SUCCESS").exists()
 
 
+def test_refresh_takes_only_what_changed(spark, tmp_path):
+    source, out = tmp_path / "in", f"{tmp_path}/out"
+    source.mkdir()
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (source / name).write_text(f"text of {name}")
+    assert refresh_folder(spark, str(source), out, 1).count() == 3
+    (source / "b.txt").write_text("<b>no longer valid</b>")
+    (source / "c.txt").write_text("new text of c")
+    (source / "d.txt").write_text("text of d")
+    second = refresh_folder(spark, str(source), out, 2, previous=1)
+    assert {r["name"]: r["outcome"] for r in second.collect()} == {"b.txt": "quarantined", "c.txt": "published", "d.txt": "published"}
+    published = {r["name"]: r["markdown"] for r in fs.read_version(spark, f"{out}/published", 2).collect()}
+    assert published == {
+        "a.txt.md": "# a\n\ntext of a.txt\n", "b.txt.md": "# b\n\ntext of b.txt\n",
+        "c.txt.md": "# c\n\nnew text of c\n", "d.txt.md": "# d\n\ntext of d\n",
+    }
+    assert refresh_folder(spark, str(source), out, 3, previous=2).isEmpty()
+    listing = fs.scan_files(spark, str(source)).select("path", "length", "modificationTime")
+    assert fs.load_changed(spark, str(source), listing, few=2).count() == 4
+
+
 def test_stream_equals_batch_and_skips_done_files(spark, folder, tmp_path):
     batches = []
 
