@@ -16,25 +16,26 @@ BLOCK_TAGS = "p|div|article|section|nav|header|footer|main|blockquote"
 # costs one line of text and not a scan to the end of the page for every such tag.
 DROPPED = (
     (r"(?s)<!--.*?(?:-->|\z)", ""),
-    (r"(?is)<head\b[^>]*+>(?:(?!<body\b|</head>).)*+</head>", ""),
-    *((rf"(?is)<{tag}\b[^>]*+>(?:(?!</{tag}>).)*+(?:</{tag}>|\z)", "") for tag in ("script", "style", "noscript", "template")),
+    (r"(?is)<head\b[^<>]*+>(?:(?!<body\b|</?head>).)*+</head>", ""),
+    *((rf"(?is)<{tag}\b[^<>]*+>(?:(?!</{tag}>).)*+(?:</{tag}>|\z)", "") for tag in ("script", "style", "noscript", "template")),
 )
 INLINE = (
     (r"[ \t\n\f\r]+", " "),
-    *((rf"(?i)<h{n}\b[^>]*+>((?:(?!</?h[1-6]\b).)*+)</h{n}>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)),
-    (r"(?i)<li\b[^>]*+>", "\n- "),
-    (r"(?i)</?(?:ul|ol)\b[^>]*+>", "\n\n"),
-    (r'(?i)<a [^>]*?href="([^"]*+)"[^>]*+>((?:(?!</?a\b).)*+)</a>', "[$2]($1)"),
-    (r'(?i)<img\b(?=[^>]*?\balt="([^"]*+)")(?=[^>]*?\bsrc="([^"]*+)")[^>]*+>', "![$1]($2)"),
-    (r'(?i)<img\b(?=[^>]*?\bsrc="([^"]*+)")[^>]*+>', "![]($1)"),
+    *((rf"(?i)<h{n}\b[^<>]*+>((?:(?!</?h[1-6]\b).)*+)</h{n}>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)),
+    (r"(?i)<li\b[^<>]*+>", "\n- "),
+    (r"(?i)</?(?:ul|ol)\b[^<>]*+>", "\n\n"),
+    (r'(?i)<a [^<>]*?href="([^"]*+)"[^<>]*+>((?:(?!</?a\b).)*+)</a>', "[$2]($1)"),
+    (r'(?i)<img\b(?=[^<>]*?\balt="([^"]*+)")(?=[^<>]*?\bsrc="([^"]*+)")[^<>]*+>', "![$1]($2)"),
+    (r'(?i)<img\b(?=[^<>]*?\bsrc="([^"]*+)")[^<>]*+>', "![]($1)"),
     (r"(?i)<(?:b|strong)>([^<]*+)</(?:b|strong)>", "**$1**"),
     (r"(?i)<(?:i|em)>([^<]*+)</(?:i|em)>", "*$1*"),
     (r"(?i)<code>([^<]*+)</code>", "`$1`"),
 )
 ENDING = (
     (r"(?i)<br */?>", "\n"),
-    (rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*+>", "\n\n"),
-    (r"<[^>]+>", ""),
+    (rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*+>", "\n\n"),
+    (r"<[a-zA-Z/!?][^<>]*+>", ""),
+    (r"<[a-zA-Z/!?][^<>]*+>", ""),  # what a tag inside a tag has left
 )
 TIDY = (
     (r"[ \t]*+\n[ \t]*+", "\n"),
@@ -93,10 +94,10 @@ def _table(html: Column) -> Column:
     """Rows as pipe rows, with the separator after the first."""
 
     def cells(row: Column) -> Column:
-        found = extract_all(row, r"(?i)<t[hd]\b[^>]*+>((?:(?!</?t[hdr]\b).)*+)", 1)
+        found = extract_all(row, r"(?i)<t[hd]\b[^<>]*+>((?:(?!</?t[hdr]\b).)*+)", 1)
         return F.transform(
             found,
-            lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, r"<[^>]+>", ""), F.lit("|"), F.lit("\\|")), r"\A +| +\z", ""),
+            lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, r"<[a-zA-Z/!?][^<>]*+>", ""), F.lit("|"), F.lit("\\|")), r"\A +| +\z", ""),
         )
 
     def as_row(values: Column) -> Column:
@@ -107,13 +108,13 @@ def _table(html: Column) -> Column:
         head = F.array(as_row(rows[0]), separator)
         return F.array_join(F.concat(head, F.transform(F.slice(rows, 2, F.size(rows)), as_row)), "\n")
 
-    rows = F.transform(extract_all(html, r"(?i)<tr\b[^>]*+>(?:(?!</?tr\b).)*+"), cells)
+    rows = F.transform(extract_all(html, r"(?i)<tr\b[^<>]*+>(?:(?!</?tr\b).)*+"), cells)
     return let(rows, lambda r: F.when(F.size(r) == 0, F.lit("")).otherwise(F.concat(F.lit("\n\n"), lines(r), F.lit("\n\n"))))
 
 
 def _flow(html: Column) -> Column:
     """Everything but ``<pre>``."""
-    table = r"(?i)<table\b[^>]*+>(?:(?!</?table\b).)*+</table>"
+    table = r"(?i)<table\b[^<>]*+>(?:(?!</?table\b).)*+</table>"
     inline = _chain(html, INLINE)
     with_tables = let(inline, lambda text: F.when(text.rlike(r"(?i)<table\b"), F.array_join(_table_pieces(text, table), "")).otherwise(text))
     return _chain(decode_entities(_chain(with_tables, ENDING)), TIDY)
@@ -127,15 +128,15 @@ def _table_pieces(text: Column, table: str) -> Column:
 
 
 def _preformatted(html: Column) -> Column:
-    inner = F.regexp_replace(html, r"(?i)\A<pre\b[^>]*+>\n?|</pre>\z", "")
-    text = decode_entities(F.regexp_replace(inner, r"<[^>]+>", ""))
+    inner = F.regexp_replace(html, r"(?i)\A<pre\b[^<>]*+>\n?|</pre>\z", "")
+    text = decode_entities(F.regexp_replace(inner, r"<[a-zA-Z/!?][^<>]*+>", ""))
     code = F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
     return F.concat(F.lit("```\n"), F.rtrim(code, F.lit("\n")), F.lit("\n```"))
 
 
 def html_to_markdown(html: Column) -> Column:
     """Markdown of a page: all body content is kept, scripts, styles, comments and the head are not."""
-    pre = r"(?is)<pre\b[^>]*+>(?:(?!</pre>).)*+</pre>"
+    pre = r"(?is)<pre\b[^<>]*+>(?:(?!</?pre\b).)*+</pre>"
     cleaned = _chain(html, DROPPED)
 
     def with_pre(text: Column) -> Column:
@@ -150,7 +151,7 @@ def html_to_markdown(html: Column) -> Column:
 
 def html_title(html: Column, url: Column) -> Column:
     """The title element, else the stem of the URL's last path part."""
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    raw = F.regexp_extract(html, r"(?is)<title\b[^<>]*+>((?:(?!</?title\b).)*+)</title>", 1)
     title = F.regexp_replace(F.regexp_replace(decode_entities(raw), r"[ \t\n\f\r]+", " "), r"\A +| +\z", "")
     path = F.regexp_replace(url, r"[?#].*", "")
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)/?\z", 1), r"(?<=.)\.[^.]*\z", "")

@@ -162,8 +162,8 @@ def _filled(neighbour: Column) -> Column:
     return F.coalesce(~neighbour["blank"], F.lit(False))
 
 
-_NO_MARKUP = rf"{p.CODE_SPAN}|<https?://[^>]*+>"
-_TAG = r"<[a-zA-Z/!][^>]*>"
+_NO_MARKUP = rf"{p.CODE_SPAN}|<https?://[^<>]*+>"
+_TAG = r"<[a-zA-Z/!][^<>]*+>"
 PRAGMA = r"\A<!-- *pyml "
 GOOD_PRAGMA = (
     r"\A<!-- *pyml (?:(?:disable|enable|disable-next-line) +[^ ]+|disable-num-lines +[0-9]+ +[^ ]+) *-->[ \t]*\z"

@@ -352,8 +352,8 @@ def annotated(p: str, src: str) -> Ctes:
     return ctes
 
 
-_STRIPPED = "regexp_replace(line, '`[^`]*`|<https?://[^>]*>', ' ', 'g')"
-_TAG = f"regexp_extract({_STRIPPED}, '<[a-zA-Z/!][^>]*>')"
+_STRIPPED = "regexp_replace(line, '`[^`]*`|<https?://[^<>]*>', ' ', 'g')"
+_TAG = f"regexp_extract({_STRIPPED}, '<[a-zA-Z/!][^<>]*>')"
 _GOOD = r"^<!-- *pyml (?:(?:disable|enable|disable-next-line) +[^ ]+|disable-num-lines +[0-9]+ +[^ ]+) *-->[ \t]*$"
 
 # rule -> (message, condition, column)
