@@ -263,3 +263,20 @@ def test_repair_needs_no_exchange(spark, folder):
     for frame in (repair_ops.prepare_documents(docs), repair_ops.scan_documents(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_large_and_hostile_documents_stay_linear(spark):
+    n = 20_000
+    texts = {
+        "fence": "```\n" + "code\n" * n + "```\nx", "unclosed": "```\n" + "~~~\n" * n, "fences": "```\na\n```\n" * n,
+        "blank": "\n" * n + "x", "table": "| a | b |\n| --- | --- |\n" + "| 1 | 2 |\n" * n, "broken": "| a | b |\n" * n,
+        "list": "- item\n" * n, "headings": "# Head\n" * n, "line": "word " * n, "tags": "<b " * n, "brackets": "[" * n + "http://a",
+        "links": "[a](http://b) http://c " * n, "ticks": "` http://a " * n,
+    }
+    docs = spark.createDataFrame([(k, "t", v) for k, v in texts.items()], "name string, title string, markdown string")
+    done = repair_ops.scan_documents(repair_ops.prepare_documents(docs.repartition(8)))
+    sizes = {r["name"]: r["n"] for r in done.select("name", F.length("markdown").alias("n"), "diagnostics").collect()}
+    assert sizes["blank"] == len("# t\n\nx") and sizes["fence"] > 5 * n and len(sizes) == len(texts)
+    pages = {"img": "<img x " * n, "a": "<a " * n, "pre": "<pre>x" * n, "h1": "<h1>x" * n, "lt": "a < b " * n, "comment": "<!-- x" * n}
+    frame = spark.createDataFrame(list(pages.items()), "name string, html string")
+    assert len(frame.select(html.html_to_markdown(F.col("html"))).collect()) == len(pages)
