@@ -120,10 +120,10 @@ class Words:
     first: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``; with ``fold``, A-Z count as a-z."""
+def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of bytes outside ``space``; with ``fold``, A-Z count as a-z."""
     n = len(data)
-    space = SPACE[data]
+    space = space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before, after = edge[:n].copy(), edge[1:].copy()

@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import table
+from mdloom.llm.bpe import encode_and_decode_digests, prepare
+from mdloom.llm.common import held_out, table
+from mdloom.llm.decontaminate import find_leaks
 from mdloom.llm.neardup import near_duplicates
 from mdloom.llm.substring import remove_repeats
+from mdloom.llm.toxicity import PREDICT_FROM, fit_toxicity, toxicity_score
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    score = toxicity_score(fit_toxicity(docs, table(spark, folder, "labels")))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
 
 
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return encode_and_decode_digests(docs, prepare(docs, TOKENIZER)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, folder, "benchmark")).select(
+        "row.doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.array_min("matches.distance").alias("least_distance"), "matches"
+    )
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {}
