@@ -9,9 +9,11 @@ with nothing. Documents are linked when 100 * intersection >= 75 * union, decide
    with 75 % similarity misses all bands with probability 5e-6.
 3. The population count of the XOR of two odd sketches estimates the similarity; pairs estimated below ``SKETCH_FLOOR`` (over six standard
    errors under the threshold) are dropped, all others are decided on their full sets.
-4. Connected components. Pairs of one component need no check. A bucket whose members are still in several components is searched
-   further: members outside its largest component are compared, a block per round, with all members of other components, until every
-   bucket is closed. So no link between components is left out, and no group's pairs are enumerated.
+4. Connected components. Pairs of one component need no check. In buckets whose members are still in several components, members of
+   different components are compared in blocks of about ``BLOCK`` members, inside the tasks: only pairs that pass go out, to be decided on
+   their full sets. What they must pass, besides the sketch, is certain: an odd sketch of the full set itself, whose XOR population count
+   never exceeds the number of elements in which two sets differ. So no link between components is left out, and no pairs of a group are
+   emitted.
 
 Sets are compared by 64-bit shingle hashes. Rows with one doc_id count as one document; rows without doc_id as one with the largest id.
 """
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdloom.llm.common import NO_ID, STEP, Stage, mix64, signed, text_runs, window_hashes, words_of
@@ -33,7 +35,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SKETCH_FLOOR = 0.5
-BLOCK = 32  # members of a bucket compared with all others in one round
+PARITY_BITS = 1024
+BLOCK = 1024  # members of an open bucket that a task compares with as many others
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
@@ -95,7 +98,19 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - differ / SAMPLES
 
 
-SIGNATURE = "id bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary"
+def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of the full sets."""
+    odd = [np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1 for s in sets]
+    return np.packbits(np.array(odd, np.uint8).reshape(len(sets), PARITY_BITS), axis=1)
+
+
+def may_be_linked(n: np.ndarray, m: np.ndarray, parity_n: np.ndarray, parity_m: np.ndarray) -> np.ndarray:
+    """False only for pairs of sets (sizes and parity bitmaps) that cannot reach the threshold."""
+    differ = np.bitwise_count(parity_n ^ parity_m).sum(axis=1, dtype=np.int64)
+    return ((100 + THRESHOLD_PERCENT) * differ <= (100 - THRESHOLD_PERCENT) * (n + m)) & (100 * np.minimum(n, m) >= THRESHOLD_PERCENT * np.maximum(n, m))
+
+
+SIGNATURE = "id bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary, parity binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +131,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(signed(b)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                     pa.array([row.tobytes() for row in sketches], pa.binary()),
+                    pa.array([row.tobytes() for row in parity_bitmaps(sets)], pa.binary()),
                 ],
-                names=["id", "n", "print_a", "print_b", "bands", "sketch"],
+                names=["id", "n", "print_a", "print_b", "bands", "sketch", "parity"],
             )
 
 
@@ -128,15 +144,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(packed, pa.binary())], names=["rep", "shingles"])
 
 
-def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def _words_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = (_bytes_matrix(batch.column(c), SKETCH_BITS // 8) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(sketch_similarity(a, b) >= SKETCH_FLOOR))
+            get = lambda c: _words_matrix(batch.column(c))  # noqa: E731, B023
+            sizes = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            keep = may_be_linked(*sizes, get("parity_a"), get("parity_b")) & (sketch_similarity(get("sketch_a"), get("sketch_b")) >= SKETCH_FLOOR)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,19 +168,39 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A member against its bucket's block: pairs of different components that size and sketch allow."""
+def _compared(group: pa.Table) -> pa.RecordBatch:
+    """Pairs of two blocks (or of one) of a bucket, in different components, that size, parity and sketch allow."""
+    rep, comp, n, block = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
+    sketch, parity = (_words_matrix(group.column(c).combine_chunks()) for c in ("sketch", "parity"))
+    two = block[0] != block[-1]  # sorted by block
+    found = [np.zeros((0, 2), np.int64)]
+    for i in range(1, len(rep)):
+        others = np.flatnonzero((comp[:i] != comp[i]) & ((block[:i] != block[i]) | (not two)))
+        others = others[may_be_linked(n[others], n[i], parity[others], parity[i])]
+        others = others[sketch_similarity(sketch[others], sketch[[i]]) >= SKETCH_FLOOR]
+        found.append(np.stack((np.minimum(rep[others], rep[i]), np.maximum(rep[others], rep[i])), axis=1))
+    pairs = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _blocks_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and pair of blocks; one such group is held at a time."""
+    open_: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        for row in batch.to_pylist():
-            block = [x for x in row["block"] if x["comp"] != row["comp"] and 100 * min(x["n"], row["n"]) >= THRESHOLD_PERCENT * max(x["n"], row["n"])]
-            if not block:
-                continue
-            own = np.frombuffer(row["sketch"], np.uint8)[None, :]
-            close = sketch_similarity(_bytes_matrix(pa.array([x["sketch"] for x in block]), SKETCH_BITS // 8), own) >= SKETCH_FLOOR
-            ids = [x["rep"] for x, near in zip(block, close, strict=True) if near]
-            low = [min(x, row["rep"]) for x in ids]
-            high = [max(x, row["rep"]) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
+        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            key = tuple(keys[low])
+            if key != last and open_:
+                yield _compared(pa.Table.from_batches(open_))
+                open_ = []
+            last = key
+            open_.append(batch.slice(low, high - low))
+    if open_:
+        yield _compared(pa.Table.from_batches(open_))
 
 
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
@@ -197,41 +235,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signatures.filter("n > 0")
         .join(least, ["print_a", "print_b"])
         .filter("id = rep")
-        .select("rep", "n", "bands", "sketch"),
+        .select("rep", "n", "bands", "sketch", "parity"),
         "classes",
     )
     by_band = classes.select("rep", F.explode("bands").alias("band"))
     shared = by_band.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     members = stage.write(by_band.join(shared.drop("members"), "band").distinct(), "members")
-    sketches = classes.select("rep", "n", "sketch").join(members.select("rep").distinct(), "rep", "left_semi")
+    sketches = classes.select("rep", "n", "sketch", "parity").join(members.select("rep").distinct(), "rep", "left_semi")
     sets = stage.write(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_full_sets, "rep bigint, shingles binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_by_sets, "a bigint, b bigint")
 
-    a, b = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    a, b = (sketches.select(*(F.col(c).alias(x if c == "rep" else f"{c}_{x}") for c in sketches.columns)) for x in "ab")
     first = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    close = first.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= THRESHOLD_PERCENT * F.greatest("n_a", "n_b"))
-    links = linked(close.mapInArrow(_by_sketch, "a bigint, b bigint"))
-    comps = components(stage.write(links, "links-0"), stage, "comps-0")
-
-    turn, done = 0, members.filter("rep = leader").select("band", "rep")
-    while True:
-        labels = members.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        sizes = labels.groupBy("band", "comp").agg(F.count("*").alias("size"))
-        several = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
-        waiting = labels.join(several.drop("comps"), "band").join(done, ["band", "rep"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("comp", "rep"))
-        block = stage.write(waiting.filter("comp <> largest").withColumn("at", rank).filter(F.col("at") <= BLOCK).select("band", "rep", "comp"), f"block-{turn}")
-        if block.isEmpty():
-            break
-        blocks = block.join(sketches, "rep").groupBy("band").agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("block"))
-        against = waiting.select("band", "rep", "comp").join(sketches, "rep").join(blocks, "band").select("rep", "comp", "n", "sketch", "block")
-        found = stage.write(linked(against.mapInArrow(_block_by_sketch, "a bigint, b bigint")), f"links-{turn + 1}")
-        done = stage.write(done.union(block.select("band", "rep")), f"done-{turn}")
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found), stage, f"comps-{turn + 1}")
-        turn += 1
+    links = stage.write(linked(first.join(a, "a").join(b, "b").mapInArrow(_by_sketch, "a bigint, b bigint")), "links")
+    comps = components(links, stage, "first")
+
+    labels = members.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_buckets = labels.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).filter("least <> most")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = (
+        labels.join(open_buckets, "band")
+        .select("band", "rep", "comp", F.pmod(F.xxhash64("rep"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+        .join(sketches, "rep")
+        .select("band", F.least("block", "other").cast("bigint").alias("low"), F.greatest("block", "other").cast("bigint").alias("high"), "block", "rep", "comp", "n", "sketch", "parity")
+    )
+    compared = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block").mapInArrow(_blocks_compared, "a bigint, b bigint")
+    more = stage.write(linked(compared), "more")
+    if not more.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), stage, "second")
 
     classes_of = least.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("print_a", "print_b", F.coalesce("comp", "rep").alias("comp"))
     rows = signatures.select("id", "n", "print_a", "print_b").join(classes_of, ["print_a", "print_b"], "left")
