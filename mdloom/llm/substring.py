@@ -9,8 +9,9 @@ input.
   Only anchors (4 of 13 positions) are hashed and shuffled, and those that occur twice are found.
 * **Extension.** Only windows that contain an anchor found twice can repeat. Their full hashes are shuffled, and the earliest start of
   each is found: every other occurrence repeats. So chance anchors and short matches fall out here.
-* **Skew.** Within a run of texts all but one occurrence of a hash are settled at once and leave under a random key; a hash that a third
-  of all documents share reaches the shuffle once per run of texts. Sorted partitions are streamed, holding one row.
+* **Skew.** A task settles all but one occurrence of a hash among the entries it holds; a hash that a third of all documents share reaches
+  the shuffle once per ``HELD`` entries. Entries travel in packed rows per bucket of hashes; a partition is sorted by bucket, and one
+  bucket is held at a time.
 
 Windows are compared by 64-bit hashes of their words. Null and empty texts have no words. Repeated rows tie, so neither makes the other
 repeat; rows of one doc_id are versions of one document; rows without doc_id count as one document behind all others. Other columns are
@@ -28,53 +29,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import NO_ID, mix64, partitions, signed, text_runs, window_hashes, words_of
+from mdloom.llm.common import NO_ID, partitions, text_runs, window_hashes, words_of
 
 WINDOW_WORDS = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # fixed values: every difference modulo 13 occurs
 ANCHOR_WORDS = WINDOW_WORDS - PERIOD + 1
-SPOTS = "key bigint, id bigint, version bigint, at int, settled boolean"
-PLACES = "id bigint, version bigint, at int"
+HELD = 500_000  # entries that a task holds before it packs them
+BUCKETS_EACH = 16  # buckets of hashes per shuffle partition
+PACKED = "bucket int, settled boolean, keys binary, ids binary, versions binary, places binary"
+PLACES = "id bigint, version int, places binary"
+ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("version", "<i4"), ("at", "<i4")])
+Batches = Iterator[pa.RecordBatch]
 
 
-def _spots(ids: np.ndarray, versions: np.ndarray, at: np.ndarray, hashes: np.ndarray, every: bool) -> pa.RecordBatch:
-    """One row per hash for the others to meet, all further occurrences settled under a random key.
+def _entries(keys: np.ndarray, ids: np.ndarray, versions: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keys), ENTRY)
+    out["key"], out["id"], out["version"], out["at"] = keys, ids, versions, at
+    return out
 
-    ``every``: the first occurrence is settled too if the hash occurs again here (anchors: to occur twice is all that matters).
+
+def _settle(entries: np.ndarray, every: bool, partial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose place is known to repeat, and those to be compared with entries elsewhere.
+
+    ``every``: any occurrence of a key that occurs twice repeats (anchors); else only those that start later than the first (windows).
+    ``partial``: other entries of these keys may be elsewhere, so the first of each key goes on to meet them.
     """
-    order = np.lexsort((at, ids, hashes))
-    hashes, ids, versions, at = hashes[order], ids[order], versions[order], at[order]
-    new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
-    again = ~new
-    if every:  # twice: the first row still goes to its hash, and once more settled
-        twice = np.flatnonzero(new[:-1] & again[1:])
-        add = lambda x: np.concatenate((x, x[twice]))
-        hashes, ids, versions, at, settled = add(hashes), add(ids), add(versions), add(at), np.concatenate((again, np.ones(len(twice), bool)))
-    else:  # later than the first of the run; a tie with it is left open
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        settled = again & ((ids != ids[lead]) | (at != at[lead]))
-    key = np.where(settled, mix64(hashes + mix64(ids.view(np.uint64) * np.uint64(31) + at.astype(np.uint64))), hashes)
-    return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids), pa.array(versions), pa.array(at.astype(np.int32)), pa.array(settled)], names=["key", "id", "version", "at", "settled"])
-
-
-def _columns(batch: pa.RecordBatch, low: int, high: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(batch.column(c).slice(low, high - low).to_numpy(zero_copy_only=False)[text] for c in ("id", "version"))
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((entries["at"], entries["id"], entries["key"]))
+    entries = entries[order]
+    key = entries["key"]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    if every:
+        repeats = ~new
+        repeats[:-1] |= ~new[1:]
+    else:
+        first = entries[lead]
+        repeats = (entries["id"] != first["id"]) | (entries["at"] != first["at"])
+    return entries[repeats], entries[new if every else ~repeats] if partial else entries[:0]
+
+
+def _packed(settled: np.ndarray, going_on: np.ndarray, buckets: int) -> Batches:
+    """One row per bucket; in it entries by document and place, which compress well."""
+    for entries, known in ((settled, True), (going_on, False)):
+        if not len(entries):
+            continue
+        by = entries["id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if known else entries["key"]
+        bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.lexsort((entries["at"], entries["version"], entries["id"], bucket))
+        entries, bucket = entries[order], bucket[order]
+        cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        pack = lambda name: pa.array([entries[name][a:b].tobytes() for a, b in spans], pa.binary())  # noqa: E731, B023
+        keys = pa.array([b""] * len(spans), pa.binary()) if known else pack("key")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts[:-1]]), pa.array([known] * len(spans)), keys, pack("id"), pack("version"), pack("at")],
+            names=["bucket", "settled", "keys", "ids", "versions", "places"],
+        )
+
+
+def _sent(parts: Iterator[np.ndarray], every: bool, buckets: int) -> Batches:
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= HELD:
+            yield from _packed(*_settle(np.concatenate(held), every, partial=True), buckets)
+            held = []
+    if held:
+        yield from _packed(*_settle(np.concatenate(held), every, partial=True), buckets)
+
+
+def _of_words(batch: pa.RecordBatch, low: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False)[low + text] for c in ("id", "version"))
+
+
+def _anchors(batches: Batches) -> Iterator[np.ndarray]:
     for batch in batches:
-        for low, high, data, offsets in text_runs(batch):
+        for low, _high, data, offsets in text_runs(batch):
             words = words_of(data, offsets)
             hashes, inside = window_hashes(words, ANCHOR_WORDS)
+            count = len(hashes)
             at = np.arange(len(words.hash)) - words.first[words.text]
             long_enough = np.diff(words.first)[words.text] >= WINDOW_WORDS
-            chosen = np.flatnonzero(inside & np.isin(at % PERIOD, COVER)[: len(hashes)] & long_enough[: len(hashes)])
-            ids, versions = _columns(batch, low, high, words.text[chosen])
-            yield _spots(ids, versions, at[chosen], hashes[chosen], every=True)
+            chosen = np.flatnonzero(inside & np.isin(at % PERIOD, COVER)[:count] & long_enough[:count])
+            yield _entries(hashes[chosen], *_of_words(batch, low, words.text[chosen]), at[chosen])
 
 
-def _candidate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidate_windows(batches: Batches) -> Iterator[np.ndarray]:
     """Windows that contain an anchor found twice."""
     for batch in batches:
         for low, high, data, offsets in text_runs(batch):
@@ -83,98 +125,100 @@ def _candidate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             if not len(hashes):
                 continue
             marked = np.zeros(len(words.hash) + 1, np.int64)
-            places = batch.column("places").slice(low, high - low)
-            spots = places.flatten().to_numpy(zero_copy_only=False)
-            count = np.array([len(x) if x.is_valid else 0 for x in places])
-            spots = spots + np.repeat(words.first[:-1], count)
-            marked[1 + spots] = 1
+            for begin, parts in zip(words.first[:-1].tolist(), batch.column("places").slice(low, high - low).to_pylist(), strict=True):
+                for part in parts:
+                    marked[1 + begin + np.frombuffer(part, np.int32)] = 1
             found = np.cumsum(marked)
             starts = np.arange(len(hashes))
             chosen = np.flatnonzero(inside & (found[starts + PERIOD] > found[starts]))
-            ids, versions = _columns(batch, low, high, words.text[chosen])
-            yield _spots(ids, versions, starts[chosen] - words.first[words.text[chosen]], hashes[chosen], every=False)
+            yield _entries(hashes[chosen], *_of_words(batch, low, words.text[chosen]), starts[chosen] - words.first[words.text[chosen]])
+
+
+def _by_document(entries: np.ndarray) -> pa.RecordBatch:
+    entries = entries[np.lexsort((entries["at"], entries["version"], entries["id"]))]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["id"][1:] != entries["id"][:-1]) | (entries["version"][1:] != entries["version"][:-1])
+    cuts = np.concatenate((np.flatnonzero(new), [len(entries)])).tolist()
+    places = pa.array([entries["at"][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(entries["id"][new]), pa.array(entries["version"][new]), places], names=["id", "version", "places"])
+
+
+def _received(every: bool) -> Callable[[Batches], Batches]:
+    """Packed rows sorted by bucket to the places that repeat, packed by document."""
 
+    def run(batches: Batches) -> Batches:
+        bucket, open_, done = None, [], []
 
-def _repeats(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by key (and place) to places that repeat; with ``every``, the first of two or more counts too."""
+        def close() -> None:
+            if open_:
+                done.append(_settle(np.concatenate(open_), every, partial=False)[0])
+                open_.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, id, at of the first row of the open key; whether it is still to be given out
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids, versions, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "version", "at"))
-            settled = batch.column("settled").to_numpy(zero_copy_only=False)
-            new = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            if every:
-                out = ~new
-                out[:-1] |= new[:-1] & ~new[1:]
-            else:
-                first_id = np.where(lead >= 0, ids[lead], last[1] if last else 0)
-                first_at = np.where(lead >= 0, at[lead], last[2] if last else 0)
-                out = ~new & ((ids != first_id) | (at != first_at))
-            out |= settled
-            rows = [ids[out], versions[out], at[out]]
-            if every and last is not None and last[3] is not None and not new[0]:
-                rows = [np.concatenate(([x], r)) for x, r in zip(last[3], rows, strict=True)]
-            if new.any():
-                k = int(np.flatnonzero(new)[-1])
-                waiting = (ids[k], versions[k], at[k]) if k == len(key) - 1 else None
-                last = (key[k], ids[k], at[k], waiting)
-            else:
-                last = (*last[:3], None)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int64)), pa.array(rows[1].astype(np.int64)), pa.array(rows[2].astype(np.int32))], names=["id", "version", "at"])
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "settled", "keys", "ids", "versions", "places")]
+            for at, known, keys, ids, versions, places in zip(*columns, strict=True):
+                ids, versions, places = np.frombuffer(ids, np.int64), np.frombuffer(versions, np.int32), np.frombuffer(places, np.int32)
+                if at != bucket:
+                    close()
+                    bucket = at
+                entries = _entries(np.zeros(len(ids), np.uint64) if known else np.frombuffer(keys, np.uint64), ids, versions, places)
+                (done if known else open_).append(entries)
+                if sum(map(len, done)) >= HELD:
+                    yield _by_document(np.concatenate(done))
+                    done = []
+        close()
+        if done:
+            yield _by_document(np.concatenate(done))
 
     return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Batches) -> Batches:
     for batch in batches:
         kept, counts, removed = [], [], []
-        for text, starts in zip(batch.column("text"), batch.column("repeats"), strict=True):
+        for text, parts in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
             words = (text.as_py() or "").encode().split()
             counts.append(len(words))
-            if not starts.is_valid or not len(starts.values):
+            if not parts:
                 removed.append(0)
                 kept.append(b" ".join(words))
                 continue
+            begin = np.unique(np.frombuffer(b"".join(parts), np.int32))
             edge = np.zeros(len(words) + 1, np.int64)
-            begin = np.unique(starts.values.to_numpy())
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + WINDOW_WORDS, -1)
+            edge[begin] += 1
+            edge[begin + WINDOW_WORDS] -= 1
             keep = np.cumsum(edge[:-1]) == 0
             removed.append(int(len(words) - np.count_nonzero(keep)))
             kept.append(b" ".join(compress(words, keep.tolist())))
-        columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("text", "repeats")]
-        names = [name for name in batch.schema.names if name not in ("text", "repeats")]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array([k.decode() for k in kept], pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-            names=[*names, "kept_text", "n_words", "n_removed", "kept_sha256"],
+            [
+                batch.column("row"),
+                pa.array([k.decode() for k in kept], pa.string()),
+                pa.array(counts, pa.int64()),
+                pa.array(removed, pa.int64()),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+            ],
+            names=["row", "kept_text", "n_words", "n_removed", "kept_sha256"],
         )
 
 
-def _grouped(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("id", "version").agg(F.collect_list("at").alias(name))
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` as ``row`` (all input columns but ``text``), ``kept_text, n_words, n_removed, kept_sha256``.
 
     ``kept_text`` joins the words left by one space. Input columns stay apart in the struct ``row``, so that no name can clash.
     """
     count = partitions(docs.sparkSession)
+    buckets = count * BUCKETS_EACH
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    texts = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"),
-        F.struct(*rest).alias("row"),
-        "text",
-    )
-    by_id = texts.repartition(count, "id", "version")
-    spots = texts.select("id", "version", "text").mapInArrow(_anchors, SPOTS)
-    twice = spots.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_repeats(every=True), PLACES)
-    candidates = by_id.join(_grouped(twice, "places"), ["id", "version"]).select("id", "version", "text", "places").mapInArrow(_candidate_windows, SPOTS)
-    repeats = candidates.repartition(count, "key").sortWithinPartitions("key", "id", "at").mapInArrow(_repeats(every=False), PLACES)
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.hash("text").alias("version"), F.struct(*rest).alias("row"), "text")
+    by_id = texts.repartition(count, "id", "version")  # one exchange of the texts, read twice
+
+    def places(packed: DataFrame, every: bool) -> DataFrame:
+        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every), PLACES)
+        return found.groupBy("id", "version").agg(F.collect_list("places").alias("places"))
+
+    anchors = texts.select("id", "version", "text").mapInArrow(lambda batches: _sent(_anchors(batches), True, buckets), PACKED)
+    marked = by_id.join(places(anchors, every=True), ["id", "version"]).select("id", "version", "row", "text", "places")
+    windows = marked.mapInArrow(lambda batches: _sent(_candidate_windows(batches), False, buckets), PACKED)
     schema = f"row {texts.schema['row'].dataType.simpleString()}, kept_text string, n_words bigint, n_removed bigint, kept_sha256 string"
-    return by_id.join(_grouped(repeats, "repeats"), ["id", "version"], "left").select("row", "text", "repeats").mapInArrow(_kept, schema)
+    return by_id.join(places(windows, every=False), ["id", "version"], "left").select("id", "version", "row", "text", "places").drop("id", "version").mapInArrow(_kept, schema)
