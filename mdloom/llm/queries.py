@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from mdloom.llm.bpe import encode_and_decode_digests, prepare
 from mdloom.llm.common import held_out, table
 from mdloom.llm.decontaminate import find_leaks
+from mdloom.llm.langid import fit_languages, identify_languages
 from mdloom.llm.neardup import near_duplicates
+from mdloom.llm.quality import fit_quality, judge_quality
 from mdloom.llm.substring import remove_repeats
 from mdloom.llm.toxicity import PREDICT_FROM, fit_toxicity, toxicity_score
 
@@ -32,10 +34,22 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_decode_digests(docs, prepare(docs, TOKENIZER)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = identify_languages(docs.select("doc_id", "text"), fit_languages(docs))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = judge_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, folder, "benchmark")).select(
@@ -47,7 +61,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {}
