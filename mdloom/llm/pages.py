@@ -290,6 +290,9 @@ def labelled_layouts(title: str, body: list[str], small: list[str], rng: random.
         f'<div class="notice" data-gold="0"><p>{long_()}</p></div><section data-gold="1">{head}{text}</section><div id="related" data-gold="0"><h3>{pick()}</h3><ul>{links(4)}</ul></div>'
         f'<form data-gold="0"><p>{long_()}</p></form><div role="contentinfo" data-gold="0"><p>{long_()}</p></div>',
         f'<h1 data-gold="1">{e(title)}</h1>' + "".join(f'<p data-gold="1">{e(x)}</p>' for x in body) + f'<div class="footer" data-gold="0">{pick()}</div>',
+        nest("".join(f'<p data-gold="1">{e(x)}</p>' for x in body)) + f'<ul data-gold="0">{links(3)}</ul>',
+        nest(f'<div data-gold="1">{text}</div>') + f'<div data-gold="0"><a href="#">{pick()}</a> <a href="#">{pick()}</a></div>',
+        nest(f'<div data-gold="1">{head}{text}</div>', 2),
         f'<div class="cookie-banner" data-gold="0">{long_()}</div><article data-gold="1">{text}</article>',
     ]
 

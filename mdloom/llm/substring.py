@@ -175,13 +175,14 @@ def _received(every: bool) -> Callable[[Batches], Batches]:
 
 def _kept(batches: Batches) -> Batches:
     for batch in batches:
-        kept, counts, removed = [], [], []
+        kept, counts, removed, left = [], [], [], []
         for text, parts in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
             words = (text.as_py() or "").encode().split()
             counts.append(len(words))
             if not parts:
                 removed.append(0)
                 kept.append(b" ".join(words))
+                left.append(text.as_py())
                 continue
             begin = np.unique(np.frombuffer(b"".join(parts), np.int32))
             edge = np.zeros(len(words) + 1, np.int64)
@@ -190,22 +191,24 @@ def _kept(batches: Batches) -> Batches:
             keep = np.cumsum(edge[:-1]) == 0
             removed.append(int(len(words) - np.count_nonzero(keep)))
             kept.append(b" ".join(compress(words, keep.tolist())))
+            left.append(kept[-1].decode())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("row"),
-                pa.array([k.decode() for k in kept], pa.string()),
+                pa.array(left, pa.string()),
                 pa.array(counts, pa.int64()),
                 pa.array(removed, pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             ],
-            names=["row", "kept_text", "n_words", "n_removed", "kept_sha256"],
+            names=["row", "text", "n_words", "n_removed", "kept_sha256"],
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(doc_id, text, ...)`` as ``row`` (all input columns but ``text``), ``kept_text, n_words, n_removed, kept_sha256``.
+    """Rows of ``docs(doc_id, text, ...)`` as ``row`` (all input columns but ``text``), ``text, n_words, n_removed, kept_sha256``.
 
-    ``kept_text`` joins the words left by one space. Input columns stay apart in the struct ``row``, so that no name can clash.
+    ``text`` is the input's where nothing is removed, else the words left joined by one space; ``kept_sha256`` is the digest of the words
+    left, joined by one space, for every row. Input columns stay apart in the struct ``row``, so that no name can clash.
     """
     count = partitions(docs.sparkSession)
     buckets = count * BUCKETS_EACH
@@ -220,5 +223,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = texts.select("id", "version", "text").mapInArrow(lambda batches: _sent(_anchors(batches), True, buckets), PACKED)
     marked = by_id.join(places(anchors, every=True), ["id", "version"]).select("id", "version", "row", "text", "places")
     windows = marked.mapInArrow(lambda batches: _sent(_candidate_windows(batches), False, buckets), PACKED)
-    schema = f"row {texts.schema['row'].dataType.simpleString()}, kept_text string, n_words bigint, n_removed bigint, kept_sha256 string"
+    schema = f"row {texts.schema['row'].dataType.simpleString()}, text string, n_words bigint, n_removed bigint, kept_sha256 string"
     return by_id.join(places(windows, every=False), ["id", "version"], "left").select("id", "version", "row", "text", "places").drop("id", "version").mapInArrow(_kept, schema)
