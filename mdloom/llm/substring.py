@@ -10,8 +10,8 @@ input.
 * **Extension.** Only windows that contain an anchor found twice can repeat. Their full hashes are shuffled, and the earliest start of
   each is found: every other occurrence repeats. So chance anchors and short matches fall out here.
 * **Skew.** A task settles all but one occurrence of a hash among the entries it holds; a hash that a third of all documents share reaches
-  the shuffle once per ``HELD`` entries. Entries travel in packed rows per bucket of hashes; a partition is sorted by bucket, and one
-  bucket is held at a time.
+  the shuffle once per ``HELD`` entries. Entries travel in packed rows per bucket (of hashes, then of documents); a partition is sorted by
+  bucket, and one bucket is held at a time. What is known about a document's places comes back as one row of intervals.
 
 Windows are compared by 64-bit hashes of their words. Null and empty texts have no words. Repeated rows tie, so neither makes the other
 repeat; rows of one doc_id are versions of one document; rows without doc_id count as one document behind all others. Other columns are
@@ -29,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import NO_ID, partitions, text_runs, window_hashes, words_of
+from mdloom.llm.common import NO_ID, mix64, partitions, text_runs, window_hashes, words_of
 
 WINDOW_WORDS = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # fixed values: every difference modulo 13 occurs
 ANCHOR_WORDS = WINDOW_WORDS - PERIOD + 1
 HELD = 500_000  # entries that a task holds before it packs them
-BUCKETS_EACH = 16  # buckets of hashes per shuffle partition
+BUCKETS_EACH = 4  # buckets per shuffle partition
+SETTLED_ROW = 50_000  # entries of a packed row that need no more comparing
 PACKED = "bucket int, settled boolean, keys binary, ids binary, versions binary, places binary"
-PLACES = "id bigint, version int, places binary"
+INTERVALS = "id bigint, version int, begins array<int>, ends array<int>"
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("version", "<i4"), ("at", "<i4")])
 Batches = Iterator[pa.RecordBatch]
 
@@ -70,34 +71,60 @@ def _settle(entries: np.ndarray, every: bool, partial: bool) -> tuple[np.ndarray
     return entries[repeats], entries[new if every else ~repeats] if partial else entries[:0]
 
 
-def _packed(settled: np.ndarray, going_on: np.ndarray, buckets: int) -> Batches:
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs; nothing if all are 0."""
+    most = int(values.max(initial=0))
+    if int(values.min(initial=0)) < 0:
+        return b"q" + values.astype("<i8").tobytes()
+    kind = "" if most == 0 else next(k for k, top in (("B", 1 << 8), ("H", 1 << 16), ("I", 1 << 32), ("q", 1 << 63)) if most < top)
+    return kind.encode() + values.astype(f"<{kind}").tobytes() if kind else b""
+
+
+def _wide(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<{data[:1].decode()}", offset=1).astype(np.int64) if data else np.zeros(count, np.int64)
+
+
+def _packed(entries: np.ndarray, bucket: np.ndarray, settled: bool) -> pa.RecordBatch:
     """One row per bucket; in it entries by document and place, which compress well."""
-    for entries, known in ((settled, True), (going_on, False)):
-        if not len(entries):
-            continue
-        by = entries["id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if known else entries["key"]
-        bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort((entries["at"], entries["version"], entries["id"], bucket))
-        entries, bucket = entries[order], bucket[order]
-        cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        pack = lambda name: pa.array([entries[name][a:b].tobytes() for a, b in spans], pa.binary())  # noqa: E731, B023
-        keys = pa.array([b""] * len(spans), pa.binary()) if known else pack("key")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cuts[:-1]]), pa.array([known] * len(spans)), keys, pack("id"), pack("version"), pack("at")],
-            names=["bucket", "settled", "keys", "ids", "versions", "places"],
-        )
+    order = np.lexsort((entries["at"], entries["version"], entries["id"], bucket))
+    entries, bucket = entries[order], bucket[order]
+    cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    column = lambda cut: pa.array([cut(entries[a:b]) for a, b in spans], pa.binary())
+    ids = column(lambda e: e["id"][:1].tobytes() + len(e).to_bytes(8, "little") + _narrow(np.diff(e["id"])))
+    keys = column(lambda e: b"" if settled else e["key"].tobytes())
+    versions, places = column(lambda e: _narrow(e["version"])), column(lambda e: _narrow(e["at"]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([settled] * len(spans)), keys, ids, versions, places], names=["bucket", "settled", "keys", "ids", "versions", "places"])
+
+
+def _unpacked(keys: bytes, ids: bytes, versions: bytes, places: bytes) -> np.ndarray:
+    first, count = np.frombuffer(ids, "<i8", 2).tolist()
+    steps = np.concatenate(([first], _wide(ids[16:], count - 1)))
+    return _entries(np.frombuffer(keys, "<u8") if keys else np.zeros(count, np.uint64), np.cumsum(steps), _wide(versions, count), _wide(places, count))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
 def _sent(parts: Iterator[np.ndarray], every: bool, buckets: int) -> Batches:
+    def given(held: list[np.ndarray]) -> Batches:
+        settled, open_ = _settle(np.concatenate(held), every, partial=True)
+        if len(open_):
+            yield _packed(open_, _bucket(open_["key"], buckets), settled=False)
+        settled = settled[np.lexsort((settled["at"], settled["id"]))]
+        for low in range(0, len(settled), SETTLED_ROW):
+            part = settled[low : low + SETTLED_ROW]
+            yield _packed(part, np.repeat(_bucket(part["key"][:1], buckets), len(part)), settled=True)
+
     held: list[np.ndarray] = []
     for part in parts:
         held.append(part)
         if sum(map(len, held)) >= HELD:
-            yield from _packed(*_settle(np.concatenate(held), every, partial=True), buckets)
+            yield from given(held)
             held = []
     if held:
-        yield from _packed(*_settle(np.concatenate(held), every, partial=True), buckets)
+        yield from given(held)
 
 
 def _of_words(batch: pa.RecordBatch, low: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,51 +151,72 @@ def _candidate_windows(batches: Batches) -> Iterator[np.ndarray]:
             hashes, inside = window_hashes(words, WINDOW_WORDS)
             if not len(hashes):
                 continue
-            marked = np.zeros(len(words.hash) + 1, np.int64)
-            for begin, parts in zip(words.first[:-1].tolist(), batch.column("places").slice(low, high - low).to_pylist(), strict=True):
-                for part in parts:
-                    marked[1 + begin + np.frombuffer(part, np.int32)] = 1
-            found = np.cumsum(marked)
-            starts = np.arange(len(hashes))
-            chosen = np.flatnonzero(inside & (found[starts + PERIOD] > found[starts]))
-            yield _entries(hashes[chosen], *_of_words(batch, low, words.text[chosen]), starts[chosen] - words.first[words.text[chosen]])
+            edge = np.zeros(len(words.hash) + 1, np.int64)
+            begins, ends = (batch.column(c).slice(low, high - low) for c in ("begins", "ends"))
+            count = np.diff(begins.offsets.to_numpy())
+            base = np.repeat(words.first[:-1], count)
+            np.add.at(edge, base + np.maximum(begins.flatten().to_numpy() - PERIOD + 1, 0), 1)
+            np.add.at(edge, base + ends.flatten().to_numpy() + 1, -1)
+            chosen = np.flatnonzero(inside & (np.cumsum(edge)[: len(hashes)] > 0))
+            yield _entries(hashes[chosen], *_of_words(batch, low, words.text[chosen]), chosen - words.first[words.text[chosen]])
 
 
-def _by_document(entries: np.ndarray) -> pa.RecordBatch:
-    entries = entries[np.lexsort((entries["at"], entries["version"], entries["id"]))]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["id"][1:] != entries["id"][:-1]) | (entries["version"][1:] != entries["version"][:-1])
-    cuts = np.concatenate((np.flatnonzero(new), [len(entries)])).tolist()
-    places = pa.array([entries["at"][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(entries["id"][new]), pa.array(entries["version"][new]), places], names=["id", "version", "places"])
-
-
-def _received(every: bool) -> Callable[[Batches], Batches]:
-    """Packed rows sorted by bucket to the places that repeat, packed by document."""
+def _received(every: bool, buckets: int) -> Callable[[Batches], Batches]:
+    """Packed rows sorted by bucket of hashes to the places that repeat, packed by bucket of documents."""
 
     def run(batches: Batches) -> Batches:
         bucket, open_, done = None, [], []
 
-        def close() -> None:
-            if open_:
-                done.append(_settle(np.concatenate(open_), every, partial=False)[0])
-                open_.clear()
+        def given() -> pa.RecordBatch:
+            entries = np.concatenate(done)
+            done.clear()
+            return _packed(entries, _bucket(mix64(entries["id"].view(np.uint64)), buckets), settled=True)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("bucket", "settled", "keys", "ids", "versions", "places")]
-            for at, known, keys, ids, versions, places in zip(*columns, strict=True):
-                ids, versions, places = np.frombuffer(ids, np.int64), np.frombuffer(versions, np.int32), np.frombuffer(places, np.int32)
-                if at != bucket:
-                    close()
-                    bucket = at
-                entries = _entries(np.zeros(len(ids), np.uint64) if known else np.frombuffer(keys, np.uint64), ids, versions, places)
-                (done if known else open_).append(entries)
+            for at, known, *packed in zip(*columns, strict=True):
+                if at != bucket and open_:
+                    done.append(_settle(np.concatenate(open_), every, partial=False)[0])
+                    open_ = []
+                bucket = at
+                (done if known else open_).append(_unpacked(*packed))
                 if sum(map(len, done)) >= HELD:
-                    yield _by_document(np.concatenate(done))
-                    done = []
-        close()
-        if done:
-            yield _by_document(np.concatenate(done))
+                    yield given()
+        if open_:
+            done.append(_settle(np.concatenate(open_), every, partial=False)[0])
+        if sum(map(len, done)):
+            yield given()
+
+    return run
+
+
+def _merged(reach: int) -> Callable[[Batches], Batches]:
+    """Packed rows sorted by bucket of documents to one row per document: intervals of places at most ``reach`` apart."""
+
+    def intervals(entries: np.ndarray) -> pa.RecordBatch:
+        entries = entries[np.lexsort((entries["at"], entries["version"], entries["id"]))]
+        new = np.ones(len(entries), bool)
+        new[1:] = (entries["id"][1:] != entries["id"][:-1]) | (entries["version"][1:] != entries["version"][:-1])
+        apart = new.copy()
+        apart[1:] |= np.diff(entries["at"]) > reach
+        begin = np.flatnonzero(apart)
+        end = np.concatenate((begin[1:], [len(entries)])) - 1
+        offsets = pa.array(np.concatenate((np.searchsorted(begin, np.flatnonzero(new)), [len(begin)])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(entries["at"][x])) for x in (begin, end)]
+        return pa.RecordBatch.from_arrays([pa.array(entries["id"][new]), pa.array(entries["version"][new]), *lists], names=["id", "version", "begins", "ends"])
+
+    def run(batches: Batches) -> Batches:
+        bucket, open_ = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "keys", "ids", "versions", "places")]
+            for at, *packed in zip(*columns, strict=True):
+                if at != bucket and open_:
+                    yield intervals(np.concatenate(open_))
+                    open_ = []
+                bucket = at
+                open_.append(_unpacked(*packed))
+        if open_:
+            yield intervals(np.concatenate(open_))
 
     return run
 
@@ -176,19 +224,17 @@ def _received(every: bool) -> Callable[[Batches], Batches]:
 def _kept(batches: Batches) -> Batches:
     for batch in batches:
         kept, counts, removed, left = [], [], [], []
-        for text, parts in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
+        for text, begins, ends in zip(batch.column("text"), batch.column("begins"), batch.column("ends"), strict=True):
             words = (text.as_py() or "").encode().split()
             counts.append(len(words))
-            if not parts:
+            if not begins.is_valid:
                 removed.append(0)
                 kept.append(b" ".join(words))
                 left.append(text.as_py())
                 continue
-            begin = np.unique(np.frombuffer(b"".join(parts), np.int32))
-            edge = np.zeros(len(words) + 1, np.int64)
-            edge[begin] += 1
-            edge[begin + WINDOW_WORDS] -= 1
-            keep = np.cumsum(edge[:-1]) == 0
+            keep = np.ones(len(words), bool)
+            for low, high in zip(begins.values.to_pylist(), ends.values.to_pylist(), strict=True):
+                keep[low : high + WINDOW_WORDS] = False
             removed.append(int(len(words) - np.count_nonzero(keep)))
             kept.append(b" ".join(compress(words, keep.tolist())))
             left.append(kept[-1].decode())
@@ -213,15 +259,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count = partitions(docs.sparkSession)
     buckets = count * BUCKETS_EACH
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.hash("text").alias("version"), F.struct(*rest).alias("row"), "text")
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    once = docs.groupBy(key).count().filter("count > 1").isEmpty()
+    version = F.lit(0) if once else F.hash("text")  # tells rows of one doc_id apart
+    texts = docs.select(key.alias("id"), version.alias("version"), F.struct(*rest).alias("row"), "text")
     by_id = texts.repartition(count, "id", "version")  # one exchange of the texts, read twice
 
-    def places(packed: DataFrame, every: bool) -> DataFrame:
-        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every), PLACES)
-        return found.groupBy("id", "version").agg(F.collect_list("places").alias("places"))
+    def places(packed: DataFrame, every: bool, reach: int) -> DataFrame:
+        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every, buckets), PACKED)
+        return found.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(reach), INTERVALS)
 
     anchors = texts.select("id", "version", "text").mapInArrow(lambda batches: _sent(_anchors(batches), True, buckets), PACKED)
-    marked = by_id.join(places(anchors, every=True), ["id", "version"]).select("id", "version", "row", "text", "places")
+    marked = by_id.join(places(anchors, every=True, reach=PERIOD), ["id", "version"]).select("id", "version", "row", "text", "begins", "ends")
     windows = marked.mapInArrow(lambda batches: _sent(_candidate_windows(batches), False, buckets), PACKED)
     schema = f"row {texts.schema['row'].dataType.simpleString()}, text string, n_words bigint, n_removed bigint, kept_sha256 string"
-    return by_id.join(places(windows, every=False), ["id", "version"], "left").select("id", "version", "row", "text", "places").drop("id", "version").mapInArrow(_kept, schema)
+    marks = places(windows, every=False, reach=WINDOW_WORDS)
+    return by_id.join(marks, ["id", "version"], "left").select("row", "text", "begins", "ends").mapInArrow(_kept, schema)
