@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_PAGES, TRAINING_CHARS = 300, 50_000
+LEAST_LAYOUTS = 30  # with fewer pages, layouts are also filled with stock text
 RUN_PAGES = 200
 SMOOTHING = 0.5
 
@@ -174,7 +175,10 @@ def parse(trees: Trees, page: int, source: str) -> None:
             flush()
             if tag not in VOID:
                 hint, gold = _hint(token["attrs"])
-                stack.append((tag, trees.add(page, stack[-1][1], f"{KINDS[tag]} {hint}", (), None, gold)))
+                kind = KINDS[tag]
+                if kind in ("header", "footer") and any(t in ("article", "main") for t, _ in stack):
+                    kind += "-inside"  # of an article, not of the page
+                stack.append((tag, trees.add(page, stack[-1][1], f"{kind} {hint}", (), None, gold)))
     flush()
 
 
@@ -248,7 +252,7 @@ def _counted_tables(trees: Trees) -> ContentModel:
         family = sign.split(":")[0]
         tables[sign] = tuple(float(np.log((signs[sign, x] + SMOOTHING) / (families[family, x] + SMOOTHING * spread[family]))) for x in (0, 1))
     pairs = {}
-    for kind in {f"{k} {hint}" for k in (*KINDS.values(), "text") for hint in ("none", "good", "bad")}:
+    for kind in {f"{k} {hint}" for k in (*KINDS.values(), "header-inside", "footer-inside", "text") for hint in ("none", "good", "bad")}:
         table = np.array([[links[kind, a, x] + SMOOTHING for x in (0, 1)] for a in (0, 1)])
         pairs[kind] = np.log(table / table.sum(axis=1, keepdims=True))
     return ContentModel(tables, pairs)
@@ -301,7 +305,7 @@ def learn_content(pages: list[str]) -> ContentModel:
     """From pages whose article element tells content apart, and their texts set into labelled layouts."""
     trees, rng = Trees(), random.Random(5)
     count = 0
-    for source in [*pages, ""]:
+    for source in [*pages, *[""] * max(0, LEAST_LAYOUTS - len(pages))]:
         own = Trees()
         parse(own, 0, source)
         if any(k.startswith("article") for k in own.kind):
@@ -312,7 +316,7 @@ def learn_content(pages: list[str]) -> ContentModel:
                 trees.add(count, above + start if above >= 0 else -1, kind, own.signs[i], own.text[i], gold)
             count += 1
         inside = [t for i, t in enumerate(own.text) if t]
-        body = sorted(inside, key=len)[-rng.randint(1, 6) :] or FILLER[1:2]
+        body = sorted(inside, key=len)[-rng.randint(1, 6) :] or [" ".join(rng.choices(FILLER, k=3)) + "." for _ in range(rng.randint(1, 6))]
         small = [t for t in inside if len(t) < 60] or FILLER
         for layout in labelled_layouts(small[0], body, small, rng):
             parse(trees, count, layout)
