@@ -36,7 +36,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)  # fixed values: every difference modulo 13 occurs
 ANCHOR_WORDS = WINDOW_WORDS - PERIOD + 1
 HELD = 500_000  # entries that a task holds before it packs them
-BUCKETS_EACH = 4  # buckets per shuffle partition
+BUCKETS_EACH = 2  # buckets of hashes per shuffle partition; of documents, one
 SETTLED_ROW = 50_000  # entries of a packed row that need no more comparing
 PACKED = "bucket int, settled boolean, keys binary, ids binary, versions binary, places binary"
 INTERVALS = "id bigint, version int, begins array<int>, ends array<int>"
@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_id = texts.repartition(count, "id", "version")  # one exchange of the texts, read twice
 
     def places(packed: DataFrame, every: bool, reach: int) -> DataFrame:
-        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every, buckets), PACKED)
+        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every, count), PACKED)
         return found.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(reach), INTERVALS)
 
     anchors = texts.select("id", "version", "text").mapInArrow(lambda batches: _sent(_anchors(batches), True, buckets), PACKED)
