@@ -8,7 +8,7 @@ digits, runs of other characters; white space is dropped. Each distinct word of
   ships to the executors and every Python worker maps into memory.
 * All other words are merged exactly: per round, in all words at once, the leftmost pair of least rank; very long words with a heap.
 
-The lexicon holds the ``LEXICON_WORDS`` most frequent words, counted over all texts; it decides on speed only, never on ids. Special tokens
+The lexicon holds the most frequent words, ``LEXICON_WORDS`` at most, counted over all texts; it decides on speed only, never on ids. Special tokens
 in a text become their ids. Decoding joins the token texts by one space, as a tokenizer file without a decoder asks for.
 
 Null texts are empty, empty texts have no ids, texts of any length are encoded whole. Other columns are carried along in a struct.
@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import Stage, mix64, powers, text_runs
+from mdloom.llm.common import Stage, mix64, most_frequent, powers, text_runs
 
 LEXICON_WORDS = 100_000
 RUN_BYTES = 2 << 20
@@ -336,7 +336,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
     counts = docs.select("text").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    counts = Stage(docs.sparkSession, "bpe").write(counts, "word-counts")
+    return [r["word"] for r in most_frequent(counts, "n", limit).select("word").collect()]
 
 
 # The shipped file -----------------------------------------------------------------------------------------------------

@@ -53,6 +53,27 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hashed_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, chosen by a hash of ``key``: the same rows in every run.
+
+    The rows are thinned by the hash first, so that sorting them gathers about ``limit`` rows in all and not ``limit`` of each partition.
+    """
+    share = min(1.0, (1.1 * limit + 200) / max(1, rows.count()))
+    thinned = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return thinned.orderBy(F.xxhash64(key), key).limit(limit)
+
+
+def most_frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of highest ``count``, as many ties as go in whole, at most ``limit``: a filter, so no partition sends more than is kept."""
+    total, least = 0, None
+    for value, n in rows.groupBy(count).count().orderBy(F.desc(count)).collect():  # how many rows have a count: few values
+        total += n
+        if total > limit:
+            break
+        least = value
+    return rows.filter(F.col(count) >= least) if least is not None else rows.limit(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

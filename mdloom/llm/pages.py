@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mdloom.llm.common import hashed_sample
+
 TRAINING_PAGES, TRAINING_CHARS = 300, 50_000
 LEAST_LAYOUTS = 30  # with fewer pages, layouts are also filled with stock text
 RUN_PAGES = 200
@@ -326,7 +328,7 @@ def learn_content(pages: list[str]) -> ContentModel:
 
 def fit_content(pages: DataFrame) -> ContentModel:
     """From a bounded sample of ``pages(page_id, html)``."""
-    sample = pages.select("page_id", "html").filter(F.length("html") <= TRAINING_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(TRAINING_PAGES)
+    sample = hashed_sample(pages.select("page_id", "html").filter(F.length("html") <= TRAINING_CHARS), "page_id", TRAINING_PAGES)
     return learn_content([r["html"] for r in sample.collect()])
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import STEP, held_out, mix64, span_hashes, text_runs, window_hashes, words_of
+from mdloom.llm.common import STEP, hashed_sample, held_out, mix64, span_hashes, text_runs, window_hashes, words_of
 
 SAMPLE_ROWS = 20_000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -197,7 +197,7 @@ def rules_sql(rules: list[Rule]) -> str:
 def fit_quality(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Learn from rows outside the held-out fold; labels of one doc_id count once (the smallest)."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = hashed_sample(known, "doc_id", SAMPLE_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_ROWS narrow rows
     counted = count_texts(sample).filter(~base_failed())
     rows = counted.select("row.doc_id", "row.quality", *(F.expr(sql).alias(name) for name, sql in FEATURES.items())).toPandas().sort_values(["doc_id", "n_words"]).reset_index(drop=True)

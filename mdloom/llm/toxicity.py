@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import held_out
+from mdloom.llm.common import hashed_sample, held_out
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 4000, 10_000, 20_000
 WINDOW_BYTES = 48
@@ -151,8 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from rows outside the held-out fold; labels of one doc_id count once (the largest)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id")
-    chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(ORDINARY_SAMPLE))
+    chosen = hashed_sample(known.filter("toxic = 1"), "doc_id", TOXIC_SAMPLE).union(hashed_sample(known.filter("toxic = 0"), "doc_id", ORDINARY_SAMPLE))
     short = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
     rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # at most the two samples, so bounded on either side
     rows = rows.sort_values(["doc_id", "text"])
