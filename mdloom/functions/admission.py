@@ -44,8 +44,19 @@ def within_input_limit(length: Column, max_bytes: int = fixed.MAX_INPUT_BYTES) -
     return length <= F.lit(max_bytes)
 
 
+def resolved(path: Column) -> Column:
+    """``.`` and ``..`` segments worked out, as a file system would; what climbs above the top stays there."""
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    segments = F.reduce(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(segments, "/")).otherwise(path)
+
+
 def inside_root(path: Column, root: str) -> Column:
-    return path.startswith(root.rstrip("/") + "/")
+    return resolved(path).startswith(root.rstrip("/") + "/")
 
 
 def format_of(suffix: Column) -> Column:

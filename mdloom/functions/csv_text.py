@@ -24,22 +24,20 @@ def _cells(record: Column) -> Column:
 
 
 def csv_to_markdown(text: Column) -> Column:
-    """Header, separator and one row per record; short records are filled, long ones cut to the header."""
+    """Header, separator and one row per record; the table is as wide as the widest record, shorter ones are filled."""
 
     def table(records: Column) -> Column:
-        def of_header(header: Column) -> Column:
-            width = F.size(header)
+        width = F.array_max(F.transform(records, F.size))
 
-            def row(record: Column) -> Column:
-                cells = F.slice(F.concat(_cells(record), F.array_repeat(F.lit(""), width)), F.lit(1), width)
-                return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        def row(cells: Column) -> Column:
+            filled = F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells)))
+            return F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))
 
-            first = F.concat(F.lit("| "), F.array_join(header, " | "), F.lit(" |"))
-            separator = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-            rest = F.transform(F.slice(records, 2, F.size(records)), row)
-            return F.array_join(F.concat(F.array(first, separator), rest), "\n")
-
-        return F.when(F.size(records) == 0, F.lit("")).otherwise(let(_cells(records[0]), of_header))
+        separator = F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width)))
+        lines = F.transform(records, row)
+        return F.when(F.size(records) == 0, F.lit("")).otherwise(
+            F.array_join(F.concat(F.slice(lines, 1, 1), separator, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n")
+        )
 
     records = extract_all(F.concat(F.lit("\n"), normalize_newlines(text)), _RECORDS, 1)
-    return let(F.filter(records, lambda record: record != ""), table)
+    return let(F.transform(F.filter(records, lambda record: record != ""), _cells), table)

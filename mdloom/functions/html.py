@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ from mdloom.functions.text import extract_all, let
 
 BLOCK_TAGS = "p|div|article|section|nav|header|footer|main|blockquote"
 
+
+
+def _value(name: str) -> str:
+    """An attribute in double quotes, single quotes or bare: one of three groups holds its value."""
+    return rf"""\b{name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))"""
+
+
 # Each element's content stops at the next tag of its kind, so that an element that is never closed
 # costs one line of text and not a scan to the end of the page for every such tag.
 DROPPED = (
@@ -24,12 +32,12 @@ INLINE = (
     *((rf"(?i)<h{n}\b[^<>]*+>((?:(?!</?h[1-6]\b).)*+)</h{n}>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)),
     (r"(?i)<li\b[^<>]*+>", "\n- "),
     (r"(?i)</?(?:ul|ol)\b[^<>]*+>", "\n\n"),
-    (r'(?i)<a [^<>]*?href="([^"]*+)"[^<>]*+>((?:(?!</?a\b).)*+)</a>', "[$2]($1)"),
-    (r'(?i)<img\b(?=[^<>]*?\balt="([^"]*+)")(?=[^<>]*?\bsrc="([^"]*+)")[^<>]*+>', "![$1]($2)"),
-    (r'(?i)<img\b(?=[^<>]*?\bsrc="([^"]*+)")[^<>]*+>', "![]($1)"),
-    (r"(?i)<(?:b|strong)>([^<]*+)</(?:b|strong)>", "**$1**"),
-    (r"(?i)<(?:i|em)>([^<]*+)</(?:i|em)>", "*$1*"),
-    (r"(?i)<code>([^<]*+)</code>", "`$1`"),
+    (rf"(?i)<a\s[^<>]*?{_value('href')}[^<>]*+>((?:(?!</?a\b).)*+)</a>", "[$4]($1$2$3)"),
+    (rf"(?i)<img\b(?=[^<>]*?{_value('alt')})(?=[^<>]*?{_value('src')})[^<>]*+>", "![$1$2$3]($4$5$6)"),
+    (rf"(?i)<img\b(?=[^<>]*?{_value('src')})[^<>]*+>", "![]($1$2$3)"),
+    (r"(?i)<(?:b|strong)(?:\s[^<>]*+)?>([^<]*+)</(?:b|strong)>", "**$1**"),
+    (r"(?i)<(?:i|em)(?:\s[^<>]*+)?>([^<]*+)</(?:i|em)>", "*$1*"),
+    (r"(?i)<code(?:\s[^<>]*+)?>([^<]*+)</code>", "`$1`"),
 )
 ENDING = (
     (r"(?i)<br */?>", "\n"),
@@ -65,8 +73,12 @@ def _numeric_reference(token: Column) -> Column:
 
 def decode_named(text: Column) -> Column:
     """Named references; ``&lt;`` and ``&gt;`` stay, ``&amp;`` comes last."""
-    steps = [*NAMED_ENTITIES.items(), ("&amp;", "&")]
-    return reduce(lambda value, step: F.replace(value, F.lit(step[0]), F.lit(step[1])), steps, text)
+    steps = lambda value, names: reduce(lambda v, step: F.replace(v, F.lit(step[0]), F.lit(step[1])), names, value)
+    common = steps(text, NAMED_ENTITIES.items())
+    reference = r"&(?!(?:amp|lt|gt);)[a-zA-Z][a-zA-Z0-9]*+;"
+    known = F.create_map(*(F.lit(x) for name, value in html5.items() if name.endswith(";") and name not in ("amp;", "lt;", "gt;") for x in (f"&{name}", value)))
+    tokens = F.transform(extract_all(common, rf"{reference}|(?:[^&]|&(?!(?!(?:amp|lt|gt);)[a-zA-Z][a-zA-Z0-9]*+;))++"), lambda t: F.when(t.rlike(rf"\A{reference}\z"), F.coalesce(F.element_at(known, t), t)).otherwise(t))
+    return steps(F.when(common.rlike(reference), F.array_join(tokens, "")).otherwise(common), [("&amp;", "&")])
 
 
 def decode_numeric(text: Column) -> Column:
@@ -109,7 +121,11 @@ def _table(html: Column) -> Column:
         return F.array_join(F.concat(head, F.transform(F.slice(rows, 2, F.size(rows)), as_row)), "\n")
 
     rows = F.transform(extract_all(html, r"(?i)<tr\b[^<>]*+>(?:(?!</?tr\b).)*+"), cells)
-    return let(rows, lambda r: F.when(F.size(r) == 0, F.lit("")).otherwise(F.concat(F.lit("\n\n"), lines(r), F.lit("\n\n"))))
+    # A caption, and text that stands outside every cell, goes before the table.
+    outside = F.regexp_replace(F.regexp_replace(html, r"(?i)<t[hd]\b[^<>]*+>(?:(?!</?t[hdr]\b).)*+", ""), r"<[a-zA-Z/!?][^<>]*+>", " ")
+    stray = F.regexp_replace(F.regexp_replace(outside, r"[ \n]+", " "), r"\A | \z", "")
+    before = F.when(stray == "", F.lit("")).otherwise(F.concat(F.lit("\n\n"), stray))
+    return let(rows, lambda r: F.concat(before, F.when(F.size(r) == 0, F.lit("\n\n")).otherwise(F.concat(F.lit("\n\n"), lines(r), F.lit("\n\n")))))
 
 
 def _flow(html: Column) -> Column:

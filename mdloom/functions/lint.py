@@ -185,13 +185,17 @@ def _setext(c: Context) -> Column:
     return text & F.coalesce(underline, F.lit(False)) & ~c.line.rlike(r"\A" + p.LIST_ITEM)
 
 
-RULES: tuple[Rule, ...] = (
-    Rule(
+def line_length_rule(width: int) -> Rule:
+    return Rule(
         "MD013",
         "Line length",
-        lambda c: (F.length(c.line) > LINE_LENGTH) & F.substr(c.line, F.lit(LINE_LENGTH + 1)).rlike(r"[ \t]"),
-        lambda c: F.lit(LINE_LENGTH + 1),
-    ),
+        lambda c: (F.length(c.line) > width) & F.substr(c.line, F.lit(width + 1)).rlike(r"[ \t]"),
+        lambda c: F.lit(width + 1),
+    )
+
+
+RULES: tuple[Rule, ...] = (
+    line_length_rule(LINE_LENGTH),
     Rule("MD033", "Inline HTML", _inline_html, lambda c: F.greatest(F.lit(1), F.position(_tag(c.line), c.line))),
     Rule("pragma", "Malformed pragma", lambda c: c.x["open"] & c.line.rlike(PRAGMA) & ~c.line.rlike(GOOD_PRAGMA)),
     Rule("heading_spacing", "Heading marks need exactly one blank", lambda c: c.x["heading"] & ~c.line.rlike(r"\A#{1,6}(?: [^ \t][^\n]*)?\z")),
@@ -216,6 +220,11 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+def rules_for(rules: Sequence[Rule], width: int) -> tuple[Rule, ...]:
+    """The rules, with the line length that the paragraphs are wrapped to."""
+    return tuple(line_length_rule(width) if rule.name == "MD013" else rule for rule in rules)
+
+
 def rules_named(*names: str) -> tuple[Rule, ...]:
     return tuple(rule for rule in RULES if rule.name in names)
 

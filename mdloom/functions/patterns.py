@@ -34,7 +34,7 @@ TABLE_SEPARATOR = rf"^ {{0,3}}\|?(?:{H}*+:?-{{3,}}+:?{H}*+\|)++{H}*+\z"
 FENCE_OPEN = rf" {{0,3}}(?:`{{3,}}+[^`\n]*+{EOL}|~{{3}})"
 HARD_BREAK = r"(?: {2}|\\)\z"
 FRONT_MATTER = rf"\A{H}*+(---|\+\+\+){H}*+\n(?:(?!{H}*+\1{H}*+{EOL}){REST}\n)*+{H}*+\1{H}*+{EOL}"
-FRONT_MATTER_TITLE = r"(?im)^title\s*:"
+FRONT_MATTER_TITLE = rf"(?i)(?:\A|\n)title{W}*+:"
 
 # --- blocks: one match is one unit of the document ------------------------------------------------
 # A fence runs to a line with the same character, at least as many of them and nothing after, or to

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mdloom.functions import patterns as p
-from mdloom.functions.fixed import LINE_LENGTH, MAX_INPUT_BYTES, MAX_MARKDOWN_BYTES
+from mdloom.functions.fixed import LINE_LENGTH, MAX_MARKDOWN_BYTES
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -61,7 +61,7 @@ def decode_text(content: Column) -> Column:
     Broken UTF-16 gives null: one bad file must not fail the job that reads it.
     """
     mark = F.hex(F.substring(content, 1, 2))
-    utf16 = F.substring(content, 3, MAX_INPUT_BYTES)
+    utf16 = F.substr(content, F.lit(3))
     utf8 = content.cast("string")
 
     def sound(pattern: str) -> Column:

@@ -39,23 +39,22 @@ def debounce(
 ) -> DataFrame:
     """One job per burst: key, started, ended, events, state (the last one wins).
 
-    A burst ends when the next event is more than the gap away. Bursts are found inside each (key,
-    bucket); only the first and the last burst of a bucket can continue in a neighbour bucket, so
+    A burst ends when the next event is more than the gap away. Events are summed per gap-wide slot,
+    bursts are found among the slots of each (key, bucket); only the first and the last burst of a bucket can continue in a neighbour bucket, so
     only those two meet per key.
     """
     gap = F.expr(f"interval {int(gap_seconds * 1_000_000)} microseconds")
-    in_bucket = W.partitionBy(key, "_bucket").orderBy(ts, tie)
+    in_bucket = W.partitionBy(key, "_bucket").orderBy("started")
 
     def islands(rows: DataFrame, window, started: str, ended: str) -> DataFrame:
         new = F.coalesce(F.col(started) > F.lag(ended).over(window) + gap, F.lit(True))
         return rows.withColumn("_new", new.cast("int")).withColumn("_burst", F.sum("_new").over(window)).drop("_new")
 
-    rows = events.select(
-        key, ts, F.struct(ts, tie).alias("_at"), tie, F.col(state).alias("state"), _bucket(ts, bucket_seconds).alias("_bucket")
-    )
-    local = (
-        islands(rows, in_bucket, ts, ts)
-        .groupBy(key, "_bucket", "_burst")
+    # Events less than a gap apart are of one burst, so a (key, gap-wide slot) is a summary from the start: partial sums before any sort.
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / int(gap_seconds * 1_000_000))
+    slots = (
+        events.select(key, ts, F.struct(ts, tie).alias("_at"), F.col(state).alias("state"), slot.alias("_slot"), _bucket(ts, bucket_seconds).alias("_bucket"))
+        .groupBy(key, "_bucket", "_slot")
         .agg(
             F.min(ts).alias("started"),
             F.max(ts).alias("ended"),
@@ -64,6 +63,17 @@ def debounce(
             F.max_by("state", "_at").alias("state"),
         )
     )
+    local = (
+        islands(slots, in_bucket, "started", "ended")
+        .groupBy(key, "_bucket", "_burst")
+        .agg(
+            F.min("started").alias("started"),
+            F.max("ended").alias("ended"),
+            F.sum("events").alias("events"),
+            F.max("_at").alias("_at"),
+            F.max_by("state", "_at").alias("state"),
+        )
+    )
     last = F.max("_burst").over(W.partitionBy(key, "_bucket"))
     marked = local.withColumn("_edge", (F.col("_burst") == 1) | (F.col("_burst") == last))
     columns = [key, "started", "ended", "events", "state"]
@@ -98,10 +108,10 @@ def retry_ledger(
     counted = F.col("kind").isin("os_error", "changed")
     at = F.struct("ts", "seq")
     log = attempts.select("path", at.alias("at"), "kind", _bucket("ts", bucket_seconds).alias("_bucket"))
-    per_bucket = W.partitionBy("path", "_bucket")
-    reset = F.max(F.when(F.col("kind") == "event", F.col("at"))).over(per_bucket)
+    # Two sums with partial results per task, the second after the last reset of a bucket is known: no events of one path are gathered.
+    resets = log.filter("kind = 'event'").groupBy("path", "_bucket").agg(F.max("at").alias("_reset"))
     buckets = (
-        log.withColumn("_reset", reset)
+        log.join(resets, ["path", "_bucket"], "left")
         .groupBy("path", "_bucket")
         .agg(
             F.max("_reset").alias("_reset"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdloom.functions.fixed import MAX_MARKDOWN_BYTES
@@ -22,22 +22,26 @@ def table_to_markdown(
     columns: Sequence[str],
     max_bytes: int = MAX_MARKDOWN_BYTES,
 ) -> DataFrame:
-    """One Markdown table per group, rows in order.
+    """Markdown tables of each group, rows in order: ``part_no`` from 0 on, each part a table within ``max_bytes``.
 
-    The bytes of each group are summed first (map-side); a group over the size limit gets a null
-    table instead of being gathered, which is what the limit on converted text would do to it anyway.
+    The rows of a group are first cut into ranges of the whole order (one shuffle by range, which splits hot groups), a running sum of
+    bytes inside each range and over the few ranges of a group numbers the parts, and only the rows of one part are gathered. A row that
+    is too long for any part is a part of its own. Nothing is left out.
     """
     header = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns)
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(c) for c in columns]), F.lit(" |"))
-    lines = rows.select(*group_by, F.struct(*order_by).alias("_order"), line.alias("_line"))
-    sizes = lines.groupBy(*group_by).agg(F.sum(F.octet_length("_line") + 1).alias("_bytes"))
-    fits = F.col("_bytes") + len(header.encode()) <= max_bytes
-    small = lines.join(sizes.filter(fits), list(group_by), "left_semi")
+    room = max_bytes - len(header.encode())
+    lines = rows.select(*group_by, F.struct(*order_by).alias("_order"), line.alias("_line")).withColumn("_size", F.octet_length("_line") + 1)
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that both uses see the same ranges
+    ranged = lines.repartitionByRange(count, *group_by, "_order").withColumn("_range", F.spark_partition_id())
+    sizes = ranged.groupBy(*group_by, "_range").agg(F.sum("_size").alias("_bytes"))
+    before = Window.partitionBy(*group_by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group_by, "_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*group_by, "_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_own", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, [*group_by, "_range"])
+    parts = placed.withColumn("_part", F.floor((F.col("_start") + F.col("_own")) / F.lit(max(1, room))))
     ordered = F.sort_array(F.collect_list(F.struct("_order", "_line")))
-    tables = small.groupBy(*group_by).agg(
-        F.concat(
-            F.lit(header + "\n"), F.array_join(F.transform(ordered, lambda row: row["_line"]), "\n")
-        ).alias("markdown")
-    )
-    too_large = sizes.filter(~fits).select(*group_by, F.lit(None).cast("string").alias("markdown"))
-    return tables.unionByName(too_large)
+    text = F.concat(F.lit(header + "\n"), F.array_join(F.transform(ordered, lambda row: row["_line"]), "\n"))
+    tables = parts.groupBy(*group_by, "_part").agg(text.alias("markdown"))
+    number = F.row_number().over(Window.partitionBy(*group_by).orderBy("_part")) - 1  # a long row may have stepped over a number
+    return tables.select(*group_by, number.cast("bigint").alias("part_no"), "markdown")

@@ -12,7 +12,7 @@ from mdloom.functions import fixed
 from mdloom.functions import text as tx
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.html import html_to_markdown
-from mdloom.functions.lint import RULES, Rule
+from mdloom.functions.lint import RULES, Rule, rules_for
 from mdloom.operators import admission, archive, intake, publish
 from mdloom.operators.once import computed_once
 from mdloom.operators.repair import repair_until_clean
@@ -54,7 +54,7 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), stage: s
 def process_markdown(docs: DataFrame, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
     """Repair what has no refusal yet; +is_clean, +attempts, +diagnostics, +outcome."""
     pending = docs.withColumn("markdown", F.when(F.col("reason").isNull(), F.col("markdown")))
-    repaired = repair_until_clean(pending, settings.rules, settings.max_attempts, settings.line_length, stage=stage)
+    repaired = repair_until_clean(pending, rules_for(settings.rules, settings.line_length), settings.max_attempts, settings.line_length, stage=stage)
     return publish.route_outcome(repaired)
 
 

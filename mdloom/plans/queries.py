@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.functions import admission as fa
-from mdloom.functions import html, inline, lint, repair
+from mdloom.functions import csv_text, html, inline, lint, repair
 from mdloom.functions import text as tx
 from mdloom.operators import admission, archive, intake, lines, publish, tables
 from mdloom.operators import lint as lint_ops
@@ -21,9 +21,9 @@ from mdloom.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "file:/corpus/in"
-NOW = datetime(2024, 1, 29, tzinfo=timezone.utc)
+NOW = datetime(2024, 1, 30, tzinfo=timezone.utc)
 BURST_GAP_SECONDS = 6 * 3600
-REPORT_LIMIT = 400
+REPORT_REPEATS = 60  # findings so long that reports reach the limit
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -106,7 +106,7 @@ def reject_report(spark, folder):
 
 def table_to_markdown(spark, folder):
     named = _table(spark, folder, "nation").join(
-        F.broadcast(_table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+        _table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     return tables.table_to_markdown(named, ["r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
 
@@ -117,6 +117,17 @@ def orders_to_markdown(spark, folder):
     )
 
 
+def csv_to_markdown(spark, folder):
+    """Orders as CSV with records of three to six fields, one text per priority and month, under a header of four."""
+    quoted = F.concat(F.lit('"'), F.replace("o_orderpriority", F.lit("-"), F.lit('""|')), F.lit('"'))
+    fields = F.array(F.col("o_orderkey").cast("string"), quoted, F.col("o_orderstatus"), F.lit("x"), F.lit("a,b"), F.lit(""))
+    record = F.array_join(F.transform(F.slice(fields, F.lit(1), (3 + F.col("o_orderkey") % 4).cast("int")), lambda f: F.when(f == "a,b", F.lit('"a,b"')).otherwise(f)), ",")
+    rows = _table(spark, folder, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", record.alias("record"))
+    texts = rows.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "record"))).alias("r"))
+    text = F.concat(F.lit("a,b,c,d\r\n"), F.array_join(F.transform("r", lambda x: x["record"]), "\n"))
+    return texts.select("month", csv_text.csv_to_markdown(text).alias("markdown"))
+
+
 def assemble_lines(spark, folder):
     return lines.assemble_lines(lines.explode_lines(_bodies(spark, folder)))
 
@@ -131,7 +142,7 @@ def front_matter_parts(spark, folder):
 
 
 def cap_report(spark, folder):
-    return lint_ops.cap_report(lint_ops.format_diagnostics(_findings(spark, folder)), REPORT_LIMIT)
+    return lint_ops.cap_report(lint_ops.format_diagnostics(_findings(spark, folder)).withColumn("text", F.repeat("text", REPORT_REPEATS)))
 
 
 def is_clean(spark, folder):
@@ -209,7 +220,7 @@ QUERIES: dict[str, Query] = {
     "has_media_signature": _file_flag("media", lambda: fa.has_media_signature(F.col("content"))),
     "within_input_limit": _file_flag("fits", lambda: fa.within_input_limit(F.col("length"))),
     "inside_root": _file_flag("inside", lambda: fa.inside_root(F.col("path"), ROOT)),
-    "within_output_limit": lambda s, d: _documents(s, d).select("doc_id", tx.within_output_limit(F.repeat("text", 800)).alias("fits")),
+    "within_output_limit": lambda s, d: _documents(s, d).select("doc_id", tx.within_output_limit(F.col("text"), 20_000).alias("fits")),
     "admission_verdict": admission_verdict,
     "reject_report": reject_report,
     # archives
@@ -221,9 +232,10 @@ QUERIES: dict[str, Query] = {
     "html_title": lambda s, d: _pages(s, d).select("page_id", html.html_title(F.col("html"), F.col("url")).alias("title")),
     "text_to_markdown": lambda s, d: _documents(s, d).select("doc_id", tx.text_to_markdown(F.col("text")).alias("markdown")),
     "table_to_markdown": table_to_markdown,
+    "csv_to_markdown": csv_to_markdown,
     "orders_to_markdown": orders_to_markdown,
     "decode_entities": _entities,
-    "converted_size_guard": lambda s, d: _pages(s, d).select("page_id", tx.converted_size_guard(html.html_to_markdown(F.col("html"))).alias("fits")),
+    "converted_size_guard": lambda s, d: _pages(s, d).select("page_id", tx.converted_size_guard(html.html_to_markdown(F.col("html")), 4_000).alias("fits")),
     # lines
     "normalize_newlines": lambda s, d: _defects(s, d).select("doc_id", tx.normalize_newlines(F.col("markdown")).alias("markdown")),
     "split_front_matter": front_matter_parts,

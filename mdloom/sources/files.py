@@ -20,21 +20,23 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def root_of(folder: str) -> str:
     """The folder as the file source writes it into ``path``."""
-    return folder if "://" in folder or folder.startswith("file:") else "file:" + os.path.abspath(folder)
+    if folder.startswith("file:"):
+        return "file:" + os.path.normpath("/" + folder.removeprefix("file:").lstrip("/"))
+    return folder.rstrip("/") if "://" in folder else "file:" + os.path.abspath(folder)
 
 
-def load_changed(spark: SparkSession, folder: str, changed: DataFrame, few: int = 10_000) -> DataFrame:
-    """The files of a metadata-only listing with their content.
+def load_changed(spark: SparkSession, folder: str, changed: DataFrame) -> DataFrame:
+    """The files of a metadata-only listing with their content; files that are gone by now are left out.
 
-    The file source cannot skip the content of files that a join drops. So a short list of paths is
-    loaded by name; a long one is joined to the whole folder.
+    The file source opens no file whose time or length its pushed filters exclude, so what was not touched since the earliest change is
+    not read; what remains is joined to the listing by path. Names are never given to the source, which would read them as patterns.
     """
-    paths = [row["path"] for row in changed.select("path").limit(few + 1).collect()]
-    if not paths:
-        return scan_files(spark, folder).filter("false")
-    if len(paths) <= few:
-        return spark.read.format("binaryFile").load(paths)
-    return scan_files(spark, folder).join(changed.select("path"), "path", "left_semi")
+    least, most, longest = changed.agg(F.min("modificationTime"), F.max("modificationTime"), F.max("length")).first()
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(folder)
+    if least is None:
+        return files.filter("false")
+    near = files.filter(F.col("modificationTime").between(least, most) & (F.col("length") <= longest))
+    return near.join(changed.select("path"), "path", "left_semi")
 
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:

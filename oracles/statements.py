@@ -201,7 +201,7 @@ STATEMENTS: dict[str, str] = {
     "has_media_signature": _flag("media", media("head")),
     "within_input_limit": _flag("fits", f"length <= {fixed.MAX_INPUT_BYTES}"),
     "inside_root": _flag("inside", "path like 'file:/corpus/in/%'"),
-    "within_output_limit": f"select doc_id, strlen(text) * 800 <= {fixed.MAX_MARKDOWN_BYTES} as fits from documents",
+    "within_output_limit": "select doc_id, strlen(text) <= 20000 as fits from documents",
     "admission_verdict": o.statement(VERDICTS, "select path, reason from verdicts"),
     "reject_report": o.statement(VERDICTS, "select reason, count(*) as n from verdicts where reason is not null group by reason"),
     "member_verdict": o.statement(MEMBERS, "select path, reason from firsts"),
@@ -212,7 +212,7 @@ STATEMENTS: dict[str, str] = {
     "text_to_markdown": "select doc_id, text as markdown from documents",
     "table_to_markdown": f"""select r_name, '| n_nationkey | n_name |' || {NL} || '| --- | --- |' || {NL} || '|' as head from region""",
     "decode_entities": f"select page_id, {entities('html')} as text from pages",
-    "converted_size_guard": f"select page_id, strlen({HTML_MARKDOWN}) <= {fixed.MAX_MARKDOWN_BYTES} as fits from pages",
+    "converted_size_guard": f"select page_id, strlen({HTML_MARKDOWN}) <= 4000 as fits from pages",
     "normalize_newlines": o.statement(NORMAL, "select doc_id, md as markdown from n"),
     "split_front_matter": o.statement(BODIES, "select doc_id, front as front_matter, body from f_out"),
     "front_matter_has_title": o.statement(BODIES, "select doc_id, has_title from f_out"),
@@ -241,7 +241,7 @@ STATEMENTS: dict[str, str] = {
     **{rule: o.statement(DOCS + o.scan("g", "docs", (rule,)), f"select {_FINDING} from g") for rule in o.RULES},
     "run_rules": o.statement(SCANNED, f"select {_FINDING} from g"),
     "format_diagnostics": o.statement(TEXTS, "select doc_id, text from texts"),
-    "cap_report": o.statement(TEXTS + capped("texts", 400), "select doc_id, report from reports"),
+    "cap_report": o.statement(TEXTS + [("long_texts", "select * replace (repeat(text, 60) as text) from texts")] + capped("long_texts", 65536), "select doc_id, report from reports"),
     "is_clean": o.statement(DOCS + o.scan("g", "docs", ("MD013", "MD033", "pragma")), "select doc_id from docs where doc_id not in (select doc_id from g)"),
     "rule_summary": o.statement(SCANNED, "select rule, count(*) as findings, count(distinct doc_id) as docs from g group by rule"),
     "output_name": o.statement(DOCS, "select doc_id, name || '.md' as output from docs"),
@@ -262,7 +262,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "debounce": _DEBOUNCE,
     "retry_ledger": _LEDGER,
-    "due_jobs": f"select * from ({_LEDGER}) where next_due <= timestamp '2024-01-29'",
+    "due_jobs": f"select * from ({_LEDGER}) where next_due <= timestamp '2024-01-30'",
     "process_pages": o.statement(
         PAGES + repaired(rounds=3) + [("counts", "select doc_id, count(*) as n from s3 where doc_id in (select doc_id from q3) group by doc_id")],
         """select d.doc_id, p.name, d.md as markdown, d.attempts, case when d.is_clean then 'published' else 'quarantined' end as outcome,
@@ -275,9 +275,17 @@ def _grouped_table(source: str, group: str, order: str, columns: tuple[str, ...]
     head = "| " + " | ".join(columns) + " |"
     rule = "|" + " --- |" * len(columns)
     row = " || ' | ' || ".join(f"replace(cast({col} as varchar), '|', chr(92) || '|')" for col in columns)
-    return f"""select {group}, '{head}' || {NL} || '{rule}' || {NL} || string_agg('| ' || {row} || ' |', {NL} order by {order}) as markdown
+    return f"""select {group}, cast(0 as bigint) as part_no, '{head}' || {NL} || '{rule}' || {NL} || string_agg('| ' || {row} || ' |', {NL} order by {order}) as markdown
         from {source} group by {group}"""
 
 
 STATEMENTS["table_to_markdown"] = _grouped_table("nation join region on n_regionkey = r_regionkey", "r_name", "n_nationkey", ("n_nationkey", "n_name"))
 STATEMENTS["orders_to_markdown"] = _grouped_table("orders", "o_orderpriority", "o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus"))
+STATEMENTS["csv_to_markdown"] = f"""
+with r as (
+  select strftime(o_orderdate, '%Y-%m') as month, o_orderkey,
+    list_slice([cast(o_orderkey as varchar), replace(o_orderpriority, '-', '"' || chr(92) || '|'), o_orderstatus, 'x', 'a,b', ''], 1, 3 + cast(o_orderkey % 4 as integer)) as cells from orders
+), w as (select month, greatest(4, max(len(cells))) as width from r group by month),
+l as (select month, o_orderkey, '| ' || array_to_string(list_resize(cells, width, ''), ' | ') || ' |' as line from r join w using (month))
+select month, '| ' || array_to_string(list_resize(['a', 'b', 'c', 'd'], any_value(width), ''), ' | ') || ' |' || {NL} || '|' || repeat(' --- |', any_value(width)) || {NL}
+  || string_agg(line, {NL} order by o_orderkey) as markdown from l join w using (month) group by month"""

@@ -85,7 +85,7 @@ def test_files_to_outcomes(spark, folder, tmp_path):
     assert rows["latin.txt"]["markdown"] == "# Grüße\n"
     assert rows["empty.txt"]["markdown"] == "" and rows["empty.txt"]["attempts"] == 0
     assert rows["page.html"]["markdown"] == "# Hi\n\nx & y\n\n- a\n- b\n"
-    assert rows["table.csv"]["markdown"] == "# table\n\n| a | b |\n| --- | --- |\n| 1 | x, y |\n| 2 |  |\n| 3 | 4 |\n"
+    assert rows["table.csv"]["markdown"] == "# table\n\n| a | b |  |\n| --- | --- | --- |\n| 1 | x, y |  |\n| 2 |  |  |\n| 3 | 4 | 5 |\n"
     assert rows["bundle.zip"]["markdown"].startswith("# bundle\n\n## b/two.html\n\n")
     assert "## a.txt\n\none" in rows["bundle.zip"]["markdown"]
     assert rows["span.txt"]["outcome"] == "quarantined" and rows["span.txt"]["attempts"] == 2
