@@ -261,7 +261,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     key = F.coalesce("doc_id", F.lit(NO_ID))
     once = docs.groupBy(key).count().filter("count > 1").isEmpty()
-    version = F.lit(0) if once else F.hash("text")  # tells rows of one doc_id apart
+    # Tells rows of one doc_id apart. Where none are, it is 0, but no literal: that would give the two joins different plans of the texts.
+    version = F.hash(key).bitwiseAND(F.lit(0)) if once else F.hash("text")
     texts = docs.select(key.alias("id"), version.alias("version"), F.struct(*rest).alias("row"), "text")
     by_id = texts.repartition(count, "id", "version")  # one exchange of the texts, read twice
 
