@@ -45,12 +45,12 @@ def merge_latest_valid(previous: DataFrame, new_clean: DataFrame) -> DataFrame:
     return kept.select("name", "markdown").unionByName(new_clean.select("name", "markdown"))
 
 
-def quarantine_rows(repaired: DataFrame) -> DataFrame:
-    """name, markdown (cut), report of the documents that still have findings."""
+def quarantine_rows(repaired: DataFrame, max_characters: int = MAX_QUARANTINE_CHARACTERS) -> DataFrame:
+    """name, markdown (its first ``max_characters``), report of the documents that still have findings."""
     dirty = repaired.filter(F.size("diagnostics") > 0)
     return dirty.select(
         "name",
-        F.left("markdown", F.lit(MAX_QUARANTINE_CHARACTERS)).alias("markdown"),
+        F.left("markdown", F.lit(max_characters)).alias("markdown"),
         lint.report(F.col("name"), F.col("diagnostics")).alias("report"),
     )
 

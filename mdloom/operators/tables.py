@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdloom.functions.fixed import MAX_MARKDOWN_BYTES
+from mdloom.sources.staging import staging_folder
 
 
 def _cell(name: str) -> Column:
@@ -32,8 +33,10 @@ def table_to_markdown(
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(c) for c in columns]), F.lit(" |"))
     room = max_bytes - len(header.encode())
     lines = rows.select(*group_by, F.struct(*order_by).alias("_order"), line.alias("_line")).withColumn("_size", F.octet_length("_line") + 1)
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that both uses see the same ranges
-    ranged = lines.repartitionByRange(count, *group_by, "_order").withColumn("_range", F.spark_partition_id())
+    # Ranges are drawn by sampling, anew for each use of the rows; written down, they are the same for both uses.
+    stage = staging_folder(rows.sparkSession, "tables")
+    lines.repartitionByRange(*group_by, "_order").withColumn("_range", F.spark_partition_id()).write.parquet(stage)
+    ranged = rows.sparkSession.read.parquet(stage)
     sizes = ranged.groupBy(*group_by, "_range").agg(F.sum("_size").alias("_bytes"))
     before = Window.partitionBy(*group_by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group_by, "_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"))

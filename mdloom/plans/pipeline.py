@@ -130,19 +130,36 @@ def process_files(files: DataFrame, root: str, settings: Settings = Settings(),
     return process_markdown(docs, settings, stage)
 
 
-def publish_run(results: DataFrame, folder: str, version: int, previous: int | None = None) -> None:
-    """Merge the valid documents of a run into the published set and write its quarantine.
+def publish_run(results: DataFrame, folder: str, version: int) -> None:
+    """Write what a run changes: valid documents, quarantined ones, refusals with their reasons, and every document's outcome.
 
-    ``results`` reads the staged tables of the repair loop, so neither write repairs anything again.
+    A version holds the documents of its run only, so a refresh costs what changed. ``read_published`` and ``read_quarantine`` put the
+    versions together; ``compact_published`` folds them into one. ``results`` reads the staged tables of the repair loop, so no write
+    repairs anything again.
     """
-    spark, root = results.sparkSession, folder.rstrip("/")
+    root = folder.rstrip("/")
     named = results.withColumn("name", publish.output_name(F.col("name")))
-    clean = named.filter("outcome = 'published'").select("name", "markdown")
-    if previous is not None:
-        clean = publish.merge_latest_valid(fs.read_version(spark, f"{root}/published", previous), clean)
-    fs.publish_sink(clean, f"{root}/published", version)
-    quarantined = publish.quarantine_rows(named.filter("outcome = 'quarantined'"))
-    fs.quarantine_sink(quarantined, f"{root}/quarantine", version)
+    fs.publish_sink(named.filter("outcome = 'published'").select("name", "markdown"), f"{root}/published", version)
+    fs.quarantine_sink(publish.quarantine_rows(named.filter("outcome = 'quarantined'")), f"{root}/quarantine", version)
+    fs.write_version(named.filter("outcome in ('rejected', 'retry', 'failed')").select("name", "outcome", "reason"), f"{root}/refused", version)
+    fs.write_version(named.select("name", "outcome"), f"{root}/outcomes", version)
+
+
+def read_published(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """Per name its latest valid Markdown as of a version."""
+    return fs.read_latest(spark, f"{folder.rstrip('/')}/published", version).select("name", "markdown")
+
+
+def read_quarantine(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """Documents whose latest run left them in the quarantine, as of a version."""
+    root = folder.rstrip("/")
+    standing = fs.read_latest(spark, f"{root}/outcomes", version).filter("outcome = 'quarantined'").select("name", "version")
+    return fs.read_versions(spark, f"{root}/quarantine", version).join(standing, ["name", "version"], "left_semi").select("name", "markdown", "report")
+
+
+def compact_published(spark: SparkSession, folder: str, version: int) -> None:
+    """Write the whole published set as ``version``; earlier versions are not needed to read it or later ones."""
+    fs.publish_sink(read_published(spark, folder, version - 1), f"{folder.rstrip('/')}/published", version)
 
 
 def refresh_folder(
@@ -153,17 +170,31 @@ def refresh_folder(
     previous: int | None = None,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Process what is new or changed since ``previous``, publish it, and write the next ledger."""
+    """Process what is new or changed since ``previous``, publish it, and write the next ledger.
+
+    A file that cannot be read any more when its turn comes is a row with outcome ``retry``: it stays out of the ledger, so the next
+    refresh takes it again, until ``max_attempts`` make it ``failed``.
+    """
     distinct_paths(folder, out)
-    ledger = f"{out.rstrip('/')}/ledger"
+    root = out.rstrip("/")
     listing = fs.scan_files(spark, folder).select("path", "length", "modificationTime")
-    known = listing.limit(0) if previous is None else fs.read_version(spark, ledger, previous)
+    known = listing.limit(0) if previous is None else fs.read_version(spark, f"{root}/ledger", previous)
     # Staged, so that the ledger holds exactly what this run has looked at.
     seen = staging_folder(spark, "listing")
     listing.write.parquet(seen)
     listing = spark.read.parquet(seen)
-    files = fs.load_changed(spark, folder, intake.changed_files(listing, known))
-    results = process_files(files, fs.root_of(folder), settings)
-    publish_run(results, out, version, previous)
-    listing.write.mode("errorifexists").parquet(f"{ledger}/version={version}")
+    changed = intake.changed_files(listing, known)
+    results = process_files(fs.load_changed(spark, folder, changed), fs.root_of(folder), settings)
+
+    waiting = spark.createDataFrame([], "path string, tried bigint") if previous is None else fs.read_version(spark, f"{root}/retries", previous)
+    lost = admission.drop_hidden(admission.file_parts(changed)).join(results.select("path"), "path", "left_anti").join(waiting, "path", "left")
+    unread = lost.select(
+        "path", "name", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("io_error"), (F.coalesce("tried", F.lit(0)) + 1).alias("io_attempts"), F.lit(False).alias("is_clean")
+    )
+    unread = publish.route_outcome(unread, settings.max_attempts)
+    again = unread.filter("outcome = 'retry'").select("path", F.col("io_attempts").alias("tried"))
+    results = results.unionByName(unread.drop("io_error", "io_attempts"), allowMissingColumns=True)
+    publish_run(results, out, version)
+    fs.write_version(again, f"{root}/retries", version)
+    fs.write_version(listing.join(again, "path", "left_anti"), f"{root}/ledger", version)
     return results

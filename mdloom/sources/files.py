@@ -63,5 +63,21 @@ def quarantine_sink(quarantine: DataFrame, folder: str, version: int) -> None:
     )
 
 
+def write_version(rows: DataFrame, folder: str, version: int) -> None:
+    rows.write.mode("errorifexists").parquet(_version(folder, version))
+
+
+def read_versions(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """All versions up to ``version``, with their number."""
+    return spark.read.option("basePath", folder).parquet(folder).filter(F.col("version") <= version)
+
+
+def read_latest(spark: SparkSession, folder: str, version: int, key: str = "name") -> DataFrame:
+    """Per key the row of its latest version. Only keys and version numbers are aggregated; the rows are scanned once."""
+    rows = read_versions(spark, folder, version)
+    latest = rows.groupBy(key).agg(F.max("version").alias("version"))
+    return rows.join(latest, [key, "version"], "left_semi")
+
+
 def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(_version(folder, version))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from mdloom.functions import html, lint
 from mdloom.functions import text as tx
+from mdloom.functions.admission import inside_root
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.fixed import TRUNCATION_LINE
-from mdloom.operators import intake, publish
+from mdloom.operators import intake, publish, tables
 from mdloom.operators import lint as lint_ops
 from mdloom.operators import repair as repair_ops
-from mdloom.plans.pipeline import Settings, process_files, publish_run, refresh_folder
+from mdloom.plans.pipeline import Settings, compact_published, process_documents, process_files, publish_run, read_published, read_quarantine, refresh_folder
 from mdloom.sources import files as fs
 from mdloom.streaming import intake as streams
 
@@ -94,10 +95,10 @@ def test_files_to_outcomes(spark, folder, tmp_path):
 
     old = spark.createDataFrame([("span.txt.md", "old span"), ("plain.txt.md", "old plain")], "name string, markdown string")
     fs.publish_sink(old, f"{tmp_path}/out/published", 1)
-    publish_run(results, f"{tmp_path}/out", 2, previous=1)
-    published = {r["name"]: r["markdown"] for r in fs.read_version(spark, f"{tmp_path}/out/published", 2).collect()}
+    publish_run(results, f"{tmp_path}/out", 2)
+    published = {r["name"]: r["markdown"] for r in read_published(spark, f"{tmp_path}/out", 2).collect()}
     assert published["span.txt.md"] == "old span" and published["plain.txt.md"] == "# Heading\n\ntext\n"
-    (kept,) = fs.read_version(spark, f"{tmp_path}/out/quarantine", 2).collect()
+    (kept,) = read_quarantine(spark, f"{tmp_path}/out", 2).collect()
     assert kept["name"] == "span.txt.md" and "MD033" in kept["report"] and kept["report"].endswith("\n")
 
 
@@ -129,14 +130,103 @@ def test_refresh_takes_only_what_changed(spark, tmp_path):
     (source / "d.txt").write_text("text of d")
     second = refresh_folder(spark, str(source), out, 2, previous=1)
     assert {r["name"]: r["outcome"] for r in second.collect()} == {"b.txt": "quarantined", "c.txt": "published", "d.txt": "published"}
-    published = {r["name"]: r["markdown"] for r in fs.read_version(spark, f"{out}/published", 2).collect()}
+    published = {r["name"]: r["markdown"] for r in read_published(spark, out, 2).collect()}
     assert published == {
         "a.txt.md": "# a\n\ntext of a.txt\n", "b.txt.md": "# b\n\ntext of b.txt\n",
         "c.txt.md": "# c\n\nnew text of c\n", "d.txt.md": "# d\n\ntext of d\n",
     }
     assert refresh_folder(spark, str(source), out, 3, previous=2).isEmpty()
-    listing = fs.scan_files(spark, str(source)).select("path", "length", "modificationTime")
-    assert fs.load_changed(spark, str(source), listing, few=2).count() == 4
+    assert [r["name"] for r in read_quarantine(spark, out, 3).collect()] == ["b.txt.md"]  # stands until it is replaced
+    assert {p.name for p in (tmp_path / "out" / "published").iterdir()} == {"version=1", "version=2", "version=3"}
+    compact_published(spark, out, 4)
+    whole = {r["name"]: r["markdown"] for r in fs.read_version(spark, f"{out}/published", 4).collect()}
+    assert whole == published == {r["name"]: r["markdown"] for r in read_published(spark, out, 4).collect()}
+    (source / "b.txt").write_text("valid again")
+    refresh_folder(spark, str(source), out, 5, previous=3)
+    assert read_quarantine(spark, out, 5).isEmpty() and read_published(spark, out, 5).filter("name = 'b.txt.md'").first()["markdown"] == "# b\n\nvalid again\n"
+
+
+def test_names_like_patterns_and_roots_with_schemes(spark, tmp_path):
+    source = tmp_path / "in [1]"
+    source.mkdir()
+    for name in ("a[1].txt", "b{c}.txt", "d.txt"):
+        (source / name).write_text(f"text of {name}")
+    assert fs.root_of("file:///x/in/") == fs.root_of("file:/x/in") == fs.root_of("/x/y/../in") == "file:/x/in"
+    plain = tmp_path / "in"
+    plain.mkdir()
+    for name in ("a[1].txt", "b.txt"):
+        (plain / name).write_text(f"text of {name}")
+    results = refresh_folder(spark, f"file://{plain}", f"{tmp_path}/out", 1)
+    assert {r["name"]: r["outcome"] for r in results.collect()} == {"a[1].txt": "published", "b.txt": "published"}
+
+
+def test_dot_segments_do_not_leave_the_root(spark):
+    paths = ["file:/corpus/in/a.txt", "file:/corpus/in/x/../a.txt", "file:/corpus/in/../secret/a.txt", "file:/corpus/in/./b..txt", "file:/corpus/inside/a.txt"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(inside_root(F.col("path"), "file:/corpus/in").alias("inside"))
+    assert [r["inside"] for r in rows.collect()] == [True, True, False, True, False]
+
+
+def test_a_file_that_vanishes_is_tried_again(spark, tmp_path, monkeypatch):
+    source, out = tmp_path / "in", f"{tmp_path}/out"
+    source.mkdir()
+    (source / "a.txt").write_text("text of a")
+    (source / "b.txt").write_text("text of b")
+    load = fs.load_changed
+
+    def late(spark, folder, changed):
+        (source / "b.txt").unlink()
+        return load(spark, folder, changed)
+
+    monkeypatch.setattr(fs, "load_changed", late)
+    first = refresh_folder(spark, str(source), out, 1)
+    assert {r["name"]: r["outcome"] for r in first.collect()} == {"a.txt": "published", "b.txt": "retry"}
+    assert [r["outcome"] for r in fs.read_version(spark, f"{out}/refused", 1).collect()] == ["retry"]
+    monkeypatch.setattr(fs, "load_changed", load)
+    (source / "b.txt").write_text("text of b")
+    second = refresh_folder(spark, str(source), out, 2, previous=1)
+    assert {r["name"]: r["outcome"] for r in second.collect()} == {"b.txt": "published"}
+    assert fs.read_version(spark, f"{out}/retries", 2).isEmpty()
+
+
+@pytest.mark.parametrize("width", [80, 200])
+def test_lines_are_checked_at_the_width_they_are_wrapped_to(spark, width):
+    docs = spark.createDataFrame([("a.txt", "a", "text", " ".join(["word"] * 200), None)], "name string, title string, format string, body string, reason string")
+    row = process_documents(docs, Settings(line_length=width)).first()
+    assert row["outcome"] == "published" and width - 5 < max(map(len, row["markdown"].split("\n"))) <= width
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<a href='http://u'>t</a> <a href=http://v>s</a>", "[t](http://u) [s](http://v)"),
+        ('<b class="k">x</b> <em id=e>y</em>', "**x** *y*"),
+        ("<p>caf&eacute; &pound;5 &amp;eacute; &nosuch;</p>", "caf\u00e9 \u00a35 &eacute; &nosuch;"),
+        ("<table><caption>Sales 2020</caption><tr><td>1</td></tr></table>", "Sales 2020\n\n| 1 |\n| --- |"),
+    ],
+)
+def test_html_forms(spark, source, expected):
+    assert spark.range(1).select(html.html_to_markdown(F.lit(source)).alias("m")).first()["m"] == expected
+
+
+def test_csv_keeps_every_cell(spark):
+    row = spark.range(1).select(csv_to_markdown(F.lit("a,b\n1,2,KEEP\n3")).alias("m")).first()
+    assert row["m"] == "| a | b |  |\n| --- | --- | --- |\n| 1 | 2 | KEEP |\n| 3 |  |  |"
+
+
+def test_tables_in_parts_lose_no_row(spark):
+    rows = spark.range(3000).select((F.col("id") % 7 == 0).alias("g"), "id", F.repeat(F.lit("x"), F.when(F.col("id") == 5, 900).otherwise(3)).alias("v"))
+    parts = tables.table_to_markdown(rows, ["g"], ["id"], ["id", "v"], max_bytes=500).collect()
+    for group in (True, False):
+        own = sorted((r["part_no"], r["markdown"]) for r in parts if r["g"] == group)
+        assert [n for n, _ in own] == list(range(len(own))) and len(own) > 5
+        ids = [int(line.split(" | ")[0][2:]) for _, text in own for line in text.split("\n")[2:]]
+        assert ids == [i for i in range(3000) if (i % 7 == 0) == group]
+
+
+def test_front_matter_titles(spark):
+    texts = ["---\ntitle: x\n---", "---\nTITLE\u00a0: x\n---", "---\nx\u2028title: y\n---", "---\nsubtitle: y\n---"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.front_matter_has_title(F.col("t")).alias("has"))
+    assert [r["has"] for r in rows.collect()] == [True, True, False, False]
 
 
 def test_stream_equals_batch_and_skips_done_files(spark, folder, tmp_path):

@@ -6,6 +6,8 @@ import pytest
 from compare import connect, rows_of_frame, rows_of_sql
 
 from __spark_entry__ import entry, oracle_sql, queries
+from mdloom.plans.queries import QUERIES
+from oracles.statements import STATEMENTS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert rows_of_frame(queries()[name](spark, FOLDER)) == rows_of_sql(con, oracle_sql()[name])
+    assert rows_of_frame(QUERIES[name](spark, FOLDER)) == rows_of_sql(con, STATEMENTS[name])
 
 
 def test_entry(spark):
