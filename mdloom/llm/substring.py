@@ -266,9 +266,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(key.alias("id"), version.alias("version"), F.struct(*rest).alias("row"), "text")
     by_id = texts.repartition(count, "id", "version")  # one exchange of the texts, read twice
 
+    def dealt(packed: DataFrame, each: int) -> DataFrame:  # every partition gets as many buckets
+        return packed.repartitionById(count, (F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
+
     def places(packed: DataFrame, every: bool, reach: int) -> DataFrame:
-        found = packed.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_received(every, count), PACKED)
-        return found.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(reach), INTERVALS)
+        found = dealt(packed, BUCKETS_EACH).mapInArrow(_received(every, count), PACKED)
+        return dealt(found, 1).mapInArrow(_merged(reach), INTERVALS)
 
     anchors = texts.select("id", "version", "text").mapInArrow(lambda batches: _sent(_anchors(batches), True, buckets), PACKED)
     marked = by_id.join(places(anchors, every=True, reach=PERIOD), ["id", "version"]).select("id", "version", "row", "text", "begins", "ends")
