@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "neardup")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
     signatures = stage.write(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
-    least = signatures.filter("n > 0").groupBy("print_a", "print_b").agg(F.min("id").alias("rep"))
+    # Written down, it meets the documents by a plain join, whose hot keys (thousands of equal copies) Spark splits.
+    least = stage.write(signatures.filter("n > 0").groupBy("print_a", "print_b").agg(F.min("id").alias("rep")), "least")
     classes = stage.write(
         signatures.filter("n > 0")
         .join(least, ["print_a", "print_b"])
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), stage, "second")
 
     classes_of = least.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("print_a", "print_b", F.coalesce("comp", "rep").alias("comp"))
-    rows = signatures.select("id", "n", "print_a", "print_b").join(classes_of, ["print_a", "print_b"], "left")
+    rows = signatures.select("id", "n", "print_a", "print_b").join(stage.write(classes_of, "components"), ["print_a", "print_b"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("comp", "id"))
     plain = lambda c: F.when(c != NO_ID, c)
     return rows.select(plain(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(component).alias("component_id"), (F.col("id") == component).alias("kept"))
