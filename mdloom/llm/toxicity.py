@@ -7,7 +7,7 @@ wording costs about the same under either and the difference of the two lengths
 * the toxic one is trained on the passages that set toxic texts apart: stretches of bytes whose 5-grams occur in many toxic texts and, for
   their number, in hardly any ordinary one.
 
-A text is cut into windows of about 48 bytes at spaces, lower-cased. The gains (ordinary minus toxic length) of all windows are counted
+A text is cut into windows of about 40 bytes at spaces, lower-cased. The gains (ordinary minus toxic length) of all windows are counted
 against several thresholds, and a logistic regression on those counts, fitted on the labelled sample with weights that restore the share
 of toxic texts among all labels, turns them into a probability.
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from mdloom.llm.common import hashed_sample, held_out
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 4000, 10_000, 20_000
-WINDOW_BYTES = 48
+WINDOW_BYTES = 40
 GRAM = 5
-LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 4, 0.003, 40.0
+LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 40.0
 COMMON_BYTES, CLASS_BYTES, HEADER_BYTES = 8192, 2000, 200
 PREDICT_FROM = 0.3
 
@@ -91,7 +91,13 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 def _text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(_grams(x)) for x in texts]), return_counts=True)
+    """Distinct grams and in how many texts each occurs; a bounded number of texts is looked at together."""
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for low in range(0, len(texts), 500):
+        own, n = np.unique(np.concatenate([np.unique(_grams(x)) for x in texts[low : low + 500]]), return_counts=True)
+        grams, which = np.unique(np.concatenate((grams, own)), return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate((counts, n))).astype(np.int64)
+    return grams, counts
 
 
 def _telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -126,8 +132,12 @@ def learn(sample: list[tuple[str, int]], shares: tuple[int, int]) -> ToxicityMod
     toxic, ordinary = ([x for x, y in zip(texts, label, strict=True) if y == k and len(x) >= GRAM] for k in (1, 0))
     if not toxic or not ordinary:
         return ToxicityModel()
-    plain = [w for x in ordinary for w in windows(x)]
-    plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))[:120_000]]
+    plain: list[bytes] = []
+    for at in np.random.default_rng(7).permutation(len(ordinary)).tolist():
+        plain += windows(ordinary[at])
+        if len(plain) > 120_000:
+            break
+    plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))]
     common = _trained(plain[:100_000], COMMON_BYTES, 32)
     own = _trained(_telling_passages(toxic, ordinary), CLASS_BYTES, 16)
     other = _trained(plain[-20_000:], len(own) + HEADER_BYTES, 32)[-len(own) :] if own else b""
