@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from mdloom.llm.common import Stage, mix64, most_frequent, powers, text_runs
 
 LEXICON_WORDS = 100_000
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 COUNTED_AT_ONCE = 1_000_000
 HEAP_FROM = 48  # symbols of a word from which merges are taken from a heap
 PUNCTUATION, LETTER, NUMBER, BLANK = range(4)

@@ -109,13 +109,13 @@ _inverses = np.ones(1, np.uint64)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = 1 << max(n - 1, 1).bit_length()
+        size = (n | 0xFFFF) + 1
         grown = []
         for base in (BASE, BASE_INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             grown.append(np.cumprod(steps))
-        if size > 4 * CHUNK_BYTES:
+        if size > 2 * CHUNK_BYTES:
             return grown[0][:n], grown[1][:n]  # one very long text: not kept
         _powers, _inverses = grown
     return _powers[:n], _inverses[:n]
