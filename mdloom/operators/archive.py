@@ -23,7 +23,7 @@ MEMBERS_SCHEMA = (
     "path string, is_zip_file boolean, entry_no bigint, entry_name string, is_dir boolean, "
     "file_size bigint, compress_size bigint, head binary, is_zip boolean, unreadable boolean"
 )
-PARTS_SCHEMA = "path string, entry_no bigint, entry_name string, content binary"
+PARTS_SCHEMA = "path string, entry_no bigint, entry_name string, content binary, reason string"
 
 
 def _open(content: bytes) -> zipfile.ZipFile | None:
@@ -52,7 +52,8 @@ def _peek(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | Non
         return None, False, True
 
 
-def _member_rows(path: str, content: bytes) -> list[tuple]:
+def _member_rows(path: str, content: bytes, most: int | None = None) -> list[tuple]:
+    """All members; with more than ``most`` of them, none is opened."""
     archive = _open(content)
     if archive is None:
         return [(path, False, *[None] * 8)]
@@ -60,8 +61,7 @@ def _member_rows(path: str, content: bytes) -> list[tuple]:
         entries = archive.infolist()
         if not entries:
             return [(path, True, *[None] * 8)]
-        # Archives with too many entries are refused by count alone: their members stay unread.
-        read = len(entries) <= fixed.MAX_ARCHIVE_ENTRIES
+        read = most is None or len(entries) <= most
         rows = []
         for number, entry in enumerate(entries):
             peeked = _peek(archive, entry) if read and not entry.is_dir() else (None, False, False)
@@ -107,7 +107,8 @@ def inspect_archive(content: pd.Series) -> pd.DataFrame:
     """The listing of ``archive_members`` folded into the file's own row; null content is no archive."""
     rows = []
     for data in content:
-        listing = _member_rows("", data) if data is not None else [("", False, *[None] * 8)]
+        # Archives with too many entries are refused by count alone: their members stay unread.
+        listing = _member_rows("", data, fixed.MAX_ARCHIVE_ENTRIES) if data is not None else [("", False, *[None] * 8)]
         found = [row for row in listing if row[2] is not None]
         members = [dict(zip(("entry_name", "is_dir", "head", "is_zip", "unreadable"), (r[3], r[4], *r[7:]))) for r in found]
         rows.append(
@@ -205,7 +206,10 @@ def archive_verdict(members: DataFrame) -> DataFrame:
 
 
 def expand_bundle(files: DataFrame) -> DataFrame:
-    """The convertible members of admitted bundles as documents; their number and size are bounded."""
+    """The members of admitted bundles as documents; their number and size are bounded.
+
+    A member without a converter is a row with reason ``no_converter`` and no content.
+    """
     suffixes = fixed.FORMAT_SUFFIXES["text"] + fixed.FORMAT_SUFFIXES["html"] + fixed.FORMAT_SUFFIXES["csv"]
 
     def content_of(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> bytes | None:
@@ -219,9 +223,10 @@ def expand_bundle(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for number, entry in enumerate(archive.infolist()):
-                        if not entry.is_dir() and entry.filename.lower().endswith(suffixes):
-                            row = (path, number, entry.filename, content_of(archive, entry))
-                            yield pd.DataFrame([row], columns=["path", "entry_no", "entry_name", "content"])
+                        if not entry.is_dir():
+                            known = entry.filename.lower().endswith(suffixes)
+                            row = (path, number, entry.filename, content_of(archive, entry) if known else None, None if known else "no_converter")
+                            yield pd.DataFrame([row], columns=["path", "entry_no", "entry_name", "content", "reason"])
 
     members = files.select("path", "content").mapInPandas(parts, PARTS_SCHEMA)
     return members.withColumn("name", F.concat("path", F.lit("!"), "entry_name")).withColumn(

@@ -101,7 +101,7 @@ def _intake(files: DataFrame, root: str, settings: Settings) -> DataFrame:
 
 def _bundles(bundles: DataFrame) -> DataFrame:
     """Members become documents of their own, are converted, and are joined again per bundle."""
-    members = admission.route_format(archive.expand_bundle(bundles))
+    members = admission.route_format(archive.expand_bundle(bundles).filter("reason is null").drop("reason"))
     texts = archive.join_bundle(convert_documents(members.withColumn("body", tx.decode_text(F.col("content")))))
     joined = bundles.select("path", "name", "title").join(texts, "path", "left")
     # A bundle without a convertible member is an empty document, not a missing one.

@@ -8,12 +8,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from mdloom.functions import html, lint
+from mdloom.functions import fixed, html, lint
 from mdloom.functions import text as tx
 from mdloom.functions.admission import inside_root
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.fixed import TRUNCATION_LINE
-from mdloom.operators import intake, publish, tables
+from mdloom.operators import archive, intake, publish, tables
 from mdloom.operators import lint as lint_ops
 from mdloom.operators import repair as repair_ops
 from mdloom.plans.pipeline import Settings, compact_published, process_documents, process_files, publish_run, read_published, read_quarantine, refresh_folder
@@ -370,3 +370,23 @@ def test_large_and_hostile_documents_stay_linear(spark):
     pages = {"img": "<img x " * n, "a": "<a " * n, "pre": "<pre>x" * n, "h1": "<h1>x" * n, "lt": "a < b " * n, "comment": "<!-- x" * n}
     frame = spark.createDataFrame(list(pages.items()), "name string, html string")
     assert len(frame.select(html.html_to_markdown(F.col("html"))).collect()) == len(pages)
+
+
+def test_archives_are_listed_whole(spark):
+    many = zipped({f"{i}.txt": b"x" for i in range(1200)})
+    rows = archive.archive_members(spark.createDataFrame([("file:/a.zip", bytearray(many))], "path string, content binary")).collect()
+    assert len(rows) == 1200 and all(bytes(r["head"]) == b"x" for r in rows)
+
+
+def test_members_without_converter_are_rows_with_a_reason(spark):
+    rows = archive.expand_bundle(spark.createDataFrame([("file:/b.zip", bytearray(FILES["bundle.zip"]))], "path string, content binary")).collect()
+    assert {r["entry_name"]: r["reason"] for r in rows} == {"b/two.html": None, "a.txt": None, "_rels/.rels": "no_converter", "pic.png": "no_converter"}
+
+
+def test_fixed_values():
+    """What both the queries and their SQL take from one place, pinned."""
+    assert (fixed.MAX_INPUT_BYTES, fixed.MAX_MARKDOWN_BYTES, fixed.MAX_REPORT_CHARACTERS, fixed.MAX_QUARANTINE_CHARACTERS) == (52_428_800, 16_777_216, 65_536, 1_048_576)
+    assert (fixed.MAX_ARCHIVE_ENTRIES, fixed.MAX_EXPANDED_BYTES, fixed.MAX_COMPRESSION_RATIO) == (1000, 268_435_456, 200)
+    assert (fixed.LINE_LENGTH, fixed.MAX_ATTEMPTS, fixed.DEBOUNCE_SECONDS, fixed.RETRY_SECONDS) == (120, 5, 1, 10)
+    assert " ".join(fixed.BLOCKED_MEDIA_SUFFIXES) == ".aac .avi .flac .m4a .mkv .mov .mp3 .mp4 .ogg .wav .webm .wma"
+    assert " ".join(fixed.ZIP_SUFFIXES) == ".docx .epub .odp .ods .odt .pptx .xlsx .zip"
