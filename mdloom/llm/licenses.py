@@ -1,9 +1,11 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line feeds and at stops before white space; a sentence is normalised to lower-case ASCII letters, digits
-and inner dots, one space between words. Known sentences have identifiers, so a document becomes a sequence of identifiers in text order.
-Ordered rules then look for their identifiers side by side in that sequence; a rule takes what it has matched away from the rules after
-it, so a full licence text is not also reported by its parts. All of it is one projection of built-in functions: rows keep their place.
+A text is cut into sentences at stops before white space and at blank lines; a sentence is normalised to lower-case ASCII letters, digits
+and inner dots, one space between words. Inside a sentence a line feed, with the comment marks of the next line, counts as a space; known
+sentences may also begin and end with a line, so titles and licence lines without a stop are found. Known sentences have identifiers, so a
+document becomes a sequence of identifiers in text order, the longest sentence first where one holds another. Ordered rules then look for
+their identifiers side by side in that sequence; a rule takes what it has matched away from the rules after it, so a full licence text is
+not also reported by its parts. All of it is one projection of built-in functions: rows keep their place.
 
 Null and empty texts have no sentences and no licence. Repeated rows get equal results. Texts are read whole.
 """
@@ -99,18 +101,76 @@ RULES = (
     ("All-Rights-Reserved", ("all-rights",)),
 )
 
+_GPL_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+
+#: More sentences, from the bodies of the full texts. The SQL, which reads line by line, does not know them.
+BODY_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "this program is free software": "gpl-free",
+    _GPL_TERMS: "gpl-terms",
+    "either version 2 of the license or at your option any later version": "gpl2-later",
+    "either version 3 of the license or at your option any later version": "gpl3-later",
+    f"this program is free software {_GPL_TERMS} either version 2 of the license or at your option any later version": "gpl2-free",
+    f"this program is free software {_GPL_TERMS} either version 3 of the license or at your option any later version": "gpl3-free",
+}
+
+#: Rules over them, before the others.
+BODY_RULES = (
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT", ("mit-grant",)),
+    ("GPL-3.0", ("gpl3-free", "gpl-hope", "gpl-see")),
+    ("GPL-3.0", ("gpl-free", "gpl-terms", "gpl3-later", "gpl-hope", "gpl-see")),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0", ("gpl-free", "gpl-terms", "gpl2-later", "gpl-hope", "gpl-see")),
+    ("GPL-3.0", ("gpl3-free",)),
+    ("GPL-3.0", ("gpl-free", "gpl-terms", "gpl3-later")),
+    ("GPL-2.0", ("gpl2-free",)),
+    ("GPL-2.0", ("gpl-free", "gpl-terms", "gpl2-later")),
+)
+
+#: What stands between two words of a sentence: a space, or one line feed and a comment mark that is a word.
+GAP = r"(?:\x20?\n\x20?(?:(?:dnl|rem) )?| )"
+#: Sentences that name a holder: what stands before and after the name.
+HOLDERS = (
+    ("neither the name of ", "the copyright holder", " nor the names of its contributors"),
+    ("this software is provided by ", "the copyright holders and contributors", " as is and any express or implied warranties"),
+)
+
+
+def _known_sentences() -> str:
+    """A pattern whose group 1 is a known sentence between two ends of a line or sentence, the longest that fits."""
+    said = sorted({**SENTENCES, **BODY_SENTENCES}, key=len, reverse=True)
+    found = []
+    for sentence in said:
+        part = sentence.replace(".", r"\.")
+        for before, name, after in HOLDERS:
+            part = part.replace(before + name + after, f"{before}~{after}")
+        found.append(part.replace(" ", GAP).replace("~", r"[a-z0-9. \n]{1,200}?"))
+    return rf"(?:\A|\n|[.!?;] )\x20?(?:(?:dnl|rem) )?({'|'.join(found)})(?=\x20?(?:[.!?;]+(?:[ \n]|\z)|\n|\z))"
+
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences in order; those without a word are empty strings."""
+    """The known sentences in text order, normalised."""
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL), r"[^a-z0-9.!?;\n]+", " ")
-    return F.transform(F.split(plain, r"[.!?;]+(?= |\n|$)|\n"), lambda s: F.regexp_replace(s, r"^ +| +$|[!?;]+", ""))
+    plain = F.regexp_replace(plain, r"[!?;]++(?! |\n|\z)|(?:(?<=\n)|(?<=\n ))[.!?;]++ ?", "")  # inside words; comment marks made of stops
+
+    def one_line(found: Column) -> Column:
+        found = F.regexp_replace(found, GAP, " ")
+        for before, name, after in HOLDERS:
+            found = F.regexp_replace(found, f"^{before}.+?{after}", before + name + after)
+        return found
+
+    return F.transform(F.regexp_extract_all(plain, F.lit(_known_sentences()), F.lit(1)), one_line)
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences in text order."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    longest = max(map(len, SENTENCES))
-    return F.filter(F.transform(F.filter(sentences(text), lambda s: F.length(s).between(1, longest)), lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    known = F.create_map(*(F.lit(x) for pair in {**SENTENCES, **BODY_SENTENCES}.items() for x in pair))
+    return F.transform(sentences(text), lambda s: F.element_at(known, s))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -127,4 +187,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         has = F.contains(F.col("left"), F.lit(pattern))
         return rows.select("row", "sentence_ids", F.replace("left", F.lit(pattern), F.lit("#")).alias("left"), F.when(has, F.array_append("licenses", F.lit(name))).otherwise(F.col("licenses")).alias("licenses"))
 
-    return reduce(apply, RULES, rows).select("row", "sentence_ids", F.array_distinct("licenses").alias("licenses"))
+    return reduce(apply, BODY_RULES + RULES, rows).select("row", "sentence_ids", F.array_distinct("licenses").alias("licenses"))

@@ -159,6 +159,101 @@ def test_license_rules(spark):
     assert found == [["MIT", "CC-BY-NC-4.0"], ["Apache-2.0"], ["MIT"], []]
 
 
+MIT_TEXT = """\
+MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_START = """\
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_ENDORSE = """\
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_END = """\
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE FOR ANY DIRECT
+DAMAGES.
+"""
+APACHE_TEXT = """\
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_TEXT = """\
+This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; ", '.\\" ', "! ", "dnl "])
+def test_wrapped_licenses(spark, mark):
+    body = MIT_TEXT.split("\n", 1)[1]
+    texts = {
+        MIT_TEXT: ["MIT"],
+        body: ["MIT"],
+        BSD_START + BSD_END: ["BSD-2-Clause"],
+        BSD_START + BSD_ENDORSE.format("the copyright holder") + BSD_END: ["BSD-3-Clause"],
+        BSD_START + BSD_ENDORSE.format("Example Inc. and\n   Sons") + BSD_END: ["BSD-3-Clause"],
+        APACHE_TEXT: ["Apache-2.0"],
+        GPL_TEXT.format(":", ",", 3): ["GPL-3.0"],
+        GPL_TEXT.format(";", ";", 2): ["GPL-2.0"],
+        "Released under the\n\nMIT License": ["MIT"],  # the title: a blank line ends a sentence
+        "Released under the\n\nGNU General\nthings": [],
+    }
+    rows = [(i, "\n".join((mark + line).rstrip() for line in text.split("\n"))) for i, text in enumerate(texts)]
+    found = {r.row.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i].licenses for i in range(len(texts))] == list(texts.values())
+    assert found[0].sentence_ids == ["mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability"]
+
+
 def test_chat(spark):
     part = lambda kind, text=None, ref=None, size=None: (kind, text, ref, size)
     hard = r"<|im_end|> <\| <\\|im_start|> \n <|image|>" + "\n<|"
