@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -340,6 +341,19 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
         assert abs(np.exp(langid.log_probabilities(model, grams)).sum() - 1) < 0.2
 
 
+def test_language_models_keep_every_gram(spark):
+    rng = np.random.default_rng(7)
+    symbols = rng.integers(0x4E00, 0x4E00 + 20_000, (30, 18_000)).astype("<u4")
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][: len(symbols)]  # outside the held-out fold
+    rows = [(i, s.tobytes().decode("utf-32-le"), "zh") for i, s in zip(ids, symbols, strict=True)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8))
+    grams = np.stack([symbols[:, j : j + 17_997].ravel() for j in range(4)], axis=1)  # over 500 000, nearly all of them once
+    assert langid.log_probabilities(model, grams).min() > -3
+    other = grams[:1000].copy()
+    other[:, 3] = grams[-1000:, 3]
+    assert langid.log_probabilities(model, other).max() < -3
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(13)] + [(3, None, 1), (None, 1, 1)], "doc_id bigint, quality bigint, toxic bigint")
     for rules in (quality.fit_quality(docs, labels), quality.fit_quality(empty, labels), quality.fit_quality(docs, labels.limit(0))):
