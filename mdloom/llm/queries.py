@@ -11,13 +11,16 @@ from mdloom.llm.chat import PARTS, conversation_digests, format_turns
 from mdloom.llm.common import held_out, table
 from mdloom.llm.decontaminate import find_leaks
 from mdloom.llm.langid import fit_languages, identify_languages
+from mdloom.llm.lexical import lexical_search
 from mdloom.llm.licenses import scan_licenses
 from mdloom.llm.neardup import near_duplicates
 from mdloom.llm.pages import extract_main_text, fit_content
 from mdloom.llm.quality import fit_quality, judge_quality
 from mdloom.llm.sql import SQL
 from mdloom.llm.substring import remove_repeats
+from mdloom.llm.topk import exact_top_k
 from mdloom.llm.toxicity import PREDICT_FROM, fit_toxicity, toxicity_score
+from mdloom.llm.whiten import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -79,6 +82,19 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_main_text": op2_main_text,
@@ -90,6 +106,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -76,4 +76,35 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) a
 from base left join kept using (doc_id)
 """
 
-SQL = {"op3_licenses": _licenses(), "op4_near_duplicates": _NEAR, "op5_chat": _CHAT, "op8_substring_dedup": _REPEATS}
+_TOP_K = """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+  from vectors q join vectors c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+), ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from scored)
+select * from ranked where rank <= 5
+"""
+
+_TERMS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_LEXICAL = rf"""
+with docs as (select row_number() over () as r, doc_id, {_TERMS.format(text="text")} as t from documents where text is not null),
+totals as (select count(*) as n_docs, cast(sum(len(t)) as bigint) as n_terms from docs where len(t) > 0),
+items as (select distinct item_id, unnest({_TERMS.format(text="text")}) as term from benchmark),
+words as (select r, unnest(t) as term from docs),
+times as (select r, term, count(*) as tf from words semi join items using (term) group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from times, totals group by term
+), lengths as (select r, doc_id, 100 - 90 + ((90 * cast(len(t) as bigint) * n_docs) // n_terms) as m from docs, totals),
+scored as (
+  select item_id, r, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from items join times using (term) join weights using (term) join lengths using (r) group by item_id, r
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from scored where score > 0
+)
+select * from ranked where rank <= 10
+"""
+
+SQL = {"op3_licenses": _licenses(), "op4_near_duplicates": _NEAR, "op5_chat": _CHAT, "op8_substring_dedup": _REPEATS, "op11_exact_top_k": _TOP_K, "op12_lexical_search": _LEXICAL}
