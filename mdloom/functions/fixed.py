@@ -12,6 +12,7 @@ LINE_LENGTH = 120
 MAX_ATTEMPTS = 5
 DEBOUNCE_SECONDS = 1
 RETRY_SECONDS = 10
+IDLE_SECONDS = 30
 TRUNCATION_LINE = "Diagnóstico truncado"
 DEFAULT_TITLE = "Document"
 

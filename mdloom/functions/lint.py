@@ -277,6 +277,11 @@ def cap_text(text: Column, limit: int = MAX_REPORT_CHARACTERS) -> Column:
     return F.when(F.length(text) + 1 >= limit, F.concat(cut, F.lit("\n" + TRUNCATION_LINE))).otherwise(text)
 
 
-def report(name: Column, diagnostics: Column, limit: int = MAX_REPORT_CHARACTERS) -> Column:
+def full_report(name: Column, diagnostics: Column) -> Column:
+    """All findings, one per line, in the order of line, column and rule."""
     lines = F.transform(F.sort_array(diagnostics), lambda d: diagnostic_text(name, d["line_no"], d["col"], d["rule"], d["message"]))
-    return let(F.array_join(lines, "\n"), lambda text: cap_text(text, limit))
+    return F.array_join(lines, "\n")
+
+
+def report(name: Column, diagnostics: Column, limit: int = MAX_REPORT_CHARACTERS) -> Column:
+    return let(full_report(name, diagnostics), lambda text: cap_text(text, limit))

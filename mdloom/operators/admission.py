@@ -30,10 +30,10 @@ def route_format(files: DataFrame) -> DataFrame:
 def admission_verdict(files: DataFrame, root: str, max_bytes: int = MAX_INPUT_BYTES) -> DataFrame:
     """+reason: the first rule that refuses the file, null when admitted.
 
-    The tests on name and size come first; ``content`` is looked at only for files that survive them
-    or have an unknown suffix.
+    The tests on name and size come first; the first bytes (``head`` where there is such a column, else ``content``) are looked at only
+    for files that survive them or have an unknown suffix, whatever their size.
     """
-    suffix, media = F.col("suffix"), a.has_media_signature(F.col("content"))
+    suffix, media = F.col("suffix"), a.has_media_signature(F.col("head" if "head" in files.columns else "content"))
     reason = (
         F.when(a.is_blocked_media_suffix(suffix), "blocked_media")
         .when(~a.is_supported_suffix(suffix) & media, "blocked_media")

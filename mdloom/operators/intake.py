@@ -1,4 +1,4 @@
-"""Incremental intake: changed files, debounced events, the retry ledger.
+"""Incremental intake: changed files, debounced events, the retry ledger, and the jobs of a folder that are due.
 
 A single path may own a large share of all events. Work that needs order is done per (path, time
 bucket) first and only bucket summaries meet per path.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mdloom.functions.fixed import DEBOUNCE_SECONDS, MAX_ATTEMPTS, RETRY_SECONDS
 
 BUCKET_SECONDS = 3600
+LOG_SCHEMA = "path string, ts timestamp, seq bigint, kind string, length bigint, modificationTime timestamp"
 
 
 def changed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -95,8 +96,8 @@ def debounce(
 def retry_ledger(
     attempts: DataFrame,
     max_attempts: int = MAX_ATTEMPTS,
-    retry_seconds: int = RETRY_SECONDS,
-    debounce_seconds: int = DEBOUNCE_SECONDS,
+    retry_seconds: float = RETRY_SECONDS,
+    debounce_seconds: float = DEBOUNCE_SECONDS,
     bucket_seconds: int = 24 * BUCKET_SECONDS,
 ) -> DataFrame:
     """path, attempts, status, next_due from a log of (path, ts, seq, kind).
@@ -155,3 +156,30 @@ def due_jobs(ledger: DataFrame, now: datetime | Column) -> DataFrame:
     """Jobs whose time has come; jobs without a due time are finished."""
     moment = now if isinstance(now, Column) else F.lit(now)
     return ledger.filter(F.col("next_due") <= moment)
+
+
+def waiting_log(listing: DataFrame, ledger: DataFrame, log: DataFrame, now: datetime | Column, seq: int) -> DataFrame:
+    """The log of the files that wait: ``log`` without those settled since, and an event for each file that is new or has changed.
+
+    ``log`` holds what happened to files that still waited (``LOG_SCHEMA``), with their length and time then. A file whose length or time
+    differ from its last entry starts over, at the time it was changed. A file that is gone keeps its entries: its next attempt will fail.
+    """
+    moment = now if isinstance(now, Column) else F.lit(now)
+    changed = changed_files(listing, ledger).select("path", "length", "modificationTime")
+    last = log.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), F.struct("ts", "seq")).alias("last"), F.max("ts").alias("last_ts"))
+    met = changed.join(last, "path", "left")
+    known = F.col("last.length").eqNullSafe(F.col("length")) & F.col("last.modificationTime").eqNullSafe(F.col("modificationTime"))
+    events = met.filter(~known).select(
+        "path", F.greatest(F.least("modificationTime", moment), "last_ts").alias("ts"), F.lit(seq).cast("bigint").alias("seq"), F.lit("event").alias("kind"), "length", "modificationTime"
+    )
+    settled = listing.select("path").join(changed.select("path"), "path", "left_anti")
+    return log.join(settled, "path", "left_anti").unionByName(events)
+
+
+def waiting_jobs(
+    log: DataFrame, max_attempts: int = MAX_ATTEMPTS, retry_seconds: float = RETRY_SECONDS, debounce_seconds: float = DEBOUNCE_SECONDS
+) -> DataFrame:
+    """``retry_ledger`` of a log of waiting files, with the length and time each file had at its last entry."""
+    last = log.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), F.struct("ts", "seq")).alias("last"))
+    ledger = retry_ledger(log, max_attempts, retry_seconds, debounce_seconds)
+    return ledger.join(last, "path").select("path", "attempts", "status", "next_due", "last.length", "last.modificationTime")

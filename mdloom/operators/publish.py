@@ -46,12 +46,19 @@ def merge_latest_valid(previous: DataFrame, new_clean: DataFrame) -> DataFrame:
 
 
 def quarantine_rows(repaired: DataFrame, max_characters: int = MAX_QUARANTINE_CHARACTERS) -> DataFrame:
-    """name, markdown (its first ``max_characters``), report of the documents that still have findings."""
+    """name, markdown (its first ``max_characters``), report (up to its limit) of the documents that still have findings."""
+    return quarantine_full(repaired, max_characters).select("name", "markdown", "report")
+
+
+def quarantine_full(repaired: DataFrame, max_characters: int = MAX_QUARANTINE_CHARACTERS) -> DataFrame:
+    """``quarantine_rows`` with ``full_markdown`` and ``full_report``, from which nothing is cut."""
     dirty = repaired.filter(F.size("diagnostics") > 0)
     return dirty.select(
         "name",
         F.left("markdown", F.lit(max_characters)).alias("markdown"),
         lint.report(F.col("name"), F.col("diagnostics")).alias("report"),
+        F.col("markdown").alias("full_markdown"),
+        lint.full_report(F.col("name"), F.col("diagnostics")).alias("full_report"),
     )
 
 

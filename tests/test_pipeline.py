@@ -171,17 +171,17 @@ def test_a_file_that_vanishes_is_tried_again(spark, tmp_path, monkeypatch):
     source.mkdir()
     (source / "a.txt").write_text("text of a")
     (source / "b.txt").write_text("text of b")
-    load = fs.load_changed
+    read = fs.read_files
 
-    def late(spark, folder, changed):
+    def late(listing, max_bytes):
         (source / "b.txt").unlink()
-        return load(spark, folder, changed)
+        return read(listing, max_bytes)
 
-    monkeypatch.setattr(fs, "load_changed", late)
+    monkeypatch.setattr(fs, "read_files", late)
     first = refresh_folder(spark, str(source), out, 1)
     assert {r["name"]: r["outcome"] for r in first.collect()} == {"a.txt": "published", "b.txt": "retry"}
     assert [r["outcome"] for r in fs.read_version(spark, f"{out}/refused", 1).collect()] == ["retry"]
-    monkeypatch.setattr(fs, "load_changed", load)
+    monkeypatch.setattr(fs, "read_files", read)
     (source / "b.txt").write_text("text of b")
     second = refresh_folder(spark, str(source), out, 2, previous=1)
     assert {r["name"]: r["outcome"] for r in second.collect()} == {"b.txt": "published"}
