@@ -74,11 +74,16 @@ def _numeric_reference(token: Column) -> Column:
 def decode_named(text: Column) -> Column:
     """Named references; ``&lt;`` and ``&gt;`` stay, ``&amp;`` comes last."""
     steps = lambda value, names: reduce(lambda v, step: F.replace(v, F.lit(step[0]), F.lit(step[1])), names, value)
-    common = steps(text, NAMED_ENTITIES.items())
     reference = r"&(?!(?:amp|lt|gt);)[a-zA-Z][a-zA-Z0-9]*+;"
-    known = F.create_map(*(F.lit(x) for name, value in html5.items() if name.endswith(";") and name not in ("amp;", "lt;", "gt;") for x in (f"&{name}", value)))
-    tokens = F.transform(extract_all(common, rf"{reference}|(?:[^&]|&(?!(?!(?:amp|lt|gt);)[a-zA-Z][a-zA-Z0-9]*+;))++"), lambda t: F.when(t.rlike(rf"\A{reference}\z"), F.coalesce(F.element_at(known, t), t)).otherwise(t))
-    return steps(F.when(common.rlike(reference), F.array_join(tokens, "")).otherwise(common), [("&amp;", "&")])
+    # One literal that Spark folds into a map: two thousand literals would take seconds to build.
+    names = "\x1e".join(f"&{name}\x1f{value}" for name, value in html5.items() if name.endswith(";") and name not in ("amp;", "lt;", "gt;"))
+    known = F.str_to_map(F.lit(names), F.lit("\x1e"), F.lit("\x1f"))
+
+    def rest(common: Column) -> Column:
+        tokens = F.transform(extract_all(common, rf"{reference}|(?:[^&]|&(?!(?!(?:amp|lt|gt);)[a-zA-Z][a-zA-Z0-9]*+;))++"), lambda t: F.when(t.rlike(rf"\A{reference}\z"), F.coalesce(F.element_at(known, t), t)).otherwise(t))
+        return F.when(common.rlike(reference), F.array_join(tokens, "")).otherwise(common)
+
+    return let(text, lambda t: F.when(t.contains("&"), steps(let(steps(t, NAMED_ENTITIES.items()), rest), [("&amp;", "&")])).otherwise(t))
 
 
 def decode_numeric(text: Column) -> Column:
@@ -91,11 +96,13 @@ def decode_numeric(text: Column) -> Column:
             lambda c: F.when(c == "<", F.lit("&lt;")).when(c == ">", F.lit("&gt;")).when(c == "&", F.lit("&amp;")).otherwise(c),
         )
 
-    tokens = F.transform(
-        extract_all(text, rf"{reference}|(?:[^&]|&(?!#(?:[0-9]++|[xX][0-9a-fA-F]++);))++"),
-        lambda t: F.when(t.rlike(rf"\A{reference}"), decoded(t)).otherwise(t),
-    )
-    return F.when(text.contains("&#"), F.array_join(tokens, "")).otherwise(text)
+    def tokens(text: Column) -> Column:
+        return F.transform(
+            extract_all(text, rf"{reference}|(?:[^&]|&(?!#(?:[0-9]++|[xX][0-9a-fA-F]++);))++"),
+            lambda t: F.when(t.rlike(rf"\A{reference}"), decoded(t)).otherwise(t),
+        )
+
+    return let(text, lambda whole: F.when(whole.contains("&#"), F.array_join(tokens(whole), "")).otherwise(whole))
 
 
 def decode_entities(text: Column) -> Column:

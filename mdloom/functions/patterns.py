@@ -70,27 +70,10 @@ def units_of(*blocks):
 
 
 # --- inline grammar -------------------------------------------------------------------------------
-BRACKET_DEPTH = 32  # nesting the link pattern follows; beyond it a bracket is plain text
-
 _QUOTED = r""""(?:\\[\s\S]|[^"\\])*+"|'(?:\\[\s\S]|[^'\\])*+'"""
-
-
-def _nested(opening, closing, atoms):
-    body = ""
-    for _ in range(BRACKET_DEPTH):
-        body = rf"{opening}(?:{atoms}{'|' + body if body else ''})*+{closing}"
-    return body
-
-
-_LABEL = _nested(r"\[", r"\]", r"[^\[\]\\]|\\[\s\S]")
-_TARGET = _nested(r"\(", r"\)", r"[^()'\"\\]|\\[\s\S]|" + _QUOTED)
-_LINK = rf"{_LABEL}{W}*+{_TARGET}"
-INLINE_LINK = rf"(?:!(?=\[)|(?<!\\)){_LINK}"
-# Text between links. A bracketed label that no target follows is stepped over as a whole; a label or
-# target that never closes leaves the rest of the line as text.
-BETWEEN_LINKS = (
-    rf"(?:[^\[!]|!(?!{_LINK})|(?<=\\)\[|(?!{_LINK})(?:{_LABEL}(?!{W}*+\()|\[[\s\S]*+))++"
-)
+# What link detection steps over: each character that may matter by itself, runs of blanks, runs of the rest.
+LINK_TOKENS = rf"""[\\\[\]()"']|!(?=\[)|{W}++|(?:(?![\\\[\]()"']|!\[|{W})[\s\S])++"""
+MAY_HOLD_LINK = rf"\]{W}*+\("
 CODE_SPAN = r"(`++)(?:[^`]|(?!\1(?!`))`++)*+\1(?!`)"
 _QUOTED_TEXT = r""""(?:\\[^`<]|[^"\\`<])*+"|'(?:\\[^`<]|[^'\\`<])*+'"""
 PLAIN_TEXT = rf"""(?:[^`<"']|(?!{_QUOTED_TEXT})["'])++"""

@@ -28,7 +28,7 @@ case doc_id % 10
 EXTRA_MARKDOWN = """
 case doc_id % 7
   when 0 then concat('[ref', doc_id, ']: https://r.example/', doc_id, chr(10), '[w]: www.r.example', chr(10), '[x](y)', chr(10), text)
-  when 1 then concat('see (a)[b', doc_id, '] and `(c)[d]`', chr(10), text)
+  when 1 then concat('see (a)[b', doc_id, '] and `(c)[d]`', chr(10), chr(10), repeat('[', 40), 'x http://i.example', repeat(']', 40), '(u) www.o.io', chr(10), chr(10), text)
   when 2 then concat('<!-- pyml disable-next-line -->', chr(10), '<!-- pyml disable-next-line MD013 -->', chr(10), text)
   when 3 then concat('﻿', 'a', chr(13), chr(10), 'b', chr(13), text)
   when 4 then concat('+++', chr(10), 'title = 1', chr(10), '+++', chr(10), text)

@@ -140,8 +140,8 @@ def demote(p: str, src: str, has_title: str) -> Ctes:
 
 
 def autolinked(x: str) -> str:
-    """Enough for lines without nested links, with balanced code and quotes."""
-    protected = rf"`[^`]*`|<[^>]*>|!?\[[^\]]*\]\([^)]*\)|{QUOTES}|[(\[<](?:https?://|www\.)"
+    """Enough for labels nested around one text, with balanced code and quotes."""
+    protected = rf"`[^`]*`|<[^>]*>|!?\[+[^\[\]]*\]+\([^)]*\)|!?\[[^\]]*\]\([^)]*\)|{QUOTES}|[(\[<](?:https?://|www\.)"
     url = rf"(?:https?://|www\.)[^{WS}<>]*[^{WS}<>.,;:!?''\")]"
     marked = f"regexp_replace({x}, '({protected})|({url})', '\\1' || chr(1) || '\\2' || chr(2), 'g')"
     marked = f"replace({marked}, chr(1) || chr(2), '')"

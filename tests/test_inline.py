@@ -40,6 +40,17 @@ AUTOLINKS = {
     "[r] and ]: http://e.org": "[r] and ]: <http://e.org>",
     "HTTP://E.ORG": "HTTP://E.ORG",
     "[" * 20 + "x" + "]" * 20 + "(http://e.org)": "[" * 20 + "x" + "]" * 20 + "(http://e.org)",
+    "[" * 40 + "x" + "]" * 40 + "(http://e.org) http://f.org": "[" * 40 + "x" + "]" * 40 + "(http://e.org) <http://f.org>",
+    "[" * 3000 + "x http://i.org" + "]" * 3000 + "(" * 3000 + "http://e.org" + ")" * 3000 + " http://f.org": "[" * 3000 + "x http://i.org" + "]" * 3000 + "(" * 3000 + "http://e.org" + ")" * 3000 + " <http://f.org>",
+    "[" * 41 + "x" + "]" * 40 + "(http://e.org) http://f.org": "[" * 41 + "x" + "]" * 40 + "(http://e.org) <http://f.org>",
+    "[a] ![b] [c](u) http://f.org": "[a] ![b] [c](u) <http://f.org>",
+    "[a]![b](http://u) http://f.org": "[a]![b](http://u) <http://f.org>",
+    r"[a\]](http://u) http://f.org": r"[a\]](http://u) <http://f.org>",
+    r"[a](http://u 'x) y') z') http://f.org": r"[a](http://u 'x) y') z') <http://f.org>",
+    r"[a](http://u\) x) http://f.org": r"[a](http://u\) x) <http://f.org>",
+    r"\\[a](http://u) b": r"\\[a](http://u) b",
+    "[a](u) [b](http://open http://f.org": "[a](u) [b](http://open <http://f.org>",
+    "x http://a [b](c) y www.d [e](f) z www.g": "x <http://a> [b](c) y <https://www.d> [e](f) z <https://www.g>",
 }
 ESCAPES = {
     "(a)[b]": "(a)&#91;b]",
