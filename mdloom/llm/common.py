@@ -40,6 +40,8 @@ class Stage:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="mdloom-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.folder = f"{root.rstrip('/')}/mdloom/{purpose}-{uuid.uuid4().hex}"

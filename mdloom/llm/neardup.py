@@ -15,7 +15,8 @@ with nothing. Documents are linked when 100 * intersection >= 75 * union, decide
    never exceeds the number of elements in which two sets differ. So no link between components is left out, and no pairs of a group are
    emitted.
 
-Sets are compared by 64-bit shingle hashes. Rows with one doc_id count as one document; rows without doc_id as one with the largest id.
+Sets are compared by 64-bit shingle hashes. A class of equal sets is a node of its own number, whatever ids its documents have or share, so rows
+without doc_id, or of one doc_id, are linked only if their texts are. Such rows count as documents with the largest id.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def may_be_linked(n: np.ndarray, m: np.ndarray, parity_n: np.ndarray, parity_m:
     return ((100 + THRESHOLD_PERCENT) * differ <= (100 - THRESHOLD_PERCENT) * (n + m)) & (100 * np.minimum(n, m) >= THRESHOLD_PERCENT * np.maximum(n, m))
 
 
-SIGNATURE = "id bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary, parity binary"
+SIGNATURE = "id bigint, hash bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary, parity binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(low, high - low),
+                    batch.column("hash").slice(low, high - low),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(signed(a)),
                     pa.array(signed(b)),
@@ -133,7 +135,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([row.tobytes() for row in sketches], pa.binary()),
                     pa.array([row.tobytes() for row in parity_bitmaps(sets)], pa.binary()),
                 ],
-                names=["id", "n", "print_a", "print_b", "bands", "sketch", "parity"],
+                names=["id", "hash", "n", "print_a", "print_b", "bands", "sketch", "parity"],
             )
 
 
@@ -141,7 +143,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in text_runs(batch):
             packed = [s.tobytes() for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, high - low), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
 
 def _words_matrix(column: pa.Array) -> np.ndarray:
@@ -170,15 +172,15 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(group: pa.Table) -> pa.RecordBatch:
     """Pairs of two blocks (or of one) of a bucket, in different components, that size, parity and sketch allow."""
-    rep, comp, n, block = (group.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
+    node, comp, n, block = (group.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
     sketch, parity = (_words_matrix(group.column(c).combine_chunks()) for c in ("sketch", "parity"))
     two = block[0] != block[-1]  # sorted by block
     found = [np.zeros((0, 2), np.int64)]
-    for i in range(1, len(rep)):
+    for i in range(1, len(node)):
         others = np.flatnonzero((comp[:i] != comp[i]) & ((block[:i] != block[i]) | (not two)))
         others = others[may_be_linked(n[others], n[i], parity[others], parity[i])]
         others = others[sketch_similarity(sketch[others], sketch[[i]]) >= SKETCH_FLOOR]
-        found.append(np.stack((np.minimum(rep[others], rep[i]), np.maximum(rep[others], rep[i])), axis=1))
+        found.append(np.stack((np.minimum(node[others], node[i]), np.maximum(node[others], node[i])), axis=1))
     pairs = np.concatenate(found)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -220,56 +222,93 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         before, turn = state, turn + 1
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``.
+def row_keys() -> list:
+    """What tells documents apart: doc_id, and a hash of the text for rows that share one or have none."""
+    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash")]
 
-    ``component_id`` is the smallest doc_id reachable over links, the document's own included; ``kept`` marks the document that has it.
-    Null and empty texts have 0 shingles and stand alone; repeated rows get equal results; other columns are not read.
+
+def label_documents(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text, ...)``: ``id, hash`` (``row_keys``), ``n_shingles``, ``component`` and ``first``.
+
+    ``component`` is the smallest id reachable over links, the row's own included; ``first`` marks the row of each component with the smallest
+    id and then hash, all of them if it is repeated. Rows without shingles stand alone and are first.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    texts = docs.select(*row_keys(), "text")
     signatures = stage.write(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
-    # Written down, it meets the documents by a plain join, whose hot keys (thousands of equal copies) Spark splits.
-    least = stage.write(signatures.filter("n > 0").groupBy("print_a", "print_b").agg(F.min("id").alias("rep")), "least")
+    # Written down, it meets the documents by a plain join, whose hot keys (thousands of equal copies) Spark splits; and its numbers stay.
+    prints = ["print_a", "print_b"]
+    rep = signatures.filter("n > 0").groupBy(*prints).agg(F.min(F.struct("id", "hash")).alias("rep"))
+    least = stage.write(rep.select(*prints, F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash"), F.monotonically_increasing_id().alias("node")), "least")
     classes = stage.write(
         signatures.filter("n > 0")
-        .join(least, ["print_a", "print_b"])
-        .filter("id = rep")
-        .select("rep", "n", "bands", "sketch", "parity"),
+        .join(least.withColumnsRenamed({"id": "rep_id", "hash": "rep_hash"}), prints)
+        .filter("id = rep_id and hash = rep_hash")
+        .select("node", "n", "bands", "sketch", "parity"),
         "classes",
     )
-    by_band = classes.select("rep", F.explode("bands").alias("band"))
-    shared = by_band.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).filter("members > 1")
+    by_band = classes.select("node", F.explode("bands").alias("band"))
+    shared = by_band.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     members = stage.write(by_band.join(shared.drop("members"), "band").distinct(), "members")
-    sketches = classes.select("rep", "n", "sketch", "parity").join(members.select("rep").distinct(), "rep", "left_semi")
-    sets = stage.write(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_full_sets, "rep bigint, shingles binary"), "sets")
+    compared = members.select("node").distinct()
+    # A row that is repeated is there as often; one of them goes on.
+    sketches = classes.select("node", "n", "sketch", "parity").join(compared, "node", "left_semi").dropDuplicates(["node"])
+    wanted = least.join(compared, "node", "left_semi").select("id", "hash", "node")
+    found = texts.join(wanted, ["id", "hash"]).select("node", "text").mapInArrow(_full_sets, "node bigint, shingles binary")
+    sets = stage.write(found.dropDuplicates(["node"]), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_by_sets, "a bigint, b bigint")
 
-    a, b = (sketches.select(*(F.col(c).alias(x if c == "rep" else f"{c}_{x}") for c in sketches.columns)) for x in "ab")
-    first = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    a, b = (sketches.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in sketches.columns)) for x in "ab")
+    first = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = stage.write(linked(first.join(a, "a").join(b, "b").mapInArrow(_by_sketch, "a bigint, b bigint")), "links")
     comps = components(links, stage, "first")
 
-    labels = members.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    labels = members.select("band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_buckets = labels.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).filter("least <> most")
     blocks = F.ceil(F.col("members") / BLOCK)
     dealt = (
         labels.join(open_buckets, "band")
-        .select("band", "rep", "comp", F.pmod(F.xxhash64("rep"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
-        .join(sketches, "rep")
-        .select("band", F.least("block", "other").cast("bigint").alias("low"), F.greatest("block", "other").cast("bigint").alias("high"), "block", "rep", "comp", "n", "sketch", "parity")
+        .select("band", "node", "comp", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
+        .join(sketches, "node")
+        .select("band", F.least("block", "other").cast("bigint").alias("low"), F.greatest("block", "other").cast("bigint").alias("high"), "block", "node", "comp", "n", "sketch", "parity")
     )
-    compared = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block").mapInArrow(_blocks_compared, "a bigint, b bigint")
-    more = stage.write(linked(compared), "more")
+    pairs = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block").mapInArrow(_blocks_compared, "a bigint, b bigint")
+    more = stage.write(linked(pairs), "more")
     if not more.isEmpty():
         comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), stage, "second")
 
-    classes_of = least.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("print_a", "print_b", F.coalesce("comp", "rep").alias("comp"))
-    rows = signatures.select("id", "n", "print_a", "print_b").join(stage.write(classes_of, "components"), ["print_a", "print_b"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("comp", "id"))
-    plain = lambda c: F.when(c != NO_ID, c)
-    return rows.select(plain(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    grouped = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    heads = grouped.groupBy("comp").agg(F.min(F.struct("id", "hash")).alias("head"))
+    classes_of = stage.write(grouped.join(heads, "comp").select(*prints, "head"), "components")
+    rows = signatures.select("id", "hash", "n", *prints).join(classes_of, prints, "left")
+    empty = F.col("n") == 0
+    return rows.select(
+        "id",
+        "hash",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("id")).otherwise(F.col("head.id")).alias("component"),
+        (empty | ((F.col("id") == F.col("head.id")) & (F.col("hash") == F.col("head.hash")))).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``.
+
+    ``component_id`` is the smallest doc_id reachable over links, the document's own included; ``kept`` marks the document that has it.
+    Null and empty texts have 0 shingles and stand alone; repeated rows get equal results; rows without doc_id, or of one doc_id, are documents
+    of their own, by their texts; other columns are not read.
+    """
+    plain = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return label_documents(docs).select(plain("id").alias("doc_id"), "n_shingles", plain("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first in their component, repeated rows once: every text that is linked with nothing stays."""
+    stays = label_documents(docs.select("doc_id", "text")).filter("first").select("id", "hash").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), *row_keys())
+    kept = keyed.join(stays, ["id", "hash"], "left_semi").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    return kept.dropDuplicates(["doc_id", "text"]).select("row.*")

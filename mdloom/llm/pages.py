@@ -9,7 +9,7 @@ The tables are counted on labelled pages: a bounded sample (``TRAINING_PAGES``,
 the article from the rest, and the text of those pages set into layouts whose parts are labelled, with and without telling tags.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Scripts, styles, other
-raw elements, comments and the head never are text. A null or empty page gives an empty text; unclosed or misplaced tags close as far as
+raw elements, comments and the head never are text; what stands in math, noscript, object or canvas is. A null or empty page gives an empty text; unclosed or misplaced tags close as far as
 the tags around them say; pages of any size are read whole. Other columns are carried along in a struct.
 """
 
@@ -38,7 +38,8 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>?""", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "select", "object", "canvas", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes"}  # run to the end of the page when unclosed
+SKIPPED = {"template", "svg", "select"}  # their content is no text of the page; an unclosed one hides nothing
 VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "area", "embed", "param", "source", "track", "wbr"}
 KINDS = {
     "article": "article", "main": "main", "section": "section", "div": "div", "center": "div", "p": "p", "blockquote": "p", "pre": "p", "figure": "figure", "figcaption": "figure",
@@ -84,7 +85,7 @@ class Trees:
         return len(self.parent) - 1
 
 
-def _hint(attrs: str) -> tuple[str, int | None]:
+def _hint(attrs: str, labelled: bool) -> tuple[str, int | None]:
     if not attrs or attrs.isspace():
         return "none", None
     words, gold = set(), None
@@ -92,7 +93,7 @@ def _hint(attrs: str) -> tuple[str, int | None]:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role", "aria-label"):
             words |= set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-        elif name == "data-gold":
+        elif labelled and name == "data-gold":
             gold = int(value)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE) or name == "aria-hidden" and value.lower() == "true":
             words.add("hidden")
@@ -108,12 +109,13 @@ def _text_signs(text: str, linked: int) -> tuple[str, ...]:
     return (f"size:{min(size.bit_length(), 9)}", f"link:{0 if share < 0.1 else 1 if share < 0.5 else 2}", f"stop:{int(text[-1] in '.!?:;…')}")
 
 
-def parse(trees: Trees, page: int, source: str) -> None:
-    """Add the tree of a page."""
+def parse(trees: Trees, page: int, source: str, labelled: bool = False) -> None:
+    """Add the tree of a page. Only ``labelled`` layouts, which are made here, may say what is content."""
     root = trees.add(page, -1, "body none", (), None, None)
     stack: list[tuple[str, int]] = [("", root)]
     parts: list[str] = []
     linked, link_from, at, size = 0, None, 0, len(source)
+    never: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -147,10 +149,15 @@ def parse(trees: Trees, page: int, source: str) -> None:
         if token["tag"] is None:
             continue
         tag, ends = token["tag"].lower(), bool(token["end"])
-        if tag in RAW:
+        if tag in RAW or tag in SKIPPED:
             if not ends and not token["attrs"].rstrip().endswith("/"):
-                stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(source, at)
-                at = stop.end() if stop else size
+                if at >= never.get(tag, size + 1):
+                    stop = None
+                else:
+                    stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(source, at)
+                if stop is None:
+                    never[tag] = at  # no end tag from here on: not looked for again
+                at = stop.end() if stop else size if tag in RAW else at
                 parts.append(" ")
         elif tag == "a":
             link_from = None if ends else len(stack)
@@ -176,7 +183,7 @@ def parse(trees: Trees, page: int, source: str) -> None:
                 close(len(stack) - 1)
             flush()
             if tag not in VOID:
-                hint, gold = _hint(token["attrs"])
+                hint, gold = _hint(token["attrs"], labelled)
                 kind = KINDS[tag]
                 if kind in ("header", "footer") and any(t in ("article", "main") for t, _ in stack):
                     kind += "-inside"  # of an article, not of the page
@@ -321,7 +328,7 @@ def learn_content(pages: list[str]) -> ContentModel:
         body = sorted(inside, key=len)[-rng.randint(1, 6) :] or [" ".join(rng.choices(FILLER, k=3)) + "." for _ in range(rng.randint(1, 6))]
         small = [t for t in inside if len(t) < 60] or FILLER
         for layout in labelled_layouts(small[0], body, small, rng):
-            parse(trees, count, layout)
+            parse(trees, count, layout, labelled=True)
             count += 1
     return _counted_tables(trees)
 

@@ -425,3 +425,62 @@ def test_stages(spark, docs, empty, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() <= docs.count()
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_rows_without_or_with_one_id_stay_apart(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    base, nine = text(), text()
+    copy = base.rsplit(" ", 2)[0] + " other words"
+    rows = [(5, base), (7, text()), (None, copy), (None, text()), (None, text()), (9, nine), (9, text()), (9, text()), (9, nine + " more"), (None, None), (10, ""), (10, ""), (7, base + " x")]
+    frame = spark.createDataFrame([(i, t, "extra", 1) for i, t in rows], "doc_id bigint, text string, id string, hash int").repartition(3)
+    kept = sorted(map(tuple, neardup.one_of_each(frame).select("doc_id", "text").collect()), key=repr)
+    assert neardup.one_of_each(frame).columns == frame.columns
+    gone = [(None, copy), (7, base + " x")]
+    nines = [k for k in kept if k[1] in (nine, nine + " more")]
+    assert len(nines) == 1  # one of the two that are linked
+    expected = sorted({r for r in rows if r not in gone and r not in [(9, nine), (9, nine + " more")]} | set(nines), key=repr)
+    assert kept == expected
+    found = neardup.near_duplicates(frame).collect()
+    assert len(found) == len(rows)
+    assert sorted((r.component_id, r.n_shingles) for r in found if r.doc_id is None and r.component_id is not None) == [(5, len(copy.split()) - 4)]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+
+
+def test_hot_rows_without_id(spark):
+    rows = [(None, PASSAGE)] * 300 + [(None, PASSAGE + " z")] * 300 + [(None, "a b c d e f")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert len(kept) == 2
+
+
+def test_hostile_pages():
+    model = pages.learn_content([])
+    good = "The first paragraph of the story, with a clause, and a stop."
+    article = f"<article data-gold='x'><p>{good}</p><p>So <math>E=mc2</math> it is, with <object>a fallback</object> and <canvas>more</canvas>.</p><noscript><p>Also here, in a sentence of its own.</p></noscript></article>"
+    wanted = f"{good}\nSo E=mc2 it is, with a fallback and more.\nAlso here, in a sentence of its own."
+    assert pages.main_texts(model, [article, article.replace("'x'", '"0"'), article.replace("'x'", "")]) == [wanted] * 3
+    for tag in ("object", "template", "svg", "select", "canvas", "math", "noscript"):
+        assert pages.main_texts(model, [f"<article><p>{good}</p><{tag}><p>{good}</p></article>"]) == [f"{good}\n{good}"], tag
+    assert pages.main_texts(model, [f"<article><p>{good}</p><svg><text>axis</text></svg><template><p>{good}</p></template><script>x"]) == [good]
+    assert pages.main_texts(model, ["<svg>" * 20_000 + good])  # linear
+
+
+@given(st.integers(0, 10**6), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_marginals_equal_enumeration(seed, size):
+    import itertools
+
+    rng = random.Random(seed)
+    model, trees = pages.learn_content([]), pages.Trees()
+    kinds = sorted(model.links)
+    for i in range(size):
+        trees.add(0, rng.randrange(i) if i else -1, rng.choice(kinds), (), "t" if rng.random() < 0.5 else None, None)
+        trees.signs[-1] = (rng.choice(sorted(model.signs)),)
+    own, link = model.unary(trees), model.pairwise(trees)
+    total, content = 0.0, np.zeros(size)
+    for labels in itertools.product((0, 1), repeat=size):
+        # a root is given a parent of either label, evenly
+        weight = np.exp(sum(own[i, x] + (link[i, labels[trees.parent[i]], x] if i else np.logaddexp(link[0, 0, x], link[0, 1, x]) + np.log(0.5)) for i, x in enumerate(labels)))
+        total += weight
+        content += weight * np.array(labels)
+    assert np.allclose(pages.content_marginals(model, trees), content / total, atol=1e-9)
