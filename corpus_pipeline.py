@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mdloom.llm.bpe import encode_and_decode_digests, prepare
 from mdloom.llm.common import Stage, table
 from mdloom.llm.decontaminate import find_leaks
-from mdloom.llm.neardup import near_duplicates
+from mdloom.llm.neardup import one_of_each
 from mdloom.llm.queries import TOKENIZER
 from mdloom.llm.substring import remove_repeats
 from mdloom.llm.toxicity import PREDICT_FROM, fit_toxicity, toxicity_score
@@ -30,10 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates stays, the one with the smallest doc_id; texts linked with nothing all stay."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
