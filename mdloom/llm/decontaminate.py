@@ -6,8 +6,8 @@ unchanged wherever the item occurs with e edits or fewer. Pieces are found by ha
 stretch of the document, and Myers' algorithm finds the least distance of the whole item to any part of it. Items under ERROR_EVERY words
 must occur exactly; items without words never match.
 
-Test items are held by every task, in blocks of at most ``BLOCK_BYTES`` of text (measured first): a larger set of items takes several
-passes over the rows in the same projection chain, never a larger broadcast, and no shuffle of documents.
+Test items are held by every task, in blocks of about ``BLOCK_BYTES`` of text (measured first). A larger set of items takes several passes, and
+the rows are written down between two of them, so that driver and tasks hold one block at a time; documents are never shuffled.
 
 Null and empty texts and items match nothing; repeated documents are judged alike; repeated items count once; items without id are kept
 under a null id. Other columns are carried along in a struct, so that no name can clash.
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import STEP, Words, mix64, text_runs, words_of
+from mdloom.llm.common import STEP, Stage, Words, mix64, text_runs, words_of
 
 ERROR_EVERY = 7
 BLOCK_BYTES = 8 << 20
@@ -37,7 +37,8 @@ SEPARATOR[[x for x in range(128) if not chr(x).isalnum()]] = True
 
 
 def item_words(text: str | None) -> np.ndarray:
-    data = np.frombuffer((text or "").lower().encode(), np.uint8)
+    folded = pc.utf8_lower(pa.scalar(text or "")).as_py()  # as the documents are
+    data = np.frombuffer(folded.encode(), np.uint8)
     return words_of(data, np.array([0, len(data)]), space=SEPARATOR).hash
 
 
@@ -167,9 +168,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
+    stage = Stage(docs.sparkSession, "decontaminate")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*rest).alias("row") if rest else F.lit(None).alias("row"), "text", F.array().cast(MATCHES).alias("matches"))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = rows.mapInArrow(_search(item_block([tuple(r) for r in part.collect()])), rows.schema)
+        if k < blocks - 1:
+            rows = stage.write(rows, f"block-{k}")
+            if k:
+                stage.drop(f"block-{k - 1}")
     return rows

@@ -398,8 +398,10 @@ def test_leaks_with_edits_and_in_blocks(spark, monkeypatch):
             kind = rng.randrange(3)
             changed[at : at + (kind > 0)] = [] if kind == 1 else ["new"]
         rows.append((i, "Some text, " + ", ".join(changed).upper() + "! And more."))
+    items.append((40, "ΟΔΟΣ ΝΕΟΣ ΦΙΛΟΣ İSTANBUL"))
+    rows.append((40, "before ΟΔΟΣ ΝΕΟΣ ΦΙΛΟΣ İSTANBUL after"))
     found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {r.doc_id: r.ids for r in found.selectExpr("row.doc_id", "matches.item_id as ids").collect()} == {i: [i] for i in range(40)}
+    assert {r.doc_id: r.ids for r in found.selectExpr("row.doc_id", "matches.item_id as ids").collect()} == {i: [i] for i in range(41)}
 
 
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=14))
