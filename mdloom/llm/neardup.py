@@ -239,8 +239,10 @@ def label_documents(docs: DataFrame) -> DataFrame:
     signatures = stage.write(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
     # Written down, it meets the documents by a plain join, whose hot keys (thousands of equal copies) Spark splits; and its numbers stay.
     prints = ["print_a", "print_b"]
-    rep = signatures.filter("n > 0").groupBy(*prints).agg(F.min(F.struct("id", "hash")).alias("rep"))
-    least = stage.write(rep.select(*prints, F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash"), F.monotonically_increasing_id().alias("node")), "least")
+    rep = signatures.filter("n > 0").groupBy(*prints).agg(F.min(F.struct("id", "hash")).alias("rep")).select(*prints, "rep.id", "rep.hash")
+    # Numbers rise with the id: the leader of a bucket is its smallest id, which the copies of a document share, and few buckets stay open.
+    ordered = rep.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
+    least = stage.write(ordered.withColumn("node", F.monotonically_increasing_id()), "least")
     classes = stage.write(
         signatures.filter("n > 0")
         .join(least.withColumnsRenamed({"id": "rep_id", "hash": "rep_hash"}), prints)
