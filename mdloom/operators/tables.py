@@ -26,8 +26,9 @@ def table_to_markdown(
     """Markdown tables of each group, rows in order: ``part_no`` from 0 on, each part a table within ``max_bytes``.
 
     The rows of a group are first cut into ranges of the whole order (one shuffle by range, which splits hot groups), a running sum of
-    bytes inside each range and over the few ranges of a group numbers the parts, and only the rows of one part are gathered. A row that
-    is too long for any part is a part of its own. Nothing is left out.
+    bytes inside each range and over the few ranges of a group numbers the parts, and only the rows of one part are gathered. A part takes
+    the rows that start in one half of ``max_bytes`` of the running sum. A row longer than that half is a part of its own; any other row reaches
+    at most that far into the next half, so no part is over the limit but a single row that alone is. Nothing is left out.
     """
     header = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns)
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(c) for c in columns]), F.lit(" |"))
@@ -42,9 +43,10 @@ def table_to_markdown(
     starts = sizes.select(*group_by, "_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*group_by, "_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_own", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, [*group_by, "_range"])
-    parts = placed.withColumn("_part", F.floor((F.col("_start") + F.col("_own")) / F.lit(max(1, room))))
+    half = max(1, room // 2)
+    parts = placed.withColumns({"_part": F.floor((F.col("_start") + F.col("_own")) / F.lit(half)), "_long": F.col("_size") > half})
     ordered = F.sort_array(F.collect_list(F.struct("_order", "_line")))
     text = F.concat(F.lit(header + "\n"), F.array_join(F.transform(ordered, lambda row: row["_line"]), "\n"))
-    tables = parts.groupBy(*group_by, "_part").agg(text.alias("markdown"))
-    number = F.row_number().over(Window.partitionBy(*group_by).orderBy("_part")) - 1  # a long row may have stepped over a number
+    tables = parts.groupBy(*group_by, "_part", "_long").agg(text.alias("markdown"))
+    number = F.row_number().over(Window.partitionBy(*group_by).orderBy("_part", "_long")) - 1  # a long row may have stepped over a number
     return tables.select(*group_by, number.cast("bigint").alias("part_no"), "markdown")

@@ -219,6 +219,7 @@ def test_tables_in_parts_lose_no_row(spark):
     for group in (True, False):
         own = sorted((r["part_no"], r["markdown"]) for r in parts if r["g"] == group)
         assert [n for n, _ in own] == list(range(len(own))) and len(own) > 5
+        assert all(len(text.encode()) <= 500 or text.count("\n") == 2 for _, text in own)
         ids = [int(line.split(" | ")[0][2:]) for _, text in own for line in text.split("\n")[2:]]
         assert ids == [i for i in range(3000) if (i % 7 == 0) == group]
 
