@@ -99,7 +99,7 @@ def link_spans(tokens: Column) -> Column:
             F.when(token.isin("\\", "!"), token).otherwise("").alias("before"),
             F.when(opens_label, s["at"] - F.when(s["before"] == "!", 1).otherwise(0)).otherwise(s["first"]).alias("first"),
             F.when(ends & (mode == TARGET), F.concat(s["links"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("last"))))).otherwise(s["links"]).alias("links"),
-        ).cast(_SCAN)
+        )  # of the type of the start: a cast would copy the links at every token
 
     start = F.struct(
         F.lit(0).alias("at"), F.lit(PLAIN).alias("mode"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit("").alias("before"),
