@@ -2,7 +2,8 @@
 
 Only listing an archive needs Python (the standard ``zipfile``); it runs per file inside tasks and emits
 one row per member. Every rule works on that member table with map-side aggregation, so an archive
-with very many members never gathers in one task.
+with very many members never gathers in one task. Archives whose bytes are in rows are read here,
+those that a path names in ``archive_ranges``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,7 +44,7 @@ def _is_zip(member) -> bool:
     return True
 
 
-def _peek(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, bool, bool]:
+def peek(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, bool, bool]:
     """First bytes, "is itself a ZIP", and "cannot be read" (encrypted, damaged, unknown method)."""
     try:
         with archive.open(entry) as member:
@@ -64,7 +67,7 @@ def _member_rows(path: str, content: bytes, most: int | None = None) -> list[tup
         read = most is None or len(entries) <= most
         rows = []
         for number, entry in enumerate(entries):
-            peeked = _peek(archive, entry) if read and not entry.is_dir() else (None, False, False)
+            peeked = peek(archive, entry) if read and not entry.is_dir() else (None, False, False)
             rows.append(
                 (path, True, number, entry.filename, entry.is_dir(), entry.file_size, entry.compress_size, *peeked)
             )
@@ -228,8 +231,19 @@ def expand_bundle(files: DataFrame) -> DataFrame:
                             row = (path, number, entry.filename, content_of(archive, entry) if known else None, None if known else "no_converter")
                             yield pd.DataFrame([row], columns=["path", "entry_no", "entry_name", "content", "reason"])
 
-    members = files.select("path", "content").mapInPandas(parts, PARTS_SCHEMA)
-    return members.withColumn("name", F.concat("path", F.lit("!"), "entry_name")).withColumn(
+    return named_parts(files.select("path", "content").mapInPandas(parts, PARTS_SCHEMA))
+
+
+def has_converter(entry_name: Column) -> Column:
+    """Members of these names become part of their bundle's text."""
+    suffixes = fixed.FORMAT_SUFFIXES["text"] + fixed.FORMAT_SUFFIXES["html"] + fixed.FORMAT_SUFFIXES["csv"]
+    lower = F.lower(entry_name)
+    return reduce(or_, [lower.endswith(suffix) for suffix in suffixes])
+
+
+def named_parts(parts: DataFrame) -> DataFrame:
+    """+name, +suffix of members."""
+    return parts.withColumn("name", F.concat("path", F.lit("!"), "entry_name")).withColumn(
         "suffix", a.suffix_of(a.base_name(F.col("entry_name")))
     )
 

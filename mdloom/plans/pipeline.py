@@ -7,6 +7,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from mdloom.functions import text as tx
 from mdloom.functions.csv_text import csv_to_markdown
 from mdloom.functions.html import html_to_markdown
 from mdloom.functions.lint import RULES, Rule, rules_for
-from mdloom.operators import admission, archive, intake, publish
+from mdloom.operators import admission, archive, archive_ranges, intake, publish
 from mdloom.operators.once import computed_once
 from mdloom.operators.repair import repair_until_clean
 from mdloom.sources import files as fs
@@ -25,6 +26,7 @@ from mdloom.sources import versions
 from mdloom.sources.staging import staging_folder
 from mdloom.streaming.intake import distinct_paths, stream_new_files
 
+FILE_COLUMNS = ["path", "name", "title", "markdown", "reason", "length", "modificationTime", "refused_members"]
 MEMBERS = "array<struct<entry_no bigint, entry_name string, reason string>>"
 
 
@@ -76,41 +78,42 @@ def _gate(files: DataFrame, root: str, settings: Settings) -> DataFrame:
 
 
 def _judged(files: DataFrame, root: str, settings: Settings) -> DataFrame:
-    """Gate and archive audit in the file's own row.
+    """Gate and archive audit in the file's own row; ``closed``: an archive without its bytes, to be audited by range.
 
     Every ZIP ends with a directory record, so only files that hold its mark, or have a ZIP name,
     are handed to Python.
     """
     mark = F.contains(F.col("content"), F.unhex(F.lit("504B0506")))
-    candidate = F.col("reason").isNull() & (archive.is_zip_suffix(F.col("suffix")) | mark)
-    verdicts = _gate(files, root, settings).withColumn("candidate", candidate)
+    zip_name, closed = archive.is_zip_suffix(F.col("suffix")), F.col("closed")
+    candidate = F.col("reason").isNull() & ~closed & (zip_name | mark)
+    verdicts = _gate(files, root, settings).withColumn("closed", F.col("reason").isNull() & zip_name & F.col("content").isNull())
+    verdicts = verdicts.withColumn("candidate", candidate)
     inspected = verdicts.withColumn("archive", archive.inspect_archive(F.when(F.col("candidate"), F.col("content"))))
     wrong_type = archive.archive_type_mismatch(
-        inspected.withColumnRenamed("reason", "refused").withColumn("is_zip_file", F.col("archive.is_zip_file"))
+        inspected.withColumnRenamed("reason", "refused").withColumn("is_zip_file", F.when(closed, True).otherwise(F.col("archive.is_zip_file")))
     )
     audit = F.when(F.col("candidate"), F.coalesce(F.col("reason"), archive.inspected_reason(F.col("archive"))))
-    no_converter = F.when(F.col("format") == "no_converter", "no_converter")
+    no_converter = F.when(~closed & (F.col("format") == "no_converter"), "no_converter")
     return wrong_type.withColumn("reason", F.coalesce("refused", audit, no_converter)).drop("refused", "archive", "is_zip_file")
 
 
 def _intake(files: DataFrame, root: str, settings: Settings) -> DataFrame:
-    """Every file judged and, unless it is a bundle, converted; bundles keep their bytes."""
+    """Every file judged and, unless it is an archive, converted; bundles keep the bytes they came with."""
     judged = _judged(files, root, settings)
-    admitted, bundle = F.col("reason").isNull(), F.col("format") == "bundle"
+    admitted, bundle, closed = F.col("reason").isNull(), (F.col("format") == "bundle") | F.col("closed"), F.col("closed")
     read = judged.withColumn("body", F.when(admitted & ~bundle, tx.decode_text(F.col("content"))))
     undecodable = F.when(admitted & ~bundle & F.col("body").isNull(), "undecodable_text")
     refused = read.withColumn("refused", F.coalesce("reason", undecodable))
     converted = convert_documents(refused.drop("reason")).withColumn("reason", F.coalesce("refused", "reason"))
-    kind = F.when(admitted & bundle, "bundle").otherwise("single")
+    kind = F.when(closed, "closed").when(admitted & bundle, "bundle").otherwise("single")
     return converted.select(
-        "path", "name", F.col("stem").alias("title"), "markdown", "reason", "length", "modificationTime",
+        "path", "name", F.col("stem").alias("title"), "format", "markdown", "reason", "length", "modificationTime",
         F.when(admitted & bundle, F.col("content")).alias("content"), kind.alias("kind"),
     )
 
 
-def _bundles(bundles: DataFrame) -> DataFrame:
+def _bundles(bundles: DataFrame, parts: DataFrame) -> DataFrame:
     """Members become documents of their own, are converted, and are joined again per bundle; members without converter are listed."""
-    parts = archive.expand_bundle(bundles)
     members = admission.route_format(parts.filter("reason is null").drop("reason"))
     texts = archive.join_bundle(convert_documents(members.withColumn("body", tx.decode_text(F.col("content")))))
     entry = F.struct("entry_no", "entry_name", "reason")
@@ -121,25 +124,63 @@ def _bundles(bundles: DataFrame) -> DataFrame:
     reason = F.when(F.col("markdown").isNull(), "unreadable_member").when(
         ~tx.converted_size_guard(F.col("markdown")), "converted_too_large"
     )
-    return joined.withColumn("markdown", markdown).withColumn("reason", reason)
+    return joined.withColumn("markdown", markdown).withColumn("reason", reason).select(*FILE_COLUMNS)
+
+
+def _closed_archives(closed: DataFrame) -> DataFrame:
+    """Archives known by path: judged by their directories and first bytes of members, joined from the members that are converted.
+
+    Each step is a table of members, so the work on one archive is dealt out by groups of them. An archive that is gone before its last member
+    is read is left out; of one that has changed, length or time are no longer those it was admitted with.
+    """
+    listed = _staged(archive_ranges.list_members(closed), "directories")
+    few = listed.groupBy("path").agg(F.count("entry_no").alias("n")).filter(F.col("n") <= fixed.MAX_ARCHIVE_ENTRIES)
+    opened = listed.filter("not is_dir").join(few, "path", "left_semi")  # one with too many entries is refused by count alone
+    peeked = _staged(archive_ranges.peek_members(opened), "peeked")
+    members = listed.join(peeked.select("path", "entry_no", "head", "is_zip", "unreadable"), ["path", "entry_no"], "left")
+    verdicts = archive.archive_verdict(members).withColumnRenamed("reason", "verdict")
+    zips = listed.groupBy("path").agg(F.bool_or("is_zip_file").alias("is_zip_file"))
+    reason = F.coalesce(F.when(~F.col("is_zip_file"), "damaged_archive"), "verdict", F.when(F.col("format") == "no_converter", "no_converter"))
+    refused_members = F.lit(None).cast(MEMBERS).alias("refused_members")
+    judged = closed.join(zips, "path").join(verdicts, "path").withColumn("reason", reason)
+    judged = _staged(judged.select(*FILE_COLUMNS[:-1], refused_members), "audited")
+
+    admitted = judged.filter("reason is null")
+    parts = listed.filter("not is_dir").join(admitted, "path", "left_semi")
+    known = archive.has_converter(F.col("entry_name"))
+    read = _staged(archive_ranges.read_members(parts.filter(known)), "members")
+    columns = ["path", "entry_no", "entry_name", "content"]
+    rest = parts.filter(~known).withColumn("content", F.lit(None).cast("binary")).select(*columns, F.lit("no_converter").alias("reason"))
+    contents = read.select(*columns, F.lit(None).cast("string").alias("reason")).unionByName(rest)
+    rows = judged.filter("reason is not null").unionByName(_bundles(admitted, archive.named_parts(contents)))
+
+    times = F.struct("length", "modificationTime")
+    looks = reduce(DataFrame.union, [t.select("path", times.alias("seen")) for t in (listed, peeked, read)])
+    gone = F.bool_or(F.col("seen.length").isNull()).alias("gone")
+    seen = looks.groupBy("path").agg(F.min("seen").alias("low"), F.max("seen").alias("high"), gone)
+    last = F.when(F.col("low") != times, F.col("low")).otherwise(F.col("high"))
+    found = rows.join(seen.filter("not gone"), "path").withColumn("seen", last)
+    return found.withColumns({"length": F.col("seen.length"), "modificationTime": F.col("seen.modificationTime")}).select(*FILE_COLUMNS)
 
 
 def process_files(files: DataFrame, root: str, settings: Settings = Settings(), stage: str | None = None) -> DataFrame:
     """A file listing with content to outcomes, one row per file that is not hidden.
 
-    The files are read once: judged and converted rows are staged, bundles apart with their bytes. ``refused_members`` lists the members of a
-    bundle that have no converter, with the reason.
+    The files are read once: judged and converted rows are staged, archives apart. Archives that came with their bytes are opened in their rows,
+    those that ``read_files`` leaves closed by ranges of members. ``refused_members`` lists the members of a bundle that have no converter,
+    with the reason.
     """
     spark = files.sparkSession
     stage = stage or staging_folder(spark, "files")
     taken = _intake(files, root, settings)
     taken.write.mode("errorifexists").partitionBy("kind").parquet(f"{stage}/intake")
     staged = spark.read.schema(taken.schema).parquet(f"{stage}/intake")
-    columns = ["path", "name", "title", "markdown", "reason", "length", "modificationTime", "refused_members"]
-    docs = staged.filter("kind = 'single'").withColumn("refused_members", F.lit(None).cast(MEMBERS)).select(*columns)
-    bundles = staged.filter("kind = 'bundle'")
+    docs = staged.filter("kind = 'single'").withColumn("refused_members", F.lit(None).cast(MEMBERS)).select(*FILE_COLUMNS)
+    bundles, closed = staged.filter("kind = 'bundle'"), staged.filter("kind = 'closed'")
     if not bundles.isEmpty():
-        docs = docs.unionByName(_bundles(bundles).select(*columns))
+        docs = docs.unionByName(_bundles(bundles, archive.expand_bundle(bundles)))
+    if not closed.isEmpty():
+        docs = docs.unionByName(_closed_archives(closed))
     return process_markdown(docs, settings, stage)
 
 

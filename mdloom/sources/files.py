@@ -10,7 +10,7 @@ from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdloom.functions.fixed import MAX_INPUT_BYTES, MAX_MARKDOWN_BYTES
+from mdloom.functions.fixed import MAX_INPUT_BYTES, MAX_MARKDOWN_BYTES, ZIP_SUFFIXES
 from mdloom.functions.text import rstrip, within_output_limit
 from mdloom.sources import versions
 
@@ -32,7 +32,7 @@ def root_of(folder: str) -> str:
     return folder.rstrip("/") if "://" in folder else "file:" + os.path.abspath(folder)
 
 
-def _store(path: str) -> tuple[stores.FileSystem, str]:
+def store_of(path: str) -> tuple[stores.FileSystem, str]:
     """The store that holds a path, and the path there. Names are taken as they are, never as patterns or escapes."""
     if path.startswith("file:"):
         return stores.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
@@ -42,16 +42,16 @@ def _store(path: str) -> tuple[stores.FileSystem, str]:
     return store, f"{top.rstrip('/')}/{name}"
 
 
-def _row(path: str, info: stores.FileInfo) -> dict:
+def listing_row(path: str, info: stores.FileInfo) -> dict:
     return {"path": path, "modificationTime": (info.mtime_ns or 0) // 1_000_000 * 1000, "length": info.size}  # milliseconds, as Hadoop has them
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch.column("folder").to_pylist():
-            store, top = _store(folder)
+            store, top = store_of(folder)
             files = [i for i in store.get_file_info(stores.FileSelector(top)) if i.type == stores.FileType.File]
-            yield pa.RecordBatch.from_pylist([_row(f"{folder}/{i.base_name}", i) for i in files], schema=_LISTING)
+            yield pa.RecordBatch.from_pylist([listing_row(f"{folder}/{i.base_name}", i) for i in files], schema=_LISTING)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,17 +65,17 @@ def _opened(max_bytes: int):
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 try:
-                    store, name = _store(path)
+                    store, name = store_of(path)
                     info = store.get_file_info(name)
                     with store.open_input_stream(name) as file:
                         head = file.read(HEAD_BYTES)
-                        content = head + file.read() if info.size <= max_bytes else None
+                        content = head + file.read() if info.size <= max_bytes and not path.lower().endswith(ZIP_SUFFIXES) else None
                     after = store.get_file_info(name)
                 except OSError:
                     continue
                 if content is not None and len(content) != after.size:
                     content = None  # it grew or shrank meanwhile; its time and length say so
-                rows.append(_row(path, after) | {"content": content, "head": head})
+                rows.append(listing_row(path, after) | {"content": content, "head": head})
                 held += len(content or b"")
                 if held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=_READ)
@@ -87,7 +87,8 @@ def _opened(max_bytes: int):
 
 
 def read_files(listing: DataFrame, max_bytes: int = MAX_INPUT_BYTES) -> DataFrame:
-    """The files of a listing: time and length as they are when read, ``head`` (first 16 bytes) and ``content`` (null over ``max_bytes``).
+    """The files of a listing: time and length as they are when read, ``head`` (first 16 bytes) and ``content`` (null over
+    ``max_bytes``, and of ZIP archives, which stay closed: their members are read by range).
 
     Each path is opened by the task that has it, so a file is read exactly when the listing names it, whatever else is in its folder. Files
     that are gone or cannot be read are left out.
