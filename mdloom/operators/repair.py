@@ -144,7 +144,7 @@ def repair_until_clean(
     max_bytes: int = MAX_MARKDOWN_BYTES,
     stage: str | None = None,
 ) -> DataFrame:
-    """``markdown`` repaired; +is_clean, +attempts, +diagnostics.
+    """``markdown`` repaired; +is_clean, +attempts, +runs, +diagnostics.
 
     Each attempt fixes, prepares and scans the documents that are not clean yet. An attempt is one
     narrow job from table to table: its result is written split into settled and open documents, the
@@ -152,7 +152,8 @@ def repair_until_clean(
     union of the settled parts, so whatever is done with it later never repairs a document again.
 
     A document that an attempt no longer changes is charged the remaining attempts at once: they
-    would all give the same text and the same findings. Blank input is clean without an attempt.
+    would all give the same text and the same findings. ``attempts`` is what is charged, ``runs`` how
+    often the document was really repaired. Blank input is clean without an attempt.
     """
     if max_attempts < 1 or width < 1:
         raise ValueError("max_attempts and width must be positive")
@@ -170,7 +171,7 @@ def repair_until_clean(
         if state.isEmpty():
             break
     result = reduce(DataFrame.unionByName, settled)
-    columns = [*[c for c in docs.columns if c != "markdown"], "markdown", "attempts", "diagnostics"]
+    columns = [*[c for c in docs.columns if c != "markdown"], "markdown", "attempts", "runs", "diagnostics"]
     return result.select(*columns, (F.size("diagnostics") == 0).alias("is_clean"))
 
 
@@ -180,7 +181,7 @@ def _first_state(docs: DataFrame, width: int) -> DataFrame:
     state = docs.withColumn("open", F.coalesce(~tx.is_blank(markdown), F.lit(False)))
     state = state.withColumn("markdown", F.when(F.col("open"), markdown))
     state = run_steps(state, prepare_steps(width), drop=PREPARE_COLUMNS)
-    return state.withColumns({"attempts": F.lit(0), "diagnostics": F.array().cast(DIAGNOSTICS_TYPE)})
+    return state.withColumns({"attempts": F.lit(0), "runs": F.lit(0), "diagnostics": F.array().cast(DIAGNOSTICS_TYPE)})
 
 
 def _attempt(
@@ -210,6 +211,7 @@ def _attempt(
             "attempts": F.when(~is_open, F.col("attempts"))
             .when(same | ~fits, F.lit(max_attempts))
             .otherwise(F.lit(number)),
+            "runs": F.when(~is_open, F.col("runs")).otherwise(F.lit(number)),
         }
     )
     still_open = is_open & (F.size(diagnostics) > 0) & (F.col("attempts") < max_attempts)

@@ -47,6 +47,20 @@ MANIFEST_COLUMNS = {
     "is_zip": "doc_id % 229 = 11",
     "unreadable": "doc_id % 227 = 13",
 }
+# Order lines as members: a third of all lines (the returned ones) in seven archives, the others by supplier.
+LINE_MEMBER_COLUMNS = {
+    "path": "case when l_returnflag = 'R' then concat('returned', l_linenumber, '.zip') else concat('lines', l_suppkey, '.zip') end",
+    "entry_no": "l_orderkey * 8 + l_linenumber",
+    "entry_name": "concat('d/', l_orderkey, case when l_suppkey % 10 = 3 and l_returnflag <> 'R' then '.docx' else '.txt' end)",
+    "is_dir": "l_linenumber = 7",
+    "file_size": "cast(floor(l_quantity) as bigint) * case when l_suppkey % 10 = 5 then 100000 else 1000 end",
+    "compress_size": "case when l_suppkey % 10 = 7 then 1 else cast(floor(l_quantity) as bigint) * case when l_suppkey % 10 = 5 then 50000 else 500 end end",
+    "is_zip": "false",
+    "unreadable": "false",
+}
+LINE_HEAD = "concat('order ', l_orderkey)"
+PAGE_IDS = 1_000_000_000_000  # pages beside documents: their ids start here
+
 # First bytes of a member: its own text, behind a media mark for some.
 MEDIA_MARK_HEX = "case when doc_id % 233 = 3 then '494433' else '' end"
 
@@ -87,16 +101,32 @@ def manifest(documents: DataFrame) -> DataFrame:
     return documents.select(*_projected(documents, MANIFEST_COLUMNS), F.substring(marked, 1, 16).alias("head"))
 
 
+def line_manifest(lineitem: DataFrame) -> DataFrame:
+    """A listing of archive members, one per order line."""
+    head = F.substring(F.encode(F.expr(LINE_HEAD), "UTF-8"), 1, 16)
+    return lineitem.select(*_projected(lineitem, LINE_MEMBER_COLUMNS), head.alias("head"))
+
+
 def files(documents: DataFrame) -> DataFrame:
     """A file listing in the shape of the binaryFile source."""
+    return documents.select(*_file_columns())
+
+
+def _file_columns() -> list:
     content = F.concat(F.unhex(F.expr(SIGNATURE_HEX)), F.encode("text", "UTF-8"))
     modified = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)
-    return documents.select(
+    return [
         F.expr(FILE_COLUMNS["path"]).alias("path"),
         modified.alias("modificationTime"),
         F.expr(FILE_COLUMNS["length"]).alias("length"),
         content.alias("content"),
-    )
+    ]
+
+
+def seeded_files(documents: DataFrame) -> DataFrame:
+    """The file listing beside doc_id, title and the Markdown of the defect corpus."""
+    title = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    return documents.select("doc_id", title.alias("title"), F.expr(SEEDED_MARKDOWN).alias("markdown"), *_file_columns())
 
 
 EVENT_KIND = """case event_type when 'error' then 'os_error' when 'click' then 'changed' when 'signup' then 'event'

@@ -15,7 +15,7 @@ from mdloom.operators import admission, archive, intake, lines, publish, tables
 from mdloom.operators import lint as lint_ops
 from mdloom.operators import repair as repair_ops
 from mdloom.plans import corpus
-from mdloom.plans.pipeline import process_documents
+from mdloom.plans.pipeline import convert_documents, process_documents, process_markdown
 from mdloom.sources import tables as st
 from mdloom.sources.spread import spread
 
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "file:/corpus/in"
 NOW = datetime(2024, 1, 30, tzinfo=timezone.utc)
 BURST_GAP_SECONDS = 6 * 3600
+ORDER_TABLE_BYTES, CSV_BYTES = 64 * 1024, 8 * 1024  # so that groups take several parts
 REPORT_REPEATS = 60  # findings so long that reports reach the limit
 
 
@@ -51,6 +52,11 @@ def _files(spark, folder):
     return admission.file_parts(corpus.files(_documents(spark, folder)))
 
 
+def _members(spark, folder):
+    """Bundles of documents, and of order lines: among these every limit is broken, and one archive of seven holds a third of all lines."""
+    return corpus.manifest(_documents(spark, folder)).unionByName(corpus.line_manifest(_table(spark, folder, "lineitem")))
+
+
 def _body_pass(change: Callable[[Column], Column]) -> Query:
     return lambda spark, folder: _bodies(spark, folder).select("doc_id", change(F.col("body")).alias("markdown"))
 
@@ -113,19 +119,18 @@ def table_to_markdown(spark, folder):
 
 def orders_to_markdown(spark, folder):
     return tables.table_to_markdown(
-        _table(spark, folder, "orders"), ["o_orderpriority"], ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus"]
+        _table(spark, folder, "orders"), ["o_orderpriority"], ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus"], ORDER_TABLE_BYTES
     )
 
 
 def csv_to_markdown(spark, folder):
-    """Orders as CSV with records of three to six fields, one text per priority and month, under a header of four."""
+    """Orders as CSV with records of three to six fields, under a header of four: texts of bounded size, as many as a month's orders take."""
     quoted = F.concat(F.lit('"'), F.replace("o_orderpriority", F.lit("-"), F.lit('""|')), F.lit('"'))
     fields = F.array(F.col("o_orderkey").cast("string"), quoted, F.col("o_orderstatus"), F.lit("x"), F.lit("a,b"), F.lit(""))
     record = F.array_join(F.transform(F.slice(fields, F.lit(1), (3 + F.col("o_orderkey") % 4).cast("int")), lambda f: F.when(f == "a,b", F.lit('"a,b"')).otherwise(f)), ",")
-    rows = _table(spark, folder, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", record.alias("record"))
-    texts = rows.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "record"))).alias("r"))
-    text = F.concat(F.lit("a,b,c,d\r\n"), F.array_join(F.transform("r", lambda x: x["record"]), "\n"))
-    return texts.select("month", csv_text.csv_to_markdown(text).alias("markdown"))
+    month, order = F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.struct("o_orderkey").alias("_order")
+    texts = tables.packed_lines(_table(spark, folder, "orders").select(month, order, record.alias("_line")), ["month"], CSV_BYTES)
+    return texts.select("month", "part_no", csv_text.csv_to_markdown(F.concat(F.lit("a,b,c,d\r\n"), "text")).alias("markdown"))
 
 
 def assemble_lines(spark, folder):
@@ -160,7 +165,7 @@ def merge_latest_valid(spark, folder):
 
 def repair_until_clean(spark, folder):
     done = repair_ops.repair_until_clean(_defects(spark, folder))
-    return done.select("doc_id", "markdown", "attempts", "is_clean")
+    return done.select("doc_id", "markdown", "attempts", "runs", "is_clean")
 
 
 def prepare_documents(spark, folder):
@@ -173,6 +178,18 @@ def process_pages(spark, folder):
     return done.select("doc_id", "name", "markdown", "attempts", "outcome", F.size("diagnostics").alias("findings"))
 
 
+def process_corpus(spark, folder):
+    """Pages, and documents behind the gate, some of them unreadable: every outcome arises in one run."""
+    pages = convert_documents(st.docs_from_pages(_pages(spark, folder))).withColumn("doc_id", F.col("doc_id") + corpus.PAGE_IDS)
+    judged = admission.admission_verdict(admission.file_parts(corpus.seeded_files(_documents(spark, folder))), ROOT)
+    lost = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    read = judged.withColumns({"io_error": lost, "io_attempts": (1 + F.col("doc_id") % 7).cast("int"), "markdown": F.when(~lost, F.col("markdown"))})
+    columns = ["doc_id", "name", "title", "markdown", "reason", "io_error", "io_attempts"]
+    pages = pages.withColumns({"io_error": F.lit(False), "io_attempts": F.lit(1)})
+    done = process_markdown(pages.select(*columns).unionByName(read.select(*columns)))
+    return done.select("doc_id", "name", "markdown", "attempts", "runs", "outcome", F.size("diagnostics").alias("findings"))
+
+
 def route_outcome(spark, folder):
     """Verdicts of the gate joined by position with scan results: every outcome occurs."""
     files = admission.admission_verdict(_files(spark, folder), ROOT)
@@ -224,9 +241,9 @@ QUERIES: dict[str, Query] = {
     "admission_verdict": admission_verdict,
     "reject_report": reject_report,
     # archives
-    "member_verdict": lambda s, d: archive.member_verdict(corpus.manifest(_documents(s, d))),
-    "archive_totals": lambda s, d: archive.archive_totals(corpus.manifest(_documents(s, d))),
-    "archive_verdict": lambda s, d: archive.archive_verdict(corpus.manifest(_documents(s, d))),
+    "member_verdict": lambda s, d: archive.member_verdict(_members(s, d)),
+    "archive_totals": lambda s, d: archive.archive_totals(_members(s, d)),
+    "archive_verdict": lambda s, d: archive.archive_verdict(_members(s, d)),
     # conversion
     "html_to_markdown": lambda s, d: _pages(s, d).select("page_id", html.html_to_markdown(F.col("html")).alias("markdown")),
     "html_title": lambda s, d: _pages(s, d).select("page_id", html.html_title(F.col("html"), F.col("url")).alias("title")),
@@ -286,4 +303,5 @@ QUERIES: dict[str, Query] = {
     "due_jobs": due_jobs,
     # pipeline
     "process_pages": process_pages,
+    "process_corpus": process_corpus,
 }

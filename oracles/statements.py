@@ -52,7 +52,9 @@ def _families() -> str:
 
 
 _MEMBER = ", ".join(f"{sql} as {name}" for name, sql in c.MANIFEST_COLUMNS.items())
-_MEMBERS = f"select {_MEMBER}, substr({c.MEDIA_MARK_HEX} || hex(text), 1, 32) as head from documents"
+_LINE_MEMBER = ", ".join(f"{sql} as {name}" for name, sql in c.LINE_MEMBER_COLUMNS.items())
+_MEMBERS = f"""select {_MEMBER}, substr({c.MEDIA_MARK_HEX} || hex(text), 1, 32) as head from documents
+  union all select {_LINE_MEMBER}, substr(hex({c.LINE_HEAD}), 1, 32) from lineitem"""
 _MEMBER_PARTS = """select *, regexp_extract(entry_name, '([^/]+)$', 1) as name,
   lower(regexp_extract(regexp_extract(entry_name, '([^/]+)$', 1), '^.+(\\.[^.]+)$', 1)) as suffix from members"""
 _MEMBER_REASON = f"""case when is_dir then null when suffix in {_in(fixed.ZIP_SUFFIXES)} then 'nested_archive'
@@ -112,19 +114,33 @@ PAGES: o.Ctes = [("docs", f"select page_id as doc_id, concat('page', page_id, '.
 
 
 # --- the repair loop ---------------------------------------------------------------------------------------
-def repaired(src: str = "docs", max_attempts: int = 5, rounds: int = 3) -> o.Ctes:
-    """``done``: doc_id, md, attempts, is_clean. Rounds beyond the last one change nothing more."""
+def repaired(src: str = "docs", max_attempts: int = 5) -> o.Ctes:
+    """``done``: doc_id, md, attempts, runs, is_clean, findings. Every attempt is run for every document that is not clean."""
     ctes: o.Ctes = [("open0", f"select * from {src} where not ({o.blank('md')})")] + o.prepare("p0", "open0", src)
     state = "p0"
-    parts = [f"select doc_id, '' as md, 0 as attempts, true as is_clean from {src} where {o.blank('md')}"]
-    for k in range(1, rounds + 1):
+    parts = [f"select doc_id, '' as md, 0 as attempts, 0 as runs, true as is_clean, 0 as findings from {src} where {o.blank('md')}"]
+    still = []  # from which attempt on a text stays as it is
+    for k in range(1, max_attempts + 1):
         ctes += o.fix(f"x{k}", state) + o.prepare(f"p{k}", f"x{k}", src) + o.scan(f"s{k}", f"p{k}")
         ctes.append((f"q{k}", f"select * from p{k} where doc_id in (select doc_id from s{k})"))
-        parts.append(f"select doc_id, md, {k}, true from p{k} where doc_id not in (select doc_id from s{k})")
+        parts.append(f"select doc_id, md, {k}, {k}, true, 0 from p{k} where doc_id not in (select doc_id from s{k})")
+        if k > 1:
+            still.append(f"select p.doc_id, {k} as k from p{k} p join {state} b on b.doc_id = p.doc_id and b.md = p.md")
         state = f"q{k}"
-    parts.append(f"select doc_id, md, {max_attempts}, false from {state}")
+    ctes.append(("still", f"select doc_id, min(k) as k from ({' union all '.join(still)}) group by doc_id"))
+    ctes.append(("counts", f"select doc_id, cast(count(*) as integer) as n from s{max_attempts} group by doc_id"))
+    parts.append(
+        f"""select q.doc_id, q.md, {max_attempts}, coalesce(t.k, {max_attempts}), false, c.n
+        from {state} q join counts c on c.doc_id = q.doc_id left join still t on t.doc_id = q.doc_id"""
+    )
     return ctes + [("done", "\nunion all\n".join(parts))]
 
+_MIXED = f"""
+select page_id + {c.PAGE_IDS} as doc_id, concat('page', page_id, '.html') as name, {HTML_TITLE} as title, {HTML_MARKDOWN} as md, cast(null as varchar) as reason, false as lost from pages
+union all
+select doc_id, name, concat('doc', doc_id), case when reason is null and doc_id % 5 <> 1 then {c.SEEDED_MARKDOWN} else '' end, reason, doc_id % 5 = 1
+from documents join (select doc_id as id, name, reason from verdicts) on id = doc_id"""
+
 
 # --- reports -------------------------------------------------------------------------------------------------
 _TEXT = "name || ':' || line_no || ':' || col || ': ' || rule || ' ' || message"
@@ -237,7 +253,7 @@ STATEMENTS: dict[str, str] = {
     "reattach_front_matter": o.statement(BODIES, f"select doc_id, {o.reattached('front', 'body')} as markdown from f_out"),
     "mechanical_fix": o.statement(NORMAL + o.fix("r", "n"), "select doc_id, md as markdown from r"),
     "prepare_documents": o.statement(DOCS + o.prepare("r", "docs", "docs"), "select doc_id, md as markdown from r"),
-    "repair_until_clean": o.statement(DOCS + repaired(), "select doc_id, md as markdown, attempts, is_clean from done"),
+    "repair_until_clean": o.statement(DOCS + repaired(), "select doc_id, md as markdown, attempts, runs, is_clean from done"),
     **{rule: o.statement(DOCS + o.scan("g", "docs", (rule,)), f"select {_FINDING} from g") for rule in o.RULES},
     "run_rules": o.statement(SCANNED, f"select {_FINDING} from g"),
     "format_diagnostics": o.statement(TEXTS, "select doc_id, text from texts"),
@@ -264,28 +280,46 @@ STATEMENTS: dict[str, str] = {
     "retry_ledger": _LEDGER,
     "due_jobs": f"select * from ({_LEDGER}) where next_due <= timestamp '2024-01-30'",
     "process_pages": o.statement(
-        PAGES + repaired(rounds=3) + [("counts", "select doc_id, count(*) as n from s3 where doc_id in (select doc_id from q3) group by doc_id")],
-        """select d.doc_id, p.name, d.md as markdown, d.attempts, case when d.is_clean then 'published' else 'quarantined' end as outcome,
-           cast(coalesce(c.n, 0) as integer) as findings from done d join docs p on p.doc_id = d.doc_id left join counts c on c.doc_id = d.doc_id""",
+        PAGES + repaired(),
+        """select d.doc_id, p.name, d.md as markdown, d.attempts, case when d.is_clean then 'published' else 'quarantined' end as outcome, d.findings
+           from done d join docs p on p.doc_id = d.doc_id""",
+    ),
+    "process_corpus": o.statement(
+        VERDICTS + [("docs", _MIXED)] + repaired(),
+        """select d.doc_id, p.name, d.md as markdown, d.attempts, d.runs, d.findings, case when p.reason is not null then 'rejected'
+             when p.lost then case when 1 + p.doc_id % 7 < 5 then 'retry' else 'failed' end
+             when d.is_clean then 'published' else 'quarantined' end as outcome
+           from done d join docs p on p.doc_id = d.doc_id""",
     ),
 }
 
 
-def _grouped_table(source: str, group: str, order: str, columns: tuple[str, ...]) -> str:
-    head = "| " + " | ".join(columns) + " |"
-    rule = "|" + " --- |" * len(columns)
-    row = " || ' | ' || ".join(f"replace(cast({col} as varchar), '|', chr(92) || '|')" for col in columns)
-    return f"""select {group}, cast(0 as bigint) as part_no, '{head}' || {NL} || '{rule}' || {NL} || string_agg('| ' || {row} || ' |', {NL} order by {order}) as markdown
-        from {source} group by {group}"""
+def _numbered(rows: str, group: str, order: str, max_bytes: int) -> str:
+    """``rows`` with a size each, numbered by the half of ``max_bytes`` in which they start."""
+    before = f"sum(size) over (partition by {group} order by {order} rows between unbounded preceding and 1 preceding)"
+    return f"""select * exclude (half), dense_rank() over (partition by {group} order by half) - 1 as part_no
+        from (select *, coalesce({before}, 0) // {max_bytes // 2} as half from ({rows}))"""
 
 
-STATEMENTS["table_to_markdown"] = _grouped_table("nation join region on n_regionkey = r_regionkey", "r_name", "n_nationkey", ("n_nationkey", "n_name"))
-STATEMENTS["orders_to_markdown"] = _grouped_table("orders", "o_orderpriority", "o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus"))
+def _grouped_table(source: str, group: str, order: str, columns: tuple[str, ...], max_bytes: int) -> str:
+    head = "| " + " | ".join(columns) + " |"
+    rule = "|" + " --- |" * len(columns)
+    cells = " || ' | ' || ".join(f"replace(cast({col} as varchar), '|', chr(92) || '|')" for col in columns)
+    rows = f"select {group}, {order} as k, '| ' || {cells} || ' |' as line, strlen(line) + 1 as size from {source}"
+    return f"""select {group}, part_no, '{head}' || {NL} || '{rule}' || {NL} || string_agg(line, {NL} order by k) as markdown
+        from ({_numbered(rows, group, "k", max_bytes - len(head) - 1 - len(rule))}) group by {group}, part_no"""
+
+
+STATEMENTS["table_to_markdown"] = _grouped_table("nation join region on n_regionkey = r_regionkey", "r_name", "n_nationkey", ("n_nationkey", "n_name"), fixed.MAX_MARKDOWN_BYTES)
+STATEMENTS["orders_to_markdown"] = _grouped_table("orders", "o_orderpriority", "o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus"), 64 * 1024)
+_CSV_ROWS = """
+  select strftime(o_orderdate, '%Y-%m') as month, o_orderkey, 3 + cast(o_orderkey % 4 as integer) as n,
+    list_slice([cast(o_orderkey as varchar), replace(o_orderpriority, '-', '"' || chr(92) || '|'), o_orderstatus, 'x', 'a,b', ''], 1, n) as cells,
+    strlen(array_to_string(list_slice([cast(o_orderkey as varchar), '"' || replace(o_orderpriority, '-', '""|') || '"', o_orderstatus, 'x', '"a,b"', ''], 1, n), ',')) + 1 as size
+  from orders"""
 STATEMENTS["csv_to_markdown"] = f"""
-with r as (
-  select strftime(o_orderdate, '%Y-%m') as month, o_orderkey,
-    list_slice([cast(o_orderkey as varchar), replace(o_orderpriority, '-', '"' || chr(92) || '|'), o_orderstatus, 'x', 'a,b', ''], 1, 3 + cast(o_orderkey % 4 as integer)) as cells from orders
-), w as (select month, greatest(4, max(len(cells))) as width from r group by month),
-l as (select month, o_orderkey, '| ' || array_to_string(list_resize(cells, width, ''), ' | ') || ' |' as line from r join w using (month))
-select month, '| ' || array_to_string(list_resize(['a', 'b', 'c', 'd'], any_value(width), ''), ' | ') || ' |' || {NL} || '|' || repeat(' --- |', any_value(width)) || {NL}
-  || string_agg(line, {NL} order by o_orderkey) as markdown from l join w using (month) group by month"""
+with r as ({_numbered(_CSV_ROWS, "month", "o_orderkey", 8 * 1024)}),
+w as (select month, part_no, greatest(4, max(n)) as width from r group by month, part_no),
+l as (select month, part_no, width, o_orderkey, '| ' || array_to_string(list_resize(cells, width, ''), ' | ') || ' |' as line from r join w using (month, part_no))
+select month, part_no, '| ' || array_to_string(list_resize(['a', 'b', 'c', 'd'], any_value(width), ''), ' | ') || ' |' || {NL} || '|' || repeat(' --- |', any_value(width)) || {NL}
+  || string_agg(line, {NL} order by o_orderkey) as markdown from l group by month, part_no"""

@@ -27,5 +27,17 @@ def test_query_equals_sql(spark, con, name):
     assert rows_of_frame(QUERIES[name](spark, FOLDER)) == rows_of_sql(con, STATEMENTS[name])
 
 
+def test_every_limit_and_outcome_occurs(spark):
+    verdicts = {r["reason"] for r in QUERIES["archive_verdict"](spark, "/root/testdata/sf0.01").collect()}
+    assert verdicts == {None, "too_many_entries", "expands_too_far", "unsafe_ratio", "nested_archive", "blocked_media", "unsupported_member", "unreadable_member"}
+    limits = {r["reason"] for r in QUERIES["archive_totals"](spark, "/root/testdata/sf0.01").collect()}
+    assert limits == {None, "too_many_entries", "expands_too_far", "unsafe_ratio"}
+    ended = QUERIES["process_corpus"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["outcome"] for r in ended} == {"published", "quarantined", "rejected", "retry", "failed"}
+    assert {r["attempts"] - r["runs"] for r in ended if r["outcome"] == "quarantined"} != {0}  # charged beyond what was run
+    for name in ("csv_to_markdown", "orders_to_markdown"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").agg({"part_no": "max"}).first()[0] > 0
+
+
 def test_entry(spark):
     assert not entry(spark).isEmpty()
