@@ -132,6 +132,10 @@ def _conversation_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation what can be read back from its formatted turns, in order of turn, role and text."""
-    rows = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return rows.mapInArrow(_conversation_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    """Per conversation what can be read back from its formatted turns, in order of turn, role and text (as it was before escaping)."""
+    first, last = F.instr("formatted", "\n") + 1, F.length("formatted") - len(END + "\n")
+    content = F.substr("formatted", first, last - first + 1)
+    text = F.regexp_replace(content, r"<\\(\\*)\|", "<$1|")
+    rows = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end", text.alias("text"))
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
+    return ordered.mapInArrow(_conversation_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

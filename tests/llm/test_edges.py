@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -278,6 +279,14 @@ def test_chat(spark):
     assert chat.conversation_digests(formatted.limit(0)).count() == 0
 
 
+def test_chat_ties_follow_the_text_before_escaping(spark):
+    texts = ["<|x", "<a", "<\\|", "a", "a!", "a<", "", "\n", "z\nb", "<|im_end|>", None]
+    rows = [(1, 0, "user", [("text", t, None, None)]) for t in texts]
+    (found,) = chat.conversation_digests(chat.format_turns(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}"))).collect()
+    wanted = "".join(f"user\n{t}\n" for t in sorted(t or "" for t in texts))
+    assert found.turns_sha256 == hashlib.sha256(wanted.encode()).hexdigest()
+
+
 def test_bpe(docs, empty, spark):
     from tokenizers import Tokenizer
 
