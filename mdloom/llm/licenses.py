@@ -1,190 +1,229 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at stops before white space and at blank lines; a sentence is normalised to lower-case ASCII letters, digits
-and inner dots, one space between words. Inside a sentence a line feed, with the comment marks of the next line, counts as a space; known
-sentences may also begin and end with a line, so titles and licence lines without a stop are found. Known sentences have identifiers, so a
-document becomes a sequence of identifiers in text order, the longest sentence first where one holds another. Ordered rules then look for
-their identifiers side by side in that sequence; a rule takes what it has matched away from the rules after it, so a full licence text is
-not also reported by its parts. All of it is one projection of built-in functions: rows keep their place.
-
-Null and empty texts have no sentences and no licence. Repeated rows get equal results. Texts are read whole.
+A text is brought to lower-case ASCII letters, digits and inner dots, one space between words, and cut into pieces at stops before white
+space, at line feeds and around addresses. A blank line ends a paragraph; a line of comment marks only is blank. A sentence is one piece,
+or several with nothing but line feeds or an address's edge between them, so wrapped sentences and titles without a stop are found alike.
+Each sentence is looked up in a table of known sentences (``license_list``), the longest first where one piece starts several; sentences
+such as "this project is licensed under the ..." are brought to the licence's name and looked up among the names, SPDX lines identifier by
+identifier. Sentences that name a holder are known by what stands before and after the name, within a paragraph.
+
+So a document becomes a sequence of identifiers in text order. Unknown sentences between two identifiers leave one ``GAP`` mark; copyright
+lines and list numbers leave none. Ordered rules then match identifiers side by side in that sequence, gaps included; a rule takes what it
+has matched away from the rules after it, so a full licence text is not also reported by its parts. Last, a name, title, address or SPDX
+identifier that no rule took stands for its licence.
+
+Null and empty texts have no sentences and no licence. Repeated rows get equal results, rows keep their place. Texts are read whole, in
+time that grows with their length: a sentence tries no more pieces than the longest known sentence is long, and a holder's sentence that
+does not end in a paragraph is looked for once there.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, product
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from mdloom.llm.license_list import HOLDERS, RULES, fold, names, sentences, spdx_names
+
+GAP = "..."
+EDGE = "\x1e"  # of an address
+
+#: What a sentence that states a licence may begin with, the verbs, and how it may end.
+STARTERS = ("this", "the", "all", "our")
+WORKS = ("project", "software", "work", "program", "file", "code", "source code", "library", "package", "module", "document", "documentation", "repository", "content", "text", "material", "article", "page", "site", "tool", "data", "dataset", "app", "crate", "plugin", "font", "book")
+VERBS = ("licensed", "dual licensed", "relicensed", "released", "distributed", "published", "available", "made available", "provided", "offered")
+STATED = (
+    rf"(?:(?:it|they|(?:{'|'.join(STARTERS)}) (?:{'|'.join(WORKS)})) (?:is|are) )?(?:{'|'.join(VERBS)}) under (?:the terms of )?(?:the |a |an )?"
+    r"(.+?)(?: the license)?(?: see (?:the )?(?:license|copying)(?:\.md|\.txt)?(?: (?:license|copying)(?:\.md|\.txt)?)?(?: file)? for (?:more )?(?:details|information))?"
+)
+SPDX = "spdx license identifier "
+SPDX_WORDS = 7  # the longest identifier has five
+#: Sentences that leave no gap: numbers of lists and marks of comments; copyright notices, up to the end of their line.
+SKIPPED, NOTICE = r"dnl|rem|[ivx]+|[a-z]|[0-9]{1,2}", r"copyright(?: .*)?|c [0-9].*"
+
+_UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+_ADDRESS = re.compile(r"https?://(?:www\.)?([^\x00-\x20<>()\[\]\"']+)")
+_OTHER = re.compile(r"[^a-z0-9.!?;\n\x1e]+")
+_MARKED = re.compile(r"(\A|\n) ?(?:(?:dnl|rem)(?= |\n|\Z)|[.!?;]+)")
+_CUT = re.compile(r"([.!?;]+(?=[ \n\x1e]|\Z)|\n(?: *\n)+|[\n\x1e])")
+_INNER = re.compile(r"[!?;]+")
+_SOFT, _STOP, _PARAGRAPH = range(3)
+
+
+def pieces(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The pieces of a text, what stands after each (an end of a line or address, a stop, the end of a paragraph), and their lines."""
+    plain = _ADDRESS.sub(rf"{EDGE}\1{EDGE}", text.translate(_UPPER))
+    parts = _CUT.split(_MARKED.sub(r"\1", _OTHER.sub(" ", plain)))
+    said: list[str] = []
+    ends: list[int] = []
+    lines: list[int] = []
+    line = 0
+    for part, cut in zip(parts[::2], [*parts[1::2], "\n\n"]):
+        end = _SOFT if cut in ("\n", EDGE) else _PARAGRAPH if cut[0] == "\n" else _STOP
+        part = _INNER.sub("", part).strip(" ")
+        if part:
+            said.append(part)
+            ends.append(end)
+            lines.append(line)
+        elif ends and end > ends[-1]:
+            ends[-1] = end
+        line += "\n" in cut
+    return said, ends, lines
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], set[str], set[str], int]:
+    """Sentences, names, SPDX identifiers, the first two and the last words of all that may be found, and the longest sentence's length."""
+    known, said = sentences(), names()
+    starts = {f"{s} {w.split()[0]}" for s, w in product(STARTERS, WORKS)}
+    starts |= {" ".join(f"{v} under".split()[:2]) for v in VERBS} | {f"{s} {v}" for s, v in (("it", "is"), ("they", "are"))}
+    starts |= {" ".join(s.split(" ")[:2]) for s in (*known, *(s for s, _, _ in HOLDERS), SPDX)}
+    starts |= {" ".join(("the " + s).split(" ")[:2]) for s, x in known.items() if x.startswith("title:")}
+    starts |= {f"{first} {mark}" for first, _, rest in (s.partition(" ") for s in starts) if rest[:1].isdigit() for mark in ("version", "v.")}
+    lasts = {s.rsplit(" ", 1)[-1] for s in (*known, *said)} | {"license", "details", "information"}
+    return known, said, spdx_names(), starts, lasts, max(map(len, known))
+
+
+_STATED, _SKIPPED, _NOTICE = re.compile(STATED), re.compile(SKIPPED), re.compile(NOTICE)
+
+
+def identifiers(sentence: str) -> list[str]:
+    """The identifiers of one sentence; none if it is not known."""
+    known, said, *_ = _tables()
+    sentence = fold(sentence)
+    found = known.get(sentence) or known.get(sentence.removeprefix("the "))
+    if found:
+        return [found]
+    stated = _STATED.fullmatch(sentence)
+    if stated and stated[1] in said:
+        return [f"name:{said[stated[1]]}"]
+    return []
+
+
+def listed(line: str) -> list[str]:
+    """The identifiers that an SPDX line lists; words that are none are left out."""
+    if not line.startswith(SPDX):
+        return []
+    spdx = _tables()[2]
+    words, found, at = fold(line[len(SPDX) :]).split(" "), [], 0
+    while at < len(words):
+        take = next((n for n in range(SPDX_WORDS, 0, -1) if " ".join(words[at : at + n]) in spdx), 0)
+        found += [f"spdx:{spdx[' '.join(words[at : at + take])]}"] if take else []
+        at += take or 1
+    return found
+
+
+class _Scan:
+    """The pieces of one text, and what is known of the paragraph being read."""
+
+    def __init__(self, text: str):
+        self.said, self.ends, self.lines = pieces(text)
+        self.begins, self.joined, self.last = [], "", -1  # of the pieces in the paragraph's text; its last piece
+        self.first = 0
+        self.missing: dict[str, int] = {}  # holder's sentence: the last piece of the paragraph that does not end it
+
+    def sentence_at(self, at: int) -> tuple[list[str], int]:
+        """The identifiers of the longest known sentence that starts at a piece, and the piece after it."""
+        *_, starts, lasts, longest = _tables()
+        head = self.said[at].split(" ", 2)[:2]
+        if len(head) == 1 and self.ends[at] == _SOFT and at + 1 < len(self.said):
+            head.append(self.said[at + 1].split(" ", 1)[0])
+        if head[0] not in starts and fold(" ".join(head)) not in starts:
+            return [], at + 1
+        ids = listed(self.said[at])
+        if ids:
+            return ids, at + 1
+        tried, size = [], 0
+        for i in range(at, len(self.said)):
+            size += len(self.said[i]) + 1
+            if i > at and size > longest + 100:  # folding takes a few letters away
+                break
+            tried.append(self.said[i])
+            if self.ends[i] != _SOFT:
+                break
+        for n in range(len(tried), 0, -1):
+            ids = fold(tried[n - 1].rsplit(" ", 1)[-1]) in lasts and identifiers(" ".join(tried[:n]))
+            if ids:
+                return ids, at + n
+        for before, after, identifier in HOLDERS:
+            if before.startswith(head[0] + " ") and self.missing.get(identifier, -1) < at:
+                until = self._held(at, before, after)
+                if until > at:
+                    return [identifier], until
+                if until == at:
+                    self.missing[identifier] = self.last
+        return [], at + 1
+
+    def _held(self, at: int, before: str, after: str) -> int:
+        """The piece after a sentence that names a holder; ``at`` if the paragraph does not end it, -1 if none begins."""
+        if at > self.last:
+            self.first, self.last = at, next(i for i in range(at, len(self.said)) if self.ends[i] == _PARAGRAPH)
+            part = self.said[at : self.last + 1]
+            self.begins, self.joined = list(accumulate((len(p) + 1 for p in part), initial=0)), " ".join(part) + " "
+        begin = self.begins[at - self.first]
+        if not self.joined.startswith(before, begin):
+            return -1
+        found = self.joined.find(after + " ", begin)
+        while found >= 0:
+            end = found + len(after) + 1
+            n = bisect_left(self.begins, end)
+            if self.begins[n] == end:
+                return self.first + n
+            found = self.joined.find(after + " ", found + 1)
+        return at
+
+
+def sequence(text: str | None) -> list[str]:
+    """Identifiers of the known sentences in text order, one ``GAP`` for unknown ones between two."""
+    if not text:
+        return []
+    scan, found, at, gap, notice = _Scan(text), [], 0, False, -1
+    while at < len(scan.said):
+        ids, after = scan.sentence_at(at)
+        if ids:
+            found += [GAP, *ids] if gap and found else ids
+            gap = False
+        elif _NOTICE.fullmatch(scan.said[at]):
+            notice = scan.lines[at]
+        elif not gap:
+            gap = scan.lines[at] != notice and not _SKIPPED.fullmatch(scan.said[at])
+        at = after
+    return found
+
+
+def licences(found: list[str]) -> list[str]:
+    """Licences of a sequence of identifiers, in order of the rules; each once."""
+    if not found:
+        return []
+    left, named = "," + ",,".join(found) + ",", []  # neighbours have delimiters of their own
+    for licence, ids in RULES:
+        pattern = "," + ",,".join(ids) + ","
+        if pattern in left:
+            left = left.replace(pattern, "#")
+            named.append(licence)
+    named += [x.partition(":")[2] for x in left.replace("#", ",").split(",") if ":" in x]
+    return list(dict.fromkeys(named))
 
-UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-#: Sentences of public licence texts, normalised, and their identifiers.
-SENTENCES = {
-    "released under the mit license": "mit-name",
-    "licensed under the mit license": "mit-name",
-    "this project is licensed under the mit license": "mit-name",
-    "distributed under the mit license": "mit-name",
-    "mit license": "mit-title",
-    "the mit license": "mit-title",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
-    "licensed under the apache license version 2.0": "apache2-name",
-    "licensed under the apache license version 2.0 the license": "apache2-name",
-    "released under the apache license version 2.0": "apache2-name",
-    "you may not use this file except in compliance with the license": "apache2-comply",
-    "you may obtain a copy of the license at": "apache2-copy",
-    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
-    "apache license": "apache2-title",
-    "this work is licensed under the gnu general public license version 3": "gpl3-name",
-    "licensed under the gnu general public license version 3": "gpl3-name",
-    "this work is licensed under the gnu general public license version 2": "gpl2-name",
-    "licensed under the gnu general public license version 2": "gpl2-name",
-    "gnu general public license": "gpl-title",
-    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
-    "see the gnu general public license for more details": "gpl-see",
-    "this work is licensed under the gnu lesser general public license version 3": "lgpl3-name",
-    "this work is licensed under the gnu affero general public license version 3": "agpl3-name",
-    "licensed under cc by 4.0": "cc-by-4-name",
-    "licensed under cc by sa 4.0": "cc-by-sa-4-name",
-    "licensed under cc by nc 4.0": "cc-by-nc-4-name",
-    "licensed under cc by nc sa 4.0": "cc-by-nc-sa-4-name",
-    "licensed under cc by nd 4.0": "cc-by-nd-4-name",
-    "licensed under cc by nc nd 4.0": "cc-by-nc-nd-4-name",
-    "this work is licensed under a creative commons attribution 4.0 international license": "cc-by-4-name",
-    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "cc-by-sa-4-name",
-    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "cc-by-nc-4-name",
-    "this work is dedicated to the public domain": "public-domain",
-    "released into the public domain": "public-domain",
-    "licensed under the mozilla public license version 2.0": "mpl2-name",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl2-name",
-    "licensed under the bsd 3 clause license": "bsd3-name",
-    "licensed under the bsd 2 clause license": "bsd2-name",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
-    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
-    "all rights reserved": "all-rights",
-}
-
-#: Rules in order of precedence, each a licence and the identifiers that stand side by side for it.
-RULES = (
-    ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
-    ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-source", "bsd-binary", "bsd-warranty")),
-    ("BSD-2-Clause", ("bsd-source", "bsd-binary")),
-    ("Apache-2.0", ("apache2-name", "apache2-comply", "apache2-copy", "apache2-see")),
-    ("Apache-2.0", ("apache2-name", "apache2-comply", "apache2-copy")),
-    ("GPL-3.0", ("gpl3-name", "gpl-hope", "gpl-see")),
-    ("GPL-2.0", ("gpl2-name", "gpl-hope", "gpl-see")),
-    ("MIT", ("mit-title", "mit-notice")),
-    ("AGPL-3.0", ("agpl3-name",)),
-    ("LGPL-3.0", ("lgpl3-name",)),
-    ("GPL-3.0", ("gpl3-name",)),
-    ("GPL-2.0", ("gpl2-name",)),
-    ("GPL", ("gpl-hope", "gpl-see")),
-    ("GPL", ("gpl-title",)),
-    ("Apache-2.0", ("apache2-name",)),
-    ("Apache-2.0", ("apache2-title",)),
-    ("MIT", ("mit-name",)),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-title",)),
-    ("MPL-2.0", ("mpl2-name",)),
-    ("BSD-3-Clause", ("bsd3-name",)),
-    ("BSD-2-Clause", ("bsd2-name",)),
-    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-name",)),
-    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-name",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4-name",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4-name",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd-4-name",)),
-    ("CC-BY-4.0", ("cc-by-4-name",)),
-    ("Public-Domain", ("public-domain",)),
-    ("All-Rights-Reserved", ("all-rights",)),
-)
-
-_GPL_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
-
-#: More sentences, from the bodies of the full texts. The SQL, which reads line by line, does not know them.
-BODY_SENTENCES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
-    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
-    "this program is free software": "gpl-free",
-    _GPL_TERMS: "gpl-terms",
-    "either version 2 of the license or at your option any later version": "gpl2-later",
-    "either version 3 of the license or at your option any later version": "gpl3-later",
-    f"this program is free software {_GPL_TERMS} either version 2 of the license or at your option any later version": "gpl2-free",
-    f"this program is free software {_GPL_TERMS} either version 3 of the license or at your option any later version": "gpl3-free",
-}
-
-#: Rules over them, before the others.
-BODY_RULES = (
-    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
-    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("MIT", ("mit-grant",)),
-    ("GPL-3.0", ("gpl3-free", "gpl-hope", "gpl-see")),
-    ("GPL-3.0", ("gpl-free", "gpl-terms", "gpl3-later", "gpl-hope", "gpl-see")),
-    ("GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-see")),
-    ("GPL-2.0", ("gpl-free", "gpl-terms", "gpl2-later", "gpl-hope", "gpl-see")),
-    ("GPL-3.0", ("gpl3-free",)),
-    ("GPL-3.0", ("gpl-free", "gpl-terms", "gpl3-later")),
-    ("GPL-2.0", ("gpl2-free",)),
-    ("GPL-2.0", ("gpl-free", "gpl-terms", "gpl2-later")),
-)
-
-#: What stands between two words of a sentence: a space, or one line feed and a comment mark that is a word.
-GAP = r"(?:\x20?\n\x20?(?:(?:dnl|rem) )?| )"
-#: Sentences that name a holder: what stands before and after the name.
-HOLDERS = (
-    ("neither the name of ", "the copyright holder", " nor the names of its contributors"),
-    ("this software is provided by ", "the copyright holders and contributors", " as is and any express or implied warranties"),
-)
-
-
-def _known_sentences() -> str:
-    """A pattern whose group 1 is a known sentence between two ends of a line or sentence, the longest that fits."""
-    said = sorted({**SENTENCES, **BODY_SENTENCES}, key=len, reverse=True)
-    found = []
-    for sentence in said:
-        part = sentence.replace(".", r"\.")
-        for before, name, after in HOLDERS:
-            part = part.replace(before + name + after, f"{before}~{after}")
-        found.append(part.replace(" ", GAP).replace("~", r"[a-z0-9. \n]{1,200}?"))
-    return rf"(?:\A|\n|[.!?;] )\x20?(?:(?:dnl|rem) )?({'|'.join(found)})(?=\x20?(?:[.!?;]+(?:[ \n]|\z)|\n|\z))"
-
-
-def sentences(text: Column) -> Column:
-    """The known sentences in text order, normalised."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL), r"[^a-z0-9.!?;\n]+", " ")
-    plain = F.regexp_replace(plain, r"[!?;]++(?! |\n|\z)|(?:(?<=\n)|(?<=\n ))[.!?;]++ ?", "")  # inside words; comment marks made of stops
-
-    def one_line(found: Column) -> Column:
-        found = F.regexp_replace(found, GAP, " ")
-        for before, name, after in HOLDERS:
-            found = F.regexp_replace(found, f"^{before}.+?{after}", before + name + after)
-        return found
-
-    return F.transform(F.regexp_extract_all(plain, F.lit(_known_sentences()), F.lit(1)), one_line)
-
-
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences in text order."""
-    known = F.create_map(*(F.lit(x) for pair in {**SENTENCES, **BODY_SENTENCES}.items() for x in pair))
-    return F.transform(sentences(text), lambda s: F.element_at(known, s))
 
+_ANSWER = pa.struct([("sentence_ids", pa.list_(pa.string())), ("licenses", pa.list_(pa.string()))])
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs(text, ...)`` as ``row`` (all columns but ``text``), ``sentence_ids`` and ``licenses`` in order of the rules."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    found = docs.select(F.struct(*rest).alias("row"), F.inline(F.array(F.struct(sentence_ids(F.col("text")).alias("sentence_ids")))))
-    # ",a,,b," so that neighbours have delimiters of their own; what a rule took becomes "#"
-    start = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
-    rows = found.select("row", "sentence_ids", start.alias("left"), F.array().cast("array<string>").alias("licenses"))
 
-    def apply(rows: DataFrame, rule: tuple[str, tuple[str, ...]]) -> DataFrame:
-        name, ids = rule
-        pattern = "," + ",,".join(ids) + ","
-        has = F.contains(F.col("left"), F.lit(pattern))
-        return rows.select("row", "sentence_ids", F.replace("left", F.lit(pattern), F.lit("#")).alias("left"), F.when(has, F.array_append("licenses", F.lit(name))).otherwise(F.col("licenses")).alias("licenses"))
+@F.arrow_udf(StructType().add("sentence_ids", ArrayType(StringType())).add("licenses", ArrayType(StringType())))
+def _scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        sequences = (sequence(t.as_py()) for t in texts)
+        yield pa.array([{"sentence_ids": s, "licenses": licences(s)} for s in sequences], _ANSWER)
 
-    return reduce(apply, BODY_RULES + RULES, rows).select("row", "sentence_ids", F.array_distinct("licenses").alias("licenses"))
+
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs(text, ...)`` as ``row`` (all columns but ``text``), ``sentence_ids`` (with gaps) and ``licenses`` in order of the rules."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = docs.select(F.struct(*rest).alias("row"), _scanned(F.col("text")).alias("found"))
+    return found.select("row", "found.sentence_ids", "found.licenses")

@@ -2,34 +2,95 @@
 
 from __future__ import annotations
 
-from mdloom.llm.licenses import RULES, SENTENCES
+from mdloom.llm.license_list import HOLDERS, RULES, names, sentences, spdx_names
+from mdloom.llm.licenses import GAP, NOTICE, SKIPPED, SPDX, STARTERS, STATED, VERBS
 
 _WORDS = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
 
+def _pairs(pairs) -> str:
+    return ", ".join("(" + ", ".join(_quoted(x) for x in pair) + ")" for pair in pairs)
+
+
+def _folded(sentence: str) -> str:
+    """SQL for ``fold``."""
+    one = rf"regexp_replace(replace({sentence}, 'licenc', 'licens'), '(?:version |v\. |v)([0-9])', '\1', 'g')"
+    return rf"rtrim(regexp_replace({one} || ' ', '([0-9])(?:\.0)+ ', '\1 ', 'g'), ' ')"
+
+
 def _licenses() -> str:
-    known = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in SENTENCES.items())
+    """The lists are those of ``license_list``; cuts, windows, look-ups, gaps and rules are SQL of its own."""
+    known = sentences()
+    firsts = {s.split(" ")[0] for s in known} | {"the", "it", "they", *STARTERS} | {v.split(" ")[0] for v in VERBS}
     rules = ", ".join(f"({n}, {_quoted(name)}, {_quoted(',' + ',,'.join(ids) + ',')})" for n, (name, ids) in enumerate(RULES, 1))
+    wide = lambda words: " " + words.replace(" ", "  ") + " "
+    spdx = "|".join(wide(x).replace(".", r"\.") for x in sorted(spdx_names(), key=len, reverse=True))
     return rf"""
-with recursive known(sentence, id) as (values {known}), rules(n, license, pattern) as (values {rules}),
-cut as (
-  select doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.!?;\n]+', ' ', 'g'), '\n') as lines
-  from documents
-), pieces as (
-  select doc_id, string_split_regex(line || ' ', '[.!?;]+ ') as parts, l from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as l from cut)
-), plain as (
-  select doc_id, l, p, regexp_replace(part, '^ +| +$|[!?;]+', '', 'g') as sentence from (select doc_id, l, unnest(parts) as part, generate_subscripts(parts, 1) as p from pieces)
-), found as (
-  select doc_id, string_agg(id, ',' order by l, p) as sentence_ids, ',' || string_agg(id, ',,' order by l, p) || ',' as seq from plain join known using (sentence) group by doc_id
-), walk as (
-  select doc_id, sentence_ids, seq, '' as got, 0 as n from found
+with recursive known(sentence, id) as (values {_pairs(known.items())}), names(name, license) as (values {_pairs(names().items())}),
+spdx(name, license) as (values {_pairs(spdx_names().items())}), firsts(word) as (values {_pairs((w,) for w in sorted(firsts))}),
+holders(n, before, after, id) as (values {", ".join(f"({n}, " + ", ".join(map(_quoted, h)) + ")" for n, h in enumerate(HOLDERS))}),
+rules(n, license, pattern) as (values {rules}),
+plain as (
+  select row_number() over () as r, doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    'https?://(?:www\.)?([^\x00-\x20<>()\[\]"'']+)', chr(30) || '\1' || chr(30), 'g'), '[^a-z0-9.!?;\n\x1e]+', ' ', 'g') as t from documents
+), marked as (
+  select r, array_to_string(list_transform(string_split(t, chr(10)), lambda line:
+    regexp_replace(regexp_replace(line, '^ ?((dnl|rem)( |$)|[.!?;]+)', '') || ' ', '[.!?;]+([ \x1e])', chr(2) || '\1', 'g')), chr(10)) as t from plain
+), parts as (
+  select r, unnest(regexp_extract_all(t, '[^\x02\x03\x1e\n]*[\x02\x03\x1e\n]')) as part, generate_subscripts(regexp_extract_all(t, '[^\x02\x03\x1e\n]*[\x02\x03\x1e\n]'), 1) as k
+  from (select r, regexp_replace(t, '\n(?: *\n)+', chr(3), 'g') || chr(3) as t from marked)
+), cleaned as (
+  select r, k, trim(regexp_replace(part[:-2], '[!?;]+', '', 'g'), ' ') as piece, case part[-1] when chr(3) then 2 when chr(2) then 1 else 0 end as level,
+    coalesce(count(*) filter (where part[-1] in (chr(3), chr(10))) over (partition by r order by k rows between unbounded preceding and 1 preceding), 0) as line from parts
+), grouped as (select *, count(*) filter (where piece <> '') over (partition by r order by k) as i from cleaned),
+pieces as (select r, i, max(piece) as piece, max(level) as level, min(line) as line from grouped where i > 0 group by r, i),
+placed as (select *, coalesce(sum(cast(level = 2 as int)) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0) as par from pieces),
+windows as (
+  select r, i, i as j, piece as s, level from placed where {_folded("string_split(piece, ' ')[1]")} in (select word from firsts)
+  union all
+  select w.r, w.i, p.i, w.s || ' ' || p.piece, p.level from windows w join placed p on p.r = w.r and p.i = w.j + 1 where w.level = 0 and length(w.s) <= {max(map(len, known)) + 100}
+), folded as (select r, i, j, {_folded("s")} as s from windows),
+looked as (
+  select r, i, j, coalesce(a.id, b.id, 'name:' || n.license) as id from folded f left join known a on a.sentence = f.s
+  left join known b on starts_with(f.s, 'the ') and b.sentence = f.s[5:] left join names n on n.name = regexp_extract(f.s, {_quoted("^(?:" + STATED + ")$")}, 1)
+), listed as (
+  select r, i, list_transform(regexp_extract_all(' ' || replace({_folded(f"piece[{len(SPDX) + 1}:]")}, ' ', '  ') || ' ', {_quoted(spdx)}), lambda x: trim(replace(x, '  ', ' '), ' ')) as found
+  from placed where starts_with(piece, {_quoted(SPDX)})
+), spoken as (
+  select r, i, string_agg('spdx:' || license, ',,' order by o) as id
+  from (select r, i, unnest(found) as name, generate_subscripts(found, 1) as o from listed) join spdx using (name) group by r, i
+), held_pars as (select r, par, n, before, after, id from (select r, par, string_agg(piece, ' ' order by i) as t from placed group by r, par) join holders on contains(t, before) and contains(t, after)),
+spans as (
+  select a.r, a.i, b.i as j, h.n, any_value(h.id) as id, any_value(h.before) as before, any_value(h.after) as after, string_agg(c.piece, ' ' order by c.i) as s
+  from held_pars h join placed a using (r, par) join placed b using (r, par) join placed c using (r, par) where a.i <= c.i and c.i <= b.i group by a.r, a.i, b.i, h.n
+), held as (select r, i, n, min(j) as j, any_value(id) as id from spans where starts_with(s, before) and ends_with(s, after) group by r, i, n),
+hits as (
+  select r, i, j, id from (
+    select r, i, i as j, id, 0 as kind, 0 as n from spoken
+    union all select r, i, j, id, 1, -j from looked where id is not null
+    union all select r, i, j, id, 2, n from held
+  ) qualify row_number() over (partition by r, i order by kind, n) = 1
+), foreign_pieces as (
+  select r, i from placed where not regexp_full_match(piece, {_quoted(SKIPPED)}) qualify not bool_or(regexp_full_match(piece, {_quoted(NOTICE)})) over (partition by r, line order by i)
+),
+walk as (
+  select r, i, j, id as seq from hits qualify row_number() over (partition by r order by i) = 1
+  union all
+  select * from (
+    select w.r, h.i, h.j, w.seq || ',,' || case when exists (select 1 from foreign_pieces f where f.r = w.r and f.i > w.j and f.i < h.i) then '{GAP},,' else '' end || h.id
+    from walk w join hits h on h.r = w.r and h.i > w.j qualify row_number() over (partition by w.r order by h.i) = 1
+  )
+), found as (select r, ',' || arg_max(seq, i) || ',' as seq from walk group by r),
+ruled as (
+  select r, seq, cast([] as varchar[]) as got, 0 as n from found
   union all
-  select doc_id, sentence_ids, replace(seq, pattern, '#'), case when contains(seq, pattern) and not contains(got || '|', '|' || license || '|') then got || '|' || license else got end, rules.n
-  from walk join rules on rules.n = walk.n + 1
+  select r, replace(seq, pattern, '#'), case when contains(seq, pattern) then list_append(got, license) else got end, rules.n from ruled join rules on rules.n = ruled.n + 1
+), named as (
+  select r, got || list_transform(list_filter(string_split(replace(seq, '#', ','), ','), lambda x: contains(x, ':')), lambda x: x[instr(x, ':') + 1:]) as l from ruled where n = {len(RULES)}
 )
-select d.doc_id, coalesce(w.sentence_ids, '') as sentence_ids, coalesce(replace(substr(w.got, 2), '|', ','), '') as licenses
-from documents d left join (select * from walk where n = {len(RULES)}) w using (doc_id)
+select doc_id, coalesce(replace(trim(seq, ','), ',,', ','), '') as sentence_ids, coalesce(array_to_string(list_filter(l, lambda x, k: list_position(l, x) = k), ','), '') as licenses
+from plain left join found using (r) left join named using (r)
 """
 
 

@@ -253,7 +253,130 @@ def test_wrapped_licenses(spark, mark):
     rows = [(i, "\n".join((mark + line).rstrip() for line in text.split("\n"))) for i, text in enumerate(texts)]
     found = {r.row.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [found[i].licenses for i in range(len(texts))] == list(texts.values())
-    assert found[0].sentence_ids == ["mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability"]
+    assert found[0].sentence_ids == ["title:MIT", "mit-grant", "mit-notice", "mit-warranty", "mit-liability"]
+    assert found[3].sentence_ids == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]
+    assert found[5].sentence_ids == ["name:Apache-2.0", "apache2-comply", "apache2-copy", "url:Apache-2.0", "apache2-basis", "apache2-see"]
+
+
+ISC_TEXT = """\
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+"""
+LGPL_TEXT = """\
+This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+Lesser General Public License for more details.
+"""
+SAID = {
+    "SPDX-License-Identifier: MIT": ["MIT"],
+    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": ["GPL-2.0-only", "BSD-3-Clause"],
+    "# SPDX-License-Identifier: Apache-2.0 OR CC-BY-NC-SA-4.0": ["Apache-2.0", "CC-BY-NC-SA-4.0"],
+    "SPDX-License-Identifier: LicenseRef-Unknown": [],
+    "This software is released under the MIT license.": ["MIT"],
+    "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.": ["MIT"],
+    "The source code is available under the terms of the GNU GPL v3 or later.": ["GPL-3.0-or-later"],
+    "Licensed under GPLv2.": ["GPL-2.0"],
+    "Licenced under the Mozilla Public Licence, version 2.0!": ["MPL-2.0"],
+    "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+    "Text under https://creativecommons.org/licenses/by-sa/4.0/deed.en, as said.": ["CC-BY-SA-4.0"],
+    "See <http://creativecommons.org/licenses/by-nc/3.0/>.": ["CC-BY-NC-3.0"],
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+    "The Unlicense": ["Unlicense"],
+    "It is licensed under the moon.": [],
+    "All rights reserved.": ["All-Rights-Reserved"],
+    "I never said licensed under the MIT License to anyone.": [],
+}
+
+
+def test_licenses_by_name_address_and_identifier(spark):
+    texts = {**SAID, ISC_TEXT: ["ISC"], LGPL_TEXT: ["LGPL-2.1"], "ISC License\n\nCopyright (c) 2020, Me\n\n" + ISC_TEXT: ["ISC"]}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.row.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()}
+    assert {t: found[i] for i, t in enumerate(texts)} == texts
+
+
+def test_license_sentences_apart():
+    """Unknown sentences leave a mark: rules of several sentences do not reach over it. Copyright lines and list numbers leave none."""
+    notice = "You may not use this file except in compliance with the License."
+    copy = "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0"
+    far = notice + "\n" + "Foreign words. " * 200 + "\n" + copy
+    assert licenses.sequence(far) == ["apache2-comply", "...", "apache2-copy", "url:Apache-2.0"]
+    near = notice + "\n\nCopyright (c) 2020 A. B.\n1.\n" + copy
+    assert licenses.licences(licenses.sequence("Foreign. " + near + " Foreign.")) == ["Apache-2.0"]
+    source, binary = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. ", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    assert licenses.licences(licenses.sequence(source + binary)) == ["BSD-2-Clause"]
+    assert licenses.licences(licenses.sequence(source + "And more. " + binary)) == []
+
+
+def test_licenses_in_documents_equal_sql(spark, tmp_path):
+    """The given documents with licences wrapped into them, between their lines, marked as comments, side by side and apart."""
+    import duckdb
+    from compare import rows_of_frame, rows_of_sql
+
+    from mdloom.llm.queries import QUERIES, SQL
+
+    rng = random.Random(11)
+    con = duckdb.connect()
+    given = con.execute("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()
+    bodies = [MIT_TEXT, BSD_START + BSD_END, BSD_START + BSD_ENDORSE.format("Example Inc. and\n   Sons") + BSD_END, APACHE_TEXT, GPL_TEXT.format(";", ";", 2), GPL_TEXT.format(":", ",", 3), ISC_TEXT, LGPL_TEXT, *SAID]
+    rows = [(10**6 + i, t) for i, t in enumerate([None, "", *bodies])]
+    for doc_id, text in given:
+        lines = (text or "").split("\n")
+        for body in rng.sample(bodies, rng.randrange(4)):
+            mark = rng.choice(["", " * ", "# ", "// ", "dnl ", "> "])
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = [mark + line for line in body.split("\n")]
+        rows.append((doc_id, "\n".join(lines)))
+    rows += rows[-2:]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = rows_of_frame(QUERIES["op3_licenses"](spark, str(tmp_path)))
+    assert found == rows_of_sql(con, SQL["op3_licenses"])
+    assert sum("," in row[1] for row in found[1]) > 50  # documents with several licences
+
+
+@pytest.mark.parametrize("holder", ["", "B.V. ", "Some Inc. and Sons. " * 200])
+def test_license_holders_of_any_length(holder):
+    said = BSD_START + BSD_ENDORSE.format(f"A {holder}Co.") + BSD_END
+    assert licenses.licences(licenses.sequence(said)) == ["BSD-3-Clause"]
+
+
+def test_license_scan_takes_linear_time():
+    """Starts of sentences that never end, in one paragraph; sentences that all end; one word a line."""
+    import time
+
+    hostile = [
+        "Neither the name of me\n" * 40_000,
+        (BSD_ENDORSE.format("X").strip() + "\n") * 5_000,
+        "licensed\nunder\n" * 40_000,
+        ". ! ? ; " * 100_000,
+        "this software is " * 100_000,
+    ]
+    for text in hostile:
+        start = time.time()
+        licenses.sequence(text)
+        assert time.time() - start < 20
+
+
+def test_known_sentences_find_themselves():
+    from mdloom.llm import license_list
+
+    for sentence, identifier in license_list.sentences().items():
+        assert licenses.sequence(sentence.upper().replace(" ", "  ")) == [identifier], sentence
+    for name, licence in license_list.names().items():
+        assert licenses.licences(licenses.sequence(f"This file is licensed under the {name}.")) == [licence], name
 
 
 def test_chat(spark):
