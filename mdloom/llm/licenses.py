@@ -33,7 +33,6 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from mdloom.llm.license_list import HOLDERS, RULES, fold, names, sentences, spdx_names
 
 GAP = "..."
-EDGE = "\x1e"  # of an address
 
 #: What a sentence that states a licence may begin with, the verbs, and how it may end.
 STARTERS = ("this", "the", "all", "our")
@@ -48,9 +47,9 @@ SPDX_WORDS = 7  # the longest identifier has five
 #: Sentences that leave no gap: numbers of lists and marks of comments; copyright notices, up to the end of their line.
 SKIPPED, NOTICE = r"dnl|rem|[ivx]+|[a-z]|[0-9]{1,2}", r"copyright(?: .*)?|c [0-9].*"
 
-_UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-_ADDRESS = re.compile(r"https?://(?:www\.)?([^\x00-\x20<>()\[\]\"']+)")
-_OTHER = re.compile(r"[^a-z0-9.!?;\n\x1e]+")
+_PLAIN = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789.!?;\n\x1e" else ord(chr(c).lower()) if 65 <= c <= 90 else 32 for c in range(256))
+_ADDRESS = re.compile(rb"[hH][tT][tT][pP][sS]?://(?:[wW]{3}\.)?([^\x00-\x20<>()\[\]\"']+)")
+_SPACES = re.compile(r"  +")
 _MARKED = re.compile(r"(\A|\n) ?(?:(?:dnl|rem)(?= |\n|\Z)|[.!?;]+)")
 _CUT = re.compile(r"([.!?;]+(?=[ \n\x1e]|\Z)|\n(?: *\n)+|[\n\x1e])")
 _INNER = re.compile(r"[!?;]+")
@@ -59,15 +58,20 @@ _SOFT, _STOP, _PARAGRAPH = range(3)
 
 def pieces(text: str) -> tuple[list[str], list[int], list[int]]:
     """The pieces of a text, what stands after each (an end of a line or address, a stop, the end of a paragraph), and their lines."""
-    plain = _ADDRESS.sub(rf"{EDGE}\1{EDGE}", text.translate(_UPPER))
-    parts = _CUT.split(_MARKED.sub(r"\1", _OTHER.sub(" ", plain)))
+    data = text.encode()
+    if b"://" in data:
+        data = _ADDRESS.sub(b"\x1e\\1\x1e", data)
+    plain = _SPACES.sub(" ", data.translate(_PLAIN).decode("ascii"))
+    parts = _CUT.split(_MARKED.sub(r"\1", plain))
     said: list[str] = []
     ends: list[int] = []
     lines: list[int] = []
     line = 0
     for part, cut in zip(parts[::2], [*parts[1::2], "\n\n"]):
-        end = _SOFT if cut in ("\n", EDGE) else _PARAGRAPH if cut[0] == "\n" else _STOP
-        part = _INNER.sub("", part).strip(" ")
+        end = _SOFT if cut in ("\n", "\x1e") else _PARAGRAPH if cut[0] == "\n" else _STOP
+        part = part.strip(" ")
+        if "!" in part or "?" in part or ";" in part:
+            part = _INNER.sub("", part)
         if part:
             said.append(part)
             ends.append(end)
@@ -79,8 +83,8 @@ def pieces(text: str) -> tuple[list[str], list[int], list[int]]:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], set[str], set[str], int]:
-    """Sentences, names, SPDX identifiers, the first two and the last words of all that may be found, and the longest sentence's length."""
+def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], set[str], set[str], set[str], int]:
+    """Sentences, names, SPDX identifiers, the first two, the first and the last words of all that may be found, and the longest sentence's length."""
     known, said = sentences(), names()
     starts = {f"{s} {w.split()[0]}" for s, w in product(STARTERS, WORKS)}
     starts |= {" ".join(f"{v} under".split()[:2]) for v in VERBS} | {f"{s} {v}" for s, v in (("it", "is"), ("they", "are"))}
@@ -88,7 +92,9 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], set[str],
     starts |= {" ".join(("the " + s).split(" ")[:2]) for s, x in known.items() if x.startswith("title:")}
     starts |= {f"{first} {mark}" for first, _, rest in (s.partition(" ") for s in starts) if rest[:1].isdigit() for mark in ("version", "v.")}
     lasts = {s.rsplit(" ", 1)[-1] for s in (*known, *said)} | {"license", "details", "information"}
-    return known, said, spdx_names(), starts, lasts, max(map(len, known))
+    firsts = {s.split(" ")[0] for s in starts}
+    firsts |= {s.replace("licens", "licenc") for s in firsts}
+    return known, said, spdx_names(), starts, firsts, lasts, max(map(len, known))
 
 
 _STATED, _SKIPPED, _NOTICE = re.compile(STATED), re.compile(SKIPPED), re.compile(NOTICE)
@@ -131,7 +137,7 @@ class _Scan:
 
     def sentence_at(self, at: int) -> tuple[list[str], int]:
         """The identifiers of the longest known sentence that starts at a piece, and the piece after it."""
-        *_, starts, lasts, longest = _tables()
+        _, _, _, starts, _, lasts, longest = _tables()
         head = self.said[at].split(" ", 2)[:2]
         if len(head) == 1 and self.ends[at] == _SOFT and at + 1 < len(self.said):
             head.append(self.said[at + 1].split(" ", 1)[0])
@@ -185,8 +191,11 @@ def sequence(text: str | None) -> list[str]:
     if not text:
         return []
     scan, found, at, gap, notice = _Scan(text), [], 0, False, -1
+    firsts = _tables()[4]
     while at < len(scan.said):
-        ids, after = scan.sentence_at(at)
+        first = scan.said[at].partition(" ")[0]
+        may = first in firsts or (first[-1].isdigit() and fold(first) in firsts)
+        ids, after = scan.sentence_at(at) if may else ([], at + 1)
         if ids:
             found += [GAP, *ids] if gap and found else ids
             gap = False
