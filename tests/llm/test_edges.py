@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -464,13 +465,69 @@ def test_languages(spark, docs, empty):
         assert langid.identify_languages(empty, model).count() == 0
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    rows = [(i, t, "xx") for i, t in enumerate(["abc abd", "bca acb", "ab", "cab"] * 3)]
-    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    letters = sorted({ord(c) for c in "abcd "})
-    for head in ("   ", " ab", "zzz", "bca"):
-        grams = np.array([[*map(ord, head), c] for c in letters], np.uint32)
-        assert abs(np.exp(langid.log_probabilities(model, grams)).sum() - 1) < 0.2
+def plain_kneser_ney(texts: list[str], alphabet: set[str]):
+    """Interpolated Kneser-Ney 4-grams of one language by dictionaries; ``alphabet`` is that of all languages."""
+    counts = {4: {}}
+    for text in texts:
+        letters = re.sub("[^a-z]+", " ", text.lower())
+        padded = "   " + letters
+        for i in range(3, len(padded)):
+            gram = padded[i - 3 : i + 1]
+            counts[4][gram] = counts[4].get(gram, 0) + 1
+    for order in (3, 2, 1):
+        counts[order] = {}
+        for gram in counts[order + 1]:
+            counts[order][gram[1:]] = counts[order].get(gram[1:], 0) + 1
+
+    def probability(gram: str) -> float:
+        if not gram:
+            return 1 / (len(alphabet) + 1)
+        own = counts[len(gram)]
+        ones, twos = (sum(n == k for n in own.values()) for k in (1, 2))
+        discount = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
+        follow = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+        below = probability(gram[1:])
+        if not follow:
+            return below
+        return max(own.get(gram, 0) - discount, 0) / sum(follow) + discount * len(follow) / sum(follow) * below
+
+    return probability
+
+
+def test_kneser_ney_equals_plain_dictionaries(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcd" if i % 2 else "bcde") for _ in range(rng.randrange(1, 6))) for _ in range(30)), "xy"[i % 2]) for i in range(24)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    alphabet = set("abcde ")
+    plain = [plain_kneser_ney([t for _, t, lang in learned if lang == own], alphabet) for own in model.langs]
+    grams = ["".join(rng.choice("abcde ") for _ in range(4)) for _ in range(300)] + ["   a", "   e"]
+    found = np.exp(langid.log_probabilities(model, np.array([[*map(ord, g)] for g in grams], np.uint32)))
+    assert np.allclose(found, [[p(g) for p in plain] for g in grams], rtol=1e-5)
+    texts = ["abca ddca", "edce bceb", "abe"]
+    for text, costs in zip(texts, langid.entropies(model, texts)[0], strict=True):
+        padded = "   " + text
+        assert np.allclose(costs, [-np.mean([np.log(p(padded[i - 3 : i + 1])) for i in range(3, len(padded))]) for p in plain], rtol=1e-5)
+
+
+def test_language_files_join_in_order(tmp_path, monkeypatch):
+    """Files of a model come in any order; some are without rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 900, np.uint64))
+    keys[-1] = 2**64 - 1
+    values = np.arange(1800, dtype="<f4").reshape(900, 2)
+    names = []
+    for n, (low, high) in enumerate([(400, 900), (0, 300), (300, 300), (300, 400)]):
+        cut = [(low + i, min(low + i + 70, high)) for i in range(0, high - low, 70)]
+        table = pa.table({"keys": pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), "values": pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())})
+        names.append(f"part-{n}.parquet")
+        pq.write_table(table, tmp_path / names[-1])
+    monkeypatch.setattr(langid.SparkFiles, "get", classmethod(lambda cls, name: str(tmp_path / name)))
+    monkeypatch.setattr(langid.SparkFiles, "getRootDirectory", classmethod(lambda cls: str(tmp_path)))
+    found = langid._mapped(tuple(names))
+    assert (found[0] == keys).all() and (found[1] == values).all()
 
 
 def test_language_models_keep_every_gram(spark):
