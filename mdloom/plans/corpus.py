@@ -1,10 +1,15 @@
 """Corpora derived from the given tables, for queries whose input those tables do not hold as such.
 
-Each is one SQL projection over whole tables that Spark and DuckDB evaluate alike.
+Each is one SQL projection over whole tables that Spark and DuckDB evaluate alike; ``archives`` then packs what was projected.
 """
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +82,22 @@ SIGNATURE_HEX = """case doc_id % 17 when 0 then '4F676753' when 1 then '52494646
     when 6 then '464F524D0000000041494646' when 7 then '3026B275' else '' end"""
 
 
+# Archives with members of their own, one file per document: ZIPs under right and wrong names, and texts named like ZIPs.
+ARCHIVE_COLUMNS = {
+    "path": "concat('file:/corpus/in/doc', doc_id, case doc_id % 5 when 0 then '.zip' when 1 then '.txt' when 2 then '.ZIP' when 3 then '.md' else '.epub' end)",
+    "packed": "doc_id % 5 in (0, 1, 4)",
+}
+# Members in their order: name, whether the archive has it, content as hex (a folder has none). An empty ZIP stands for a nested one.
+EMPTY_ZIP_HEX = "concat('504B0506', repeat('00', 18))"
+ARCHIVE_MEMBERS = (
+    ("'d/'", "doc_id % 3 = 0", "''"),
+    ("concat('d/', doc_id, '.txt')", "true", "hex({text})"),
+    ("concat('d/', doc_id, '.csv')", "doc_id % 4 = 1", "hex({text})"),
+    ("'inner.txt'", "doc_id % 11 = 0", EMPTY_ZIP_HEX),
+    ("'sound.bin'", "doc_id % 7 = 2", "concat('494433', hex({text}))"),
+)
+
+
 def _projected(documents: DataFrame, columns: dict[str, str]) -> list:
     return [F.expr(sql).alias(name) for name, sql in columns.items()]
 
@@ -129,6 +150,30 @@ def seeded_files(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", title.alias("title"), F.expr(SEEDED_MARKDOWN).alias("markdown"), *_file_columns())
 
 
+def archives(documents: DataFrame) -> DataFrame:
+    """path, content: one file per document, a ZIP written in the tasks or the text itself."""
+    text = "encode(coalesce(text, ''), 'UTF-8')"
+    members = [
+        F.when(F.expr(has), F.struct(F.expr(name).alias("name"), F.unhex(F.expr(content.format(text=text))).alias("content")))
+        for name, has, content in ARCHIVE_MEMBERS
+    ]
+    rows = documents.select(*_projected(documents, ARCHIVE_COLUMNS), F.array_compact(F.array(*members)).alias("members"), F.expr(text).alias("content"))
+    return rows.mapInArrow(_packed, "path string, content binary")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            path, packed, members, content = (column[row].as_py() for column in batch.columns)
+            if packed:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as archive:
+                    for member in members:
+                        archive.writestr(zipfile.ZipInfo(member["name"]), member["content"])
+                content = held.getvalue()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+
+
 EVENT_KIND = """case event_type when 'error' then 'os_error' when 'click' then 'changed' when 'signup' then 'event'
     when 'purchase' then 'lint_error' else 'success' end"""
 

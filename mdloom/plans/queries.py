@@ -223,6 +223,34 @@ def _entities(spark, folder):
     return _pages(spark, folder).select("page_id", html.decode_entities(F.col("html")).alias("text"))
 
 
+def _archives(spark, folder):
+    return corpus.archives(_documents(spark, folder))
+
+
+def archive_members(spark, folder):
+    return archive.archive_members(_archives(spark, folder)).withColumn("head", F.hex("head"))
+
+
+def archive_type_mismatch(spark, folder):
+    files = admission.file_parts(_archives(spark, folder)).withColumn("is_zip_file", archive.inspect_archive(F.col("content"))["is_zip_file"])
+    return archive.archive_type_mismatch(files).select("path", "is_zip_file", "reason")
+
+
+def _bundle_parts(spark, folder):
+    """Members of the files that are archives by name and content."""
+    return archive.expand_bundle(_archives(spark, folder).filter(r"path rlike '[.](zip|epub)$'"))
+
+
+def expand_bundle(spark, folder):
+    return _bundle_parts(spark, folder).withColumn("content", F.hex("content"))
+
+
+def join_bundle(spark, folder):
+    nested = F.hex("content").startswith("504B")
+    markdown = F.when(~nested, tx.normalize_newlines(F.decode("content", "UTF-8")))
+    return archive.join_bundle(_bundle_parts(spark, folder).withColumn("markdown", markdown)).select("path", "markdown")
+
+
 QUERIES: dict[str, Query] = {
     # sources
     "file_parts": file_parts,
@@ -241,6 +269,10 @@ QUERIES: dict[str, Query] = {
     "admission_verdict": admission_verdict,
     "reject_report": reject_report,
     # archives
+    "archive_members": archive_members,
+    "archive_type_mismatch": archive_type_mismatch,
+    "expand_bundle": expand_bundle,
+    "join_bundle": join_bundle,
     "member_verdict": lambda s, d: archive.member_verdict(_members(s, d)),
     "archive_totals": lambda s, d: archive.archive_totals(_members(s, d)),
     "archive_verdict": lambda s, d: archive.archive_verdict(_members(s, d)),

@@ -68,6 +68,18 @@ MEMBERS: o.Ctes = [
     ("totals", "select path, count(*) as entries, cast(sum(file_size) as bigint) as expanded, cast(sum(compress_size) as bigint) as compressed from members group by path"),
     ("firsts", "select path, arg_min(reason, entry_no) as reason from judged where reason is not null group by path"),
 ]
+_ARCHIVE = ", ".join(f"{sql} as {name}" for name, sql in c.ARCHIVE_COLUMNS.items())
+_HELD = " union all ".join(
+    f"select r, path, {k} as k, {name} as entry_name, {content.format(text='text')} as content from archives where packed and ({has})" for k, (name, has, content) in enumerate(c.ARCHIVE_MEMBERS)
+)
+_BASE = "regexp_extract(entry_name, '([^/]+)$', 1)"
+_CONVERTED = "|".join(s[1:] for f in ("text", "html", "csv") for s in fixed.FORMAT_SUFFIXES[f])
+ARCHIVES: o.Ctes = [
+    ("archives", f"select row_number() over () as r, {_ARCHIVE}, doc_id, coalesce(text, '') as text from documents"),
+    ("held", f"select *, row_number() over (partition by r order by k) - 1 as entry_no, ends_with(entry_name, '/') as is_dir, length(content) // 2 as size from ({_HELD})"),
+    ("bundled", f"""select r, path, entry_no, entry_name, case when regexp_matches(entry_name, '\\.({_CONVERTED})$') then content end as content
+      from held where not is_dir and regexp_matches(path, '\\.(zip|epub)$')"""),
+]
 _TOO_MANY = f"entries > {fixed.MAX_ARCHIVE_ENTRIES}"
 _SIZES = f"""when expanded > {fixed.MAX_EXPANDED_BYTES} then 'expands_too_far'
   when compressed > 0 and expanded::double / compressed > {fixed.MAX_COMPRESSION_RATIO} then 'unsafe_ratio'"""
@@ -220,6 +232,15 @@ STATEMENTS: dict[str, str] = {
     "within_output_limit": "select doc_id, strlen(text) <= 20000 as fits from documents",
     "admission_verdict": o.statement(VERDICTS, "select path, reason from verdicts"),
     "reject_report": o.statement(VERDICTS, "select reason, count(*) as n from verdicts where reason is not null group by reason"),
+    "archive_members": o.statement(ARCHIVES, """select path, true as is_zip_file, entry_no, entry_name, is_dir, cast(size as bigint) as file_size, cast(size as bigint) as compress_size,
+        case when not is_dir then substr(content, 1, 32) end as head, content like '504B0506%' as is_zip, false as unreadable from held
+        union all select path, false, null, null, null, null, null, null, null, null from archives where not packed"""),
+    "archive_type_mismatch": o.statement(ARCHIVES, f"""select path, packed as is_zip_file, case when zipped and not packed then 'damaged_archive' when packed and not zipped then 'archive_in_disguise' end as reason
+        from (select *, lower(regexp_extract(path, '(\\.[^.]+)$', 1)) in {_in(fixed.ZIP_SUFFIXES)} as zipped from archives)"""),
+    "expand_bundle": o.statement(ARCHIVES, f"""select path, entry_no, entry_name, content, case when content is null then 'no_converter' end as reason, path || '!' || entry_name as name,
+        lower(regexp_extract({_BASE}, '^.+(\\.[^.]+)$', 1)) as suffix from bundled"""),
+    "join_bundle": o.statement(ARCHIVES + [("said", f"""select *, case when content is not null and content not like '504B%' then {o.normalized("decode(unhex(content))")} end as md from bundled""")],
+        f"select path, case when bool_and(md is not null) then string_agg('## ' || entry_name || {NL} || {NL} || md, {NL} || {NL} order by entry_no) end as markdown from said group by path"),
     "member_verdict": o.statement(MEMBERS, "select path, reason from firsts"),
     "archive_totals": o.statement(MEMBERS, f"select *, case when {_TOO_MANY} then 'too_many_entries' {_SIZES} end as reason from totals"),
     "archive_verdict": o.statement(MEMBERS, f"select t.path, case when {_TOO_MANY} then 'too_many_entries' when f.reason is not null then f.reason {_SIZES} end as reason from totals t left join firsts f on f.path = t.path"),
