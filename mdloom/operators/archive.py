@@ -26,6 +26,7 @@ MEMBERS_SCHEMA = (
     "path string, is_zip_file boolean, entry_no bigint, entry_name string, is_dir boolean, "
     "file_size bigint, compress_size bigint, head binary, is_zip boolean, unreadable boolean"
 )
+MEMBERS_A_FRAME = 10_000  # a frame of its own for each file costs more than reading it
 PARTS_SCHEMA = "path string, entry_no bigint, entry_name string, content binary, reason string"
 
 
@@ -78,11 +79,18 @@ def archive_members(files: DataFrame) -> DataFrame:
     """One row per archive member; a file that is no ZIP gives one row with ``is_zip_file`` false."""
     columns = [field.split()[0] for field in MEMBERS_SCHEMA.split(", ")]
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"entry_no": "Int64", "file_size": "Int64", "compress_size": "Int64"})
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                frame = pd.DataFrame(_member_rows(path, content), columns=columns)
-                yield frame.astype({"entry_no": "Int64", "file_size": "Int64", "compress_size": "Int64"})
+                rows += _member_rows(path, content)
+                if len(rows) >= MEMBERS_A_FRAME:
+                    yield framed(rows)
+                    rows = []
+        yield framed(rows)
 
     return files.select("path", "content").mapInPandas(members, MEMBERS_SCHEMA)
 
