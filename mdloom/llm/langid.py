@@ -7,8 +7,8 @@ kept in arrays sorted by a 64-bit hash, with one column per language in which lo
 language knows falls back through its context's weights to the next order.
 
 A text goes to the language of least cross-entropy per character; ``score`` is its share among all languages, the entropies weighted with
-up to ``SCORE_CHARACTERS`` characters. ``rejected`` tells that the entropy is above what all but one in a thousand of a bounded sample
-(``CALIBRATION_TEXTS`` per language) of labelled texts have in their own language. Ties go to the first language by name.
+up to ``SCORE_CHARACTERS`` characters. ``rejected`` tells that the entropy is above what all but one in a thousand of all labelled texts
+outside the held-out fold have in their own language. Ties go to the first language by name.
 
 The counts cover all labelled text and every counted n-gram is in the model: its probabilities are computed in Spark and written by tasks,
 in ranges of the hashes, to Parquet files in the shared folder; no n-gram passes through the driver program. Spark hands those files to the
@@ -22,7 +22,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -30,13 +30,15 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mdloom.llm.bpe import LETTER, kinds
-from mdloom.llm.common import Stage, hashed_sample, held_out, mix64, text_runs
+from mdloom.llm.common import Stage, held_out, mix64, text_runs
 
 ORDER = 4
-CALIBRATION_TEXTS, CALIBRATION_CHARS = 500, 20_000
+ACCEPTED = 0.999
+SLICES = 4096  # a nat of entropy
 SCORE_CHARACTERS = 50
 HELD = 1_000_000
 UNKNOWN = "und"
@@ -289,14 +291,9 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
         probabilities = stage.write(rows.select("gram", by_lang(value).alias("v")), f"probabilities-{order}")
         model.grams[order] = _ship(stage, probabilities, order, order)
     model.limit = np.full(len(langs), np.inf)
-    narrow = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))  # the texts are read once, for the chosen ids
-    chosen = reduce(DataFrame.union, [hashed_sample(narrow.filter(F.col("lang") == lang), "doc_id", CALIBRATION_TEXTS) for lang in langs]).distinct()
-    rows = known.filter(F.length("text").between(1, CALIBRATION_CHARS)).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-    costs = rows.mapInArrow(_own_entropies(model), "lang string, cost double").toPandas()  # numbers of a bounded sample
-    for i, lang in enumerate(langs):
-        own = costs["cost"][costs["lang"] == lang]
-        if len(own):
-            model.limit[i] = np.quantile(own, 0.999)
+    costs = known.filter(F.length("text") > 0).select("lang", "text").mapInArrow(_own_entropies(model), "lang string, cost double")
+    for lang, limit in _quantiles(stage.write(costs, "own-entropies"), ACCEPTED).items():
+        model.limit[langs.index(lang)] = limit
     return model
 
 
@@ -305,14 +302,32 @@ def _own_entropies(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                at = [model.langs.index(lang) for lang in batch.column("lang").to_pylist()]
-                costs = entropies(model, batch.column("text").to_pylist())[0]
-                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(costs[np.arange(len(at)), at])], names=["lang", "cost"])
+            for low, high, data, offsets in text_runs(batch):
+                whole, langs = data.tobytes(), batch.column("lang").slice(low, high - low)
+                at = [model.langs.index(lang) for lang in langs.to_pylist()]
+                costs = entropies(model, [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])[0]
+                yield pa.RecordBatch.from_arrays([langs, pa.array(costs[np.arange(len(at)), at])], names=["lang", "cost"])
 
     return run
 
 
+def _quantiles(costs: DataFrame, share: float) -> dict[str, float]:
+    """The quantile of all ``costs(lang, cost)`` of each language, exact and linear between two neighbours.
+
+    Counts per narrow slice of the costs tell which slices hold the two; only the values in those are ranked.
+    """
+    costs = costs.withColumn("slice", F.floor(F.col("cost") * SLICES))
+    before, n, total = F.col("before"), F.col("n"), F.col("total")
+    at = (total - 1) * F.lit(share)
+    wanted = (before <= F.least(F.floor(at) + 1, total - 1)) & (before + n > F.floor(at))
+    slices = costs.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n"))
+    ranked = slices.withColumns({"before": F.sum("n").over(W.partitionBy("lang").orderBy("slice")) - n, "total": F.sum("n").over(W.partitionBy("lang"))})
+    near = costs.join(F.broadcast(ranked.filter(wanted).drop("n")), ["lang", "slice"]).groupBy("lang", "slice", "cost", "before", "total").agg(F.count(F.lit(1)).alias("n"))
+    inside = F.sum("n").over(W.partitionBy("lang", "slice").orderBy("cost")) - n
+    found = near.withColumn("before", before + inside).filter(wanted).groupBy("lang").agg(F.min("cost").alias("low"), F.max("cost").alias("high"), F.first(at - F.floor(at)).alias("step"))
+    return {r["lang"]: r["low"] + (r["high"] - r["low"]) * r["step"] for r in found.collect()}
+
+
 def predict_languages(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow`` over ``(row, text)``: ``row, lang_pred, score, entropy, rejected``."""
 

@@ -675,3 +675,14 @@ def test_marginals_equal_enumeration(seed, size):
         total += weight
         content += weight * np.array(labels)
     assert np.allclose(pages.content_marginals(model, trees), content / total, atol=1e-9)
+
+
+def test_language_limits_cover_every_labelled_text(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("aeiou nrst"), int(rng.integers(3, 60)))), "xx" if i % 5 else "yy") for i in range(1500)]
+    rows += [(1500 + i, "".join(rng.choice(list("kqwz x"), 25_000)), "xx") for i in range(8)] + [(2000, "", "xx"), (None, "zzz qqq", "yy")]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6))
+    learned = [(t, model.langs.index(lang)) for i, t, lang in rows if t and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    costs = langid.entropies(model, [t for t, _ in learned])[0]
+    for at in range(len(model.langs)):
+        assert model.limit[at] == pytest.approx(np.quantile([c[at] for c, (_, own) in zip(costs, learned, strict=True) if own == at], 0.999), abs=1e-9)
