@@ -15,9 +15,11 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mdloom.functions import admission as a
 from mdloom.functions import fixed
@@ -111,13 +113,18 @@ _ARCHIVE_TYPE = (
     .add("compressed", T.LongType())
     .add("members", T.ArrayType(_MEMBER_TYPE))
 )
+_ARCHIVE_ARROW = to_arrow_type(_ARCHIVE_TYPE)
 
 
-@F.pandas_udf(_ARCHIVE_TYPE)
-def inspect_archive(content: pd.Series) -> pd.DataFrame:
-    """The listing of ``archive_members`` folded into the file's own row; null content is no archive."""
+@F.arrow_udf(_ARCHIVE_TYPE)
+def inspect_archive(content: pa.Array) -> pa.Array:
+    """The listing of ``archive_members`` folded into the file's own row; null content is no archive.
+
+    Of a batch, one file at a time is a Python object.
+    """
     rows = []
-    for data in content:
+    for item in content:
+        data = item.as_py()
         # Archives with too many entries are refused by count alone: their members stay unread.
         listing = _member_rows("", data, fixed.MAX_ARCHIVE_ENTRIES) if data is not None else [("", False, *[None] * 8)]
         found = [row for row in listing if row[2] is not None]
@@ -131,7 +138,7 @@ def inspect_archive(content: pd.Series) -> pd.DataFrame:
                 "members": members if len(found) <= fixed.MAX_ARCHIVE_ENTRIES else [],
             }
         )
-    return pd.DataFrame(rows)
+    return pa.array(rows, _ARCHIVE_ARROW)
 
 
 def is_zip_suffix(suffix: Column) -> Column:

@@ -157,7 +157,9 @@ def archives(documents: DataFrame) -> DataFrame:
         F.when(F.expr(has), F.struct(F.expr(name).alias("name"), F.unhex(F.expr(content.format(text=text))).alias("content")))
         for name, has, content in ARCHIVE_MEMBERS
     ]
-    rows = documents.select(*_projected(documents, ARCHIVE_COLUMNS), F.array_compact(F.array(*members)).alias("members"), F.expr(text).alias("content"))
+    packed = F.coalesce(F.expr(ARCHIVE_COLUMNS["packed"]), F.lit(False))  # a task gets the members or the text, never both
+    held = F.when(packed, F.array_compact(F.array(*members))).alias("members"), F.when(~packed, F.expr(text)).alias("content")
+    rows = documents.select(*_projected(documents, ARCHIVE_COLUMNS), *held)
     return rows.mapInArrow(_packed, "path string, content binary")
 
 

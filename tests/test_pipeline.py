@@ -442,3 +442,22 @@ def test_fixed_values():
     assert (fixed.LINE_LENGTH, fixed.MAX_ATTEMPTS, fixed.DEBOUNCE_SECONDS, fixed.RETRY_SECONDS) == (120, 5, 1, 10)
     assert " ".join(fixed.BLOCKED_MEDIA_SUFFIXES) == ".aac .avi .flac .m4a .mkv .mov .mp3 .mp4 .ogg .wav .webm .wma"
     assert " ".join(fixed.ZIP_SUFFIXES) == ".docx .epub .odp .ods .odt .pptx .xlsx .zip"
+
+
+def test_archives_of_a_batch_are_inspected_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def many():
+        yield None
+        for _ in range(200):
+            yield bytes(1 << 18)
+
+    batch = pa.array(many(), pa.binary())
+    tracemalloc.start()
+    found = archive.inspect_archive.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [{"is_zip_file": False, "entries": 0, "expanded": 0, "compressed": 0, "members": []}] * 201
+    assert peak < 4 << 20
