@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mdloom.functions import patterns as p
-from mdloom.functions.text import extract_all, is_fence, let, rstrip
+from mdloom.functions.text import extract_all, is_fence, let, rstrip, unless_letter
 
 
 def _count(text: Column, character: str) -> Column:
@@ -28,7 +28,7 @@ def _autolink_url(url: Column) -> Column:
         address,
         lambda a: F.concat(
             F.lit("<"),
-            F.when(F.lower(a).startswith("www."), F.lit("https://")).otherwise(F.lit("")),
+            F.when(a.rlike(r"(?i)\Awww[.]"), F.lit("https://")).otherwise(F.lit("")),
             a,
             F.lit(">"),
             F.substr(url, F.length(a) + 1),
@@ -151,12 +151,12 @@ def escape_reversed_links(line: Column) -> Column:
 
 def clean_heading_punctuation(line: Column) -> Column:
     """``#… text`` with one blank, no indent and no sentence punctuation at the end."""
-    bare = rstrip(
-        F.regexp_replace(line, rf"\A {{0,3}}(#{{1,6}})(?:[ \t]++([^\n]*?))?{p.W}*+[.,;:!?]*+{p.W}*+\z", "$1 $2")
+    bare = let(
+        F.regexp_replace(line, rf"\A {{0,3}}(#{{1,6}})(?:[ \t]++([^\n]*?))?{p.W}*+[.,;:!?]*+{p.W}*+\z", "$1 $2"), rstrip
     )
-    return F.when(line.rlike(r"\A" + p.ATX), bare).otherwise(line)
+    return F.when(unless_letter(line, line.rlike(r"\A" + p.ATX)), bare).otherwise(line)
 
 
 def demote_h1(line: Column) -> Column:
     """An H1 line as H2."""
-    return rstrip(F.regexp_replace(line, r"\A {0,3}#[ \t]*+", "## "))
+    return let(F.regexp_replace(line, r"\A {0,3}#[ \t]*+", "## "), rstrip)

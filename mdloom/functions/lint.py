@@ -25,6 +25,7 @@ from mdloom.functions.text import (
     let,
     trim_plain_line,
     units,
+    unless_letter,
 )
 
 DIAGNOSTICS_TYPE = "array<struct<line_no:int,col:int,rule:string,message:string>>"
@@ -57,7 +58,7 @@ def marked_lines(body: Column) -> Column:
     """array<struct<line, is_boundary, in_fence, opens_list>> in document order."""
 
     def of_unit(unit: Column) -> Column:
-        opens_list = unit.rlike(rf"\A(?!{p.INDENTED}){p.LIST_ITEM}")
+        opens_list = unless_letter(unit, unit.rlike(rf"\A(?!{p.INDENTED}){p.LIST_ITEM}"))
         return let(
             opens_list,
             lambda opens: fence_lines(
@@ -78,7 +79,7 @@ def table_marks(body: Column) -> Column:
     """array<struct<in_table, opens_table, table_ok>>, one per line."""
 
     def of_unit(unit: Column) -> Column:
-        in_table = unit.rlike(r"\A" + p.TABLE_LINE)
+        in_table = unless_letter(unit, unit.rlike(r"\A" + p.TABLE_LINE))
         ok = F.when(in_table, rows_are_consistent(table_rows(unit))).otherwise(F.lit(True))
         return let(
             F.struct(in_table.alias("in_table"), ok.alias("table_ok")),
@@ -123,8 +124,8 @@ def annotated_lines(lines: Column, tables: Column) -> Column:
             F.coalesce(table["table_ok"], F.lit(True)).alias("table_ok"),
             is_blank(line).alias("blank"),
             is_indented(line).alias("indented"),
-            (outside & line.rlike(r"\A" + p.ATX)).alias("heading"),
-            (outside & line.rlike(r"\A" + p.ATX_H1)).alias("h1"),
+            (outside & unless_letter(line, line.rlike(r"\A" + p.ATX))).alias("heading"),
+            (outside & unless_letter(line, line.rlike(r"\A" + p.ATX_H1))).alias("h1"),
         )
 
     return F.transform(lines, one)
@@ -181,7 +182,8 @@ def _inline_html(c: Context) -> Column:
 
 def _setext(c: Context) -> Column:
     text = c.x["open"] & ~c.x["blank"] & ~c.x["heading"] & ~c.x["indented"]
-    underline = c.after["open"] & c.after["line"].rlike(r"\A {0,3}(?:=++|-++)\z")
+    after = c.after["line"]
+    underline = c.after["open"] & unless_letter(after, after.rlike(r"\A {0,3}(?:=++|-++)\z"))
     return text & F.coalesce(underline, F.lit(False)) & ~c.line.rlike(r"\A" + p.LIST_ITEM)
 
 
@@ -197,7 +199,7 @@ def line_length_rule(width: int) -> Rule:
 RULES: tuple[Rule, ...] = (
     line_length_rule(LINE_LENGTH),
     Rule("MD033", "Inline HTML", _inline_html, lambda c: F.greatest(F.lit(1), F.position(_tag(c.line), c.line))),
-    Rule("pragma", "Malformed pragma", lambda c: c.x["open"] & c.line.rlike(PRAGMA) & ~c.line.rlike(GOOD_PRAGMA)),
+    Rule("pragma", "Malformed pragma", lambda c: c.x["open"] & c.line.startswith("<!--") & c.line.rlike(PRAGMA) & ~c.line.rlike(GOOD_PRAGMA)),
     Rule("heading_spacing", "Heading marks need exactly one blank", lambda c: c.x["heading"] & ~c.line.rlike(r"\A#{1,6}(?: [^ \t][^\n]*)?\z")),
     Rule("heading_punctuation", "Heading ends with punctuation", lambda c: c.x["heading"] & c.line.rlike(rf"[.,;:!?]{p.W}*+\z")),
     Rule("setext_heading", "Underlined heading", _setext),

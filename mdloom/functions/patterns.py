@@ -19,7 +19,7 @@ H = rf"[{_H}]"
 NOT_W = rf"[^\n\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 EOL = r"(?![^\n])"
-REST = r"[^\n]*+"
+REST = r"(?>[^\n]*)"  # atomic: the tight loop of the greedy form, and no way back
 
 # --- fixed line formats --------------------------------------------------------------------------
 ATX = r" {0,3}#{1,6}(?![^ \t\n])"
@@ -40,19 +40,20 @@ FRONT_MATTER_TITLE = rf"(?i)(?:\A|\n)title{W}*+:"
 # A fence runs to a line with the same character, at least as many of them and nothing after, or to
 # the end of the document.
 FENCE = (
-    rf" {{0,3}}(?:(?<ticks>`{{3,}}+)[^`\n]*+{EOL}|(?<tildes>~{{3,}}+){REST})"
+    rf"(?=[ `~]) {{0,3}}(?:(?<ticks>`{{3,}}+)[^`\n]*+{EOL}|(?<tildes>~{{3,}}+){REST})"
     rf"(?:\n(?! {{0,3}}(?:\k<ticks>`*+|\k<tildes>~*+){H}*+{EOL}){REST})*+(?:\n{REST})?+"
 )
 FENCE_CLOSED = (
     rf"\A {{0,3}}(?:(`{{3,}}+)[^`\n]*+|(~{{3,}}+){REST})"
     rf"(?:\n(?! {{0,3}}(?:\1`*+|\2~*+){H}*+{EOL}){REST})*+\n"
 )
-SETEXT = rf"(?!{BLANK}|{ATX}|{LIST_ITEM}|{INDENTED}){REST}\n {{0,3}}(?:=++|-++){EOL}"
+_LETTER = "(?=[a-zA-Z])"  # starts no block; told at once
+SETEXT = rf"(?:{_LETTER}|(?!{BLANK}|{ATX}|{LIST_ITEM}|{INDENTED})){REST}\n {{0,3}}(?:=++|-++){EOL}"
 LIST_RUN = rf"(?!{INDENTED}){LIST_ITEM}{REST}(?:\n(?!{ATX}|{BLANK}|{FENCE_OPEN}){REST})*+"
 TABLE_RUN = rf"{TABLE_LINE}{REST}(?:\n{TABLE_LINE}{REST})*+"
 BLANK_RUN = rf"{BLANK}(?:\n{BLANK})*+"
 _PLAIN = (
-    rf"(?!{BLANK}|{INDENTED}|{ATX}|{LIST_ITEM}|{REFERENCE_DEFINITION}|{TABLE_OR_QUOTE_START}|{FENCE_OPEN})"
+    rf"(?:{_LETTER}|(?!{BLANK}|{INDENTED}|{ATX}|{LIST_ITEM}|{REFERENCE_DEFINITION}|{TABLE_OR_QUOTE_START}|{FENCE_OPEN}))"
     rf"{REST}"
 )
 PARAGRAPH = rf"{_PLAIN}(?:\n{_PLAIN})*+"
@@ -81,7 +82,7 @@ PLAIN_TEXT = rf"""(?:[^`<"']|(?!{_QUOTED_TEXT})["'])++"""
 INLINE_UNITS = rf"{CODE_SPAN}|<[^>]*+>|[`<][\s\S]*+|{_QUOTED_TEXT}|{PLAIN_TEXT}"
 _URL_CHARACTER = NOT_W.replace("[^", "[^<>")
 URL = rf"(?<![<(\[])(?:https?://|www\.){_URL_CHARACTER}++"
-URL_UNITS = rf"{URL}|(?:(?!{URL})[\s\S])++"
+URL_UNITS = rf"{URL}|(?:[^hw]++|(?!{URL})[\s\S])++"
 URL_START = rf"\A(?:https?://|www\.){_URL_CHARACTER}"
 URL_TAIL = r"""[.,;:!?'")]++\z"""
 DEFINITION_LIKE = rf"\A{W}*+\[[\s\S]*?\]:"

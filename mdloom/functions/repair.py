@@ -27,9 +27,11 @@ from mdloom.functions.text import (
     let,
     lstrip,
     rstrip,
+    starts_with_letter,
     strip,
     trim_plain_line,
     units,
+    unless_letter,
     wrapped_lines,
 )
 
@@ -68,7 +70,7 @@ def last_kept_h1(parts: Column, has_title: Column) -> Column:
 
 
 def _is_h1(unit: Column) -> Column:
-    return unit.rlike(r"\A" + p.ATX_H1)
+    return unless_letter(unit, unit.rlike(r"\A" + p.ATX_H1))
 
 
 def demote_units(parts: Column, has_title: Column) -> Column:
@@ -94,13 +96,13 @@ def demote_repeated_h1(body: Column, has_title: Column) -> Column:
 
 # --- blocks -----------------------------------------------------------------------------------------
 def _is_heading(unit: Column) -> Column:
-    return unit.rlike(r"\A" + p.ATX)
+    return unless_letter(unit, unit.rlike(r"\A" + p.ATX))
 
 
 def _block_gap(parts: Column, unit: Column, i: Column) -> Column:
     """Does a blank line belong before this unit of ``BLOCK_UNITS``?"""
     before = F.get(parts, i - 1)
-    opens = unit.rlike(rf"\A(?:{p.ATX}|(?!{p.INDENTED}){p.LIST_ITEM})")
+    opens = unless_letter(unit, unit.rlike(rf"\A(?:{p.ATX}|(?!{p.INDENTED}){p.LIST_ITEM})"))
     return (i > 0) & ((opens & ~is_blank(before)) | (_is_heading(before) & ~is_blank(unit)))
 
 
@@ -156,7 +158,7 @@ def repaired_tables(parts: Column, width: int = LINE_LENGTH) -> Column:
         table = F.concat(_repaired_table(unit, width), F.lit("\n"))
         gap = (i > 0) & ~is_blank(F.get(parts, i - 1))
         return F.when(
-            unit.rlike(r"\A" + p.TABLE_LINE),
+            unless_letter(unit, unit.rlike(r"\A" + p.TABLE_LINE)),
             F.concat(F.when(gap, F.lit("\n")).otherwise(F.lit("")), table),
         ).otherwise(unit)
 
@@ -198,7 +200,7 @@ def _wrapped(paragraph: Column, width: int) -> Column:
 
 
 def _is_free_paragraph(unit: Column) -> Column:
-    return unit.rlike(p.PARAGRAPH_START) & ~_keeps_breaks(unit)
+    return (starts_with_letter(unit) | unit.rlike(p.PARAGRAPH_START)) & ~_keeps_breaks(unit)
 
 
 def wrap_paragraphs(body: Column, width: int = LINE_LENGTH) -> Column:
@@ -227,7 +229,7 @@ def collapse_and_wrap(body: Column, width: int = LINE_LENGTH) -> Column:
 
 # --- document ---------------------------------------------------------------------------------------
 def heading_text(title: Column) -> Column:
-    bare = strip(F.translate(title, "\\`*_{}[]()<>#", ""))
+    bare = let(F.translate(title, "\\`*_{}[]()<>#", ""), strip)
     bare = F.regexp_replace(bare, r"[.!?,;:]++\z", "")
     return F.when(bare == "", F.lit(DEFAULT_TITLE)).otherwise(bare)
 
@@ -235,7 +237,7 @@ def heading_text(title: Column) -> Column:
 def starts_with_h1(body: Column) -> Column:
     # A first line may also end at one of the line separators that Python's splitlines() knows.
     ends = r"\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029"
-    return body.rlike(rf"\A(?:{p.W}*[{ends}])? {{0,3}}#(?:[ \t{ends}]|\z)")
+    return body.startswith("# ") | unless_letter(body, body.rlike(rf"\A(?:{p.W}*[{ends}])? {{0,3}}#(?:[ \t{ends}]|\z)"))
 
 
 def ensure_document_heading(body: Column, title: Column) -> Column:
@@ -247,7 +249,7 @@ def ensure_document_heading(body: Column, title: Column) -> Column:
 
 
 def reattach_front_matter(front: Column, body: Column) -> Column:
-    return F.when(front == "", body).otherwise(F.concat(rstrip(front), F.lit("\n\n"), strip(body), F.lit("\n")))
+    return F.when(front == "", body).otherwise(F.concat(rstrip(front), F.lit("\n\n"), let(body, strip), F.lit("\n")))
 
 
 def fix_body(body: Column) -> Column:
@@ -255,7 +257,7 @@ def fix_body(body: Column) -> Column:
 
     def fix_line(line: Column) -> Column:
         marks = F.regexp_replace(line, r"\A( {0,3}#{1,6})[ \t]++(?=[^ \t])", "$1 ")
-        return F.when(line.endswith(" ") & ~line.endswith("  "), rstrip(marks)).otherwise(marks)
+        return F.when(line.endswith(" ") & ~line.endswith("  "), let(marks, rstrip)).otherwise(marks)
 
     # Plain substring tests show that most repaired documents have no line to fix.
     marks_of_work = [body.contains(s) for s in (" \n", "#  ", "#\t", "# \t")]

@@ -35,20 +35,46 @@ def units(text: Column, pattern: str) -> Column:
     return extract_all(F.concat(F.lit("\n"), text), pattern, 1)
 
 
+# A pattern needs the whole text as a Java string. What these see at the first or last character spares most texts that; they
+# mention the text more than once, so it has to be a column or a bound value.
+def starts_visibly(text: Column) -> Column:
+    """Starts with an ASCII character that is no blank."""
+    return (text >= "!") & (text < "\x7f")
+
+
+def starts_with_letter(text: Column) -> Column:
+    return ((text >= "a") & (text < "{")) | ((text >= "A") & (text < "["))
+
+
+def ends_visibly(text: Column) -> Column:
+    """Ends with an ASCII character that is no blank."""
+    last = F.substring(text.cast("binary"), -1, 1)  # a byte: characters would be counted from the start
+    return (last >= F.lit(b"!")) & (last <= F.lit(b"~"))
+
+
+def unless_letter(text: Column, test: Column) -> Column:
+    """A test that no text passes which starts with an ASCII letter."""
+    return F.when(starts_with_letter(text), F.lit(False)).otherwise(test)
+
+
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(p.NOT_W)
+    return F.when(starts_visibly(text), F.lit(False)).otherwise(~text.rlike(p.NOT_W))
 
 
-def rstrip(text: Column) -> Column:
+def _until_visible(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?s)\A(.*{p.NOT_W})", 1)
 
 
+def rstrip(text: Column) -> Column:
+    return F.when(ends_visibly(text), text).otherwise(_until_visible(text))
+
+
 def lstrip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{p.W}++", "")
 
 
 def strip(text: Column) -> Column:
-    return rstrip(lstrip(text))
+    return F.when(starts_visibly(text) & ends_visibly(text), text).otherwise(_until_visible(lstrip(text)))
 
 
 _UTF16_LE = r"\A(?:..(?:[^D].|D[0-7])|..D[89AB]..D[C-F])*+\z"
@@ -91,12 +117,13 @@ converted_size_guard = within_output_limit
 
 def normalize_newlines(markdown: Column) -> Column:
     line_feeds = F.when(markdown.contains("\r"), F.regexp_replace(markdown, r"\r\n?", "\n")).otherwise(markdown)
-    return F.regexp_replace(line_feeds, "\\A\ufeff++", "")
+    return F.when(markdown.startswith("\ufeff"), F.regexp_replace(line_feeds, "\\A\ufeff++", "")).otherwise(line_feeds)
 
 
 def front_matter(markdown: Column) -> Column:
     """The front matter lines with both markers, or ''."""
-    return F.regexp_extract(markdown, p.FRONT_MATTER, 0)
+    starts_otherwise = ((markdown >= "!") & (markdown < "+")) | ((markdown >= ".") & (markdown < "\x7f"))
+    return F.when(starts_otherwise, F.lit("")).otherwise(F.regexp_extract(markdown, p.FRONT_MATTER, 0))
 
 
 def after_front_matter(markdown: Column, front: Column) -> Column:
@@ -108,7 +135,7 @@ def front_matter_has_title(front: Column) -> Column:
 
 
 def is_fence(unit: Column) -> Column:
-    return unit.rlike(r"\A" + p.FENCE_OPEN)
+    return unless_letter(unit, unit.rlike(r"\A" + p.FENCE_OPEN))
 
 
 def is_indented(line: Column) -> Column:
@@ -117,11 +144,11 @@ def is_indented(line: Column) -> Column:
 
 def trim_plain_line(line: Column) -> Column:
     """Drop trailing blanks, but not of indented code nor of a two-blank hard break."""
-    return F.when(line.endswith("  ") | is_indented(line), line).otherwise(rstrip(line))
+    return F.when(ends_visibly(line) | line.endswith("  ") | is_indented(line), line).otherwise(_until_visible(line))
 
 
 def drop_trailing_blank_lines(text: Column) -> Column:
-    return F.regexp_extract(text, rf"(?s)\A(.*{p.NOT_W}[^\n]*+)", 1)
+    return let(text, lambda t: F.when(ends_visibly(t), t).otherwise(F.regexp_extract(t, rf"(?s)\A(.*{p.NOT_W}[^\n]*+)", 1)))
 
 
 def expand_tabs(text: Column) -> Column:

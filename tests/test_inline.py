@@ -94,3 +94,13 @@ def test_wrapping_equals_the_standard_library(spark):
     frame = spark.createDataFrame(cases, "given string, wanted array<string>")
     rows = frame.withColumn("got", tx.wrapped_lines(F.col("given"))).filter("got != wanted").collect()
     assert not rows
+
+
+def test_first_and_last_character_decide_like_the_patterns(spark):
+    texts = [None, "", " ", "a", "~", "\x7f", "é", "a ", " a", "a ", "　a", "a\x1c", "é\xa0", "Z\n", "\n", "1. x", "# h", "```", "`a", "a¡", "﻿a", "{", "@", "[", "!", "x\x7f"]
+    blanks = "\n\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", tx.is_blank(t), tx.rstrip(t), tx.strip(t), tx.starts_with_letter(t), tx.ends_visibly(t)).collect()
+    for text, *found in rows:
+        wanted = [None] * 5 if text is None else [not text.strip(blanks), text.rstrip(blanks), text.strip(blanks), text[:1].isascii() and text[:1].isalpha(), "!" <= text[-1:] <= "~"]
+        assert found == wanted, repr(text)
